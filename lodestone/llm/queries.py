@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_count
+from . import langid, mixing, packing, quality_rules, simhash_bk, token_count
 from .common import read_table
 
 
@@ -16,6 +16,18 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_bk.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(read_table(spark, sf_dir, "documents"))
 
@@ -48,7 +60,7 @@ FROM due
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op5_vector_packing, op9_curriculum_mix)}
+    return {f.__name__: f for f in (op2_token_counts, op5_vector_packing, op6_language, op7_quality_rules, op8_simhash_components, op9_curriculum_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
