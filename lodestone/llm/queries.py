@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality_rules, simhash_bk, token_count
+from . import langid, mixing, packing, quality_rules, simhash_bk, site_template, token_count, warc
 from .common import read_table
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_template.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -60,7 +68,7 @@ FROM due
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op5_vector_packing, op6_language, op7_quality_rules, op8_simhash_components, op9_curriculum_mix)}
+    return {f.__name__: f for f in (op1_warc_round_trip, op2_token_counts, op4_main_text, op5_vector_packing, op6_language, op7_quality_rules, op8_simhash_components, op9_curriculum_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
