@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality_rules, simhash_bk, site_template, token_count, warc
+from . import langid, mixing, order_minhash, packing, quality_rules, simhash_bk, site_template, token_count, warc
 from .common import read_table
 
 
@@ -16,6 +16,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_template.main_text(read_table(spark, sf_dir, "pages"))
 
@@ -68,7 +72,7 @@ FROM due
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_round_trip, op2_token_counts, op4_main_text, op5_vector_packing, op6_language, op7_quality_rules, op8_simhash_components, op9_curriculum_mix)}
+    return {f.__name__: f for f in (op1_warc_round_trip, op2_token_counts, op3_order_minhash, op4_main_text, op5_vector_packing, op6_language, op7_quality_rules, op8_simhash_components, op9_curriculum_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
