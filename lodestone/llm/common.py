@@ -61,6 +61,19 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Ids that are broadcast to pick or drop their rows, at most (16 MB); with more the join shuffles.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """The rows of `docs` whose doc_id isn't in `ids` (doc_id, distinct); nulls are equal."""
+    ids = materialize(ids.select(F.col("doc_id").alias("_id")), label)
+    few = ids.count() <= BROADCAST_IDS
+    nulls = not ids.where("_id is null").isEmpty()
+    out = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == F.col("_id"), "left_anti")
+    return out.where("doc_id is not null") if nulls else out
+
+
 def token_path(name: str) -> str:
     """Place of a public vocabulary file."""
     import public_tokenizers

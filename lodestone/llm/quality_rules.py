@@ -169,6 +169,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     return fit_trees(x, (table["y"].to_numpy() > 0).astype(np.float64), np.array(list(FEATURES.values())))
 
 
+def _verdicts(model: Trees, texts: pa.Array, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, base_failed, probability and kept of each text."""
+    found = [statistics(t.as_py()) for t in texts]
+    counts = np.array([c for c, _ in found], dtype=np.int64).reshape(-1, len(COUNTS))
+    x = np.array([v for _, v in found], dtype=np.float64).reshape(-1, len(FEATURES))
+    failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
+    p = model.probability(x)
+    return counts, failed, p, ~failed & (p >= least)
+
+
 def judge(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: float = LEAST_PROBABILITY, trees: Trees | None = None) -> DataFrame:
     """One row per row of `docs` (doc_id, text): the counts, base_failed, probability, kept.
 
@@ -181,13 +191,21 @@ def judge(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            found = [statistics(t.as_py()) for t in b.column(1)]
-            counts = np.array([c for c, _ in found], dtype=np.int64).reshape(-1, len(COUNTS))
-            x = np.array([v for _, v in found], dtype=np.float64).reshape(-1, len(FEATURES))
-            failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
-            p = model.probability(x)
-            columns = [b.column(0), *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(failed), pa.array(p), pa.array(~failed & (p >= least))]
+            counts, failed, p, kept = _verdicts(model, b.column(1), least)
+            columns = [b.column(0), *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(failed), pa.array(p), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *COUNTS, "base_failed", "probability", "kept"])
 
     picked = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, probability double, kept boolean")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: float = LEAST_PROBABILITY) -> DataFrame:
+    """The rows of `docs` that `judge` keeps, with all their columns, in one pass without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_verdicts(shared.value, b.column(at), least)[3]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, order_minhash, packing, quality_rules, simhash_bk, site_template, token_count, warc
+from . import langid, mixing, ngram_lm, order_minhash, packing, quality_rules, simhash_bk, site_template, token_count, warc
 from .common import read_table
 
 
@@ -44,6 +44,10 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(read_table(spark, sf_dir, "documents"))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 OP9_SQL = """
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -72,7 +76,7 @@ FROM due
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_round_trip, op2_token_counts, op3_order_minhash, op4_main_text, op5_vector_packing, op6_language, op7_quality_rules, op8_simhash_components, op9_curriculum_mix)}
+    return {f.__name__: f for f in (op1_warc_round_trip, op2_token_counts, op3_order_minhash, op4_main_text, op5_vector_packing, op6_language, op7_quality_rules, op8_simhash_components, op9_curriculum_mix, op10_kneser_ney)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, without
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Queries of a shard that one task takes, and (query, node) pairs it looks at together.
@@ -215,15 +215,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component, the row of the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which one row is kept.
+    A doc_id stays if any of its rows is the smallest of its component; rows that repeat a doc_id
+    are one document, of which one row is kept.
     """
-    found = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counts = found.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = materialize(counts, "simhash-kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"])).select(*[docs[c] for c in docs.columns], kept["rows"].alias("_rows"))
-    once = rows.where("_rows = 1").drop("_rows")
-    if kept.where("rows > 1").isEmpty():
-        return once
-    return once.unionByName(rows.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id"]))
-
-
+    found = near_duplicates(docs, **options)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = materialize(found.groupBy("doc_id").agg(F.max(first).alias("first"), F.count("*").alias("rows")), "simhash-kept")
+    kept = without(docs, ids.where("not first").select("doc_id"), "simhash-dropped")
+    again = ids.where("first and rows > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    once = without(kept, again, "simhash-repeated")
+    return once.unionByName(kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id"]))
