@@ -1,11 +1,264 @@
-"""Registered queries and their SQL counterparts."""
+"""Registered queries over the driver's tables, and their DuckDB counterparts.
+
+Documents stand for files and `benchmark` texts for questions. Queries with vectors use the hash
+that SQL can compute too. SQL has no look-behind and no Python hash, so sentence and citation
+queries have no counterpart; tests hold them against single-string versions.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import questions as q
+from ..functions import text as t
+from ..functions import udfs
+from ..operators import documents as d
+from ..operators import fulltext, rerank, vectors
+from ..sources.web import result_links
+from .engine import Corpus, hybrid
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    """The stated query set."""
+    return [tuple(r) for r in _table(spark, sf_dir, "benchmark").select("item_id", "text").orderBy("item_id").collect()]
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").where("text is not null")
+    docs = docs.withColumn("text", t.normalize_text(F.col("text"))).where("text <> ''")
+    return d.mark_duplicates(docs, "doc_id", "doc_id")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).where("duplicate_of is null").withColumn("doc_id", d.doc_id(F.col("doc_id")))
+    chunks = d.chunk_ids(d.chunk_documents(docs)).select("chunk_id", "doc_id", "chunk_index", "text")
+    return chunks.persist()  # several parts of a query read them
+
+
+def content_hash_dedup(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", "content_hash", "duplicate_of")
+
+
+def ingest_counters(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumn("text", t.normalize_text(F.coalesce("text", F.lit(""))))
+    return d.ingest_counters(_documents(spark, sf_dir), _chunks(spark, sf_dir), docs.where("text = ''"))
+
+
+def sources_report(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select(d.doc_id(F.col("doc_id")).alias("doc_id"), F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("file_path"), "content_hash", F.col("duplicate_of").cast("string").alias("duplicate_of"))
+    return d.sources_report(docs, _chunks(spark, sf_dir))
+
+
+def duplicate_files(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_path"), F.col("duplicate_of").cast("string").alias("duplicate_of"))
+    return d.duplicate_files(docs)
+
+
+def normalize_text(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", t.normalize_text(F.col("text")).alias("text"))
+
+
+def chunk_documents(spark, sf_dir):
+    return _chunks(spark, sf_dir)
+
+
+def embedding_terms_tf(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(t.embedding_terms(F.col("text"))).alias("term"))
+    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+def hash_embedding(spark, sf_dir):
+    rows = vectors.embed(_chunks(spark, sf_dir), "native")
+    return rows.select("chunk_id", F.explode("embedding").alias("b")).select("chunk_id", "b.idx", "b.w")
+
+
+def exact_embedding(spark, sf_dir):
+    rows = vectors.embed(_chunks(spark, sf_dir), "exact")
+    return rows.select("chunk_id", F.explode("embedding").alias("b")).select("chunk_id", "b.idx", "b.w")
+
+
+def candidate_terms(spark, sf_dir):
+    rows = fulltext.with_terms(spark, _questions(spark, sf_dir)).select("qid", F.posexplode("terms").alias("pos", "term"))
+    return rows.select("qid", (F.col("pos") + 1).cast("long").alias("pos"), "term")
+
+
+def fts_index(spark, sf_dir):
+    return fulltext.postings(fulltext.index_rows(_chunks(spark, sf_dir)))
+
+
+def semantic_topk(spark, sf_dir):
+    return vectors.semantic_topk(_questions(spark, sf_dir), vectors.embed(_chunks(spark, sf_dir), "native"), mode="native")
+
+
+def keyword_topk(spark, sf_dir):
+    return fulltext.keyword_topk(_chunks(spark, sf_dir), _questions(spark, sf_dir))
+
+
+def bm25_topk(spark, sf_dir):
+    rows = fulltext.index_rows(_chunks(spark, sf_dir))
+    found = fulltext.bm25_topk(spark, _questions(spark, sf_dir), fulltext.postings(rows), rows)
+    return found.select("qid", "chunk_id", F.round("fts_rank", 6).alias("fts_rank"), "pos")
+
+
+def _hybrid(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    rows = fulltext.index_rows(chunks)
+    corpus = Corpus(chunks, vectors.embed(chunks, "native"), fulltext.postings(rows), rows, mode="native")
+    return hybrid(spark, corpus, _questions(spark, sf_dir))
+
+
+_RANKED = ("qid", "chunk_id", "semantic_score", "keyword_score", "fts_score", "rerank_score", "rank")
+
+
+def hybrid_rerank(spark, sf_dir):
+    return _hybrid(spark, sf_dir).select(*_RANKED)
+
+
+def evidence_gate(spark, sf_dir):
+    return rerank.gate(_hybrid(spark, sf_dir)).select("qid", "chunk_id", "rerank_score", "rank")
+
+
+def sentence_citations(spark, sf_dir):
+    """The best sentences of each source that passes the gates."""
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    rows = rerank.gate(_hybrid(spark, sf_dir)).join(_chunks(spark, sf_dir), "chunk_id").join(asked, "qid")
+    return rows.select("qid", "rank", "chunk_id", udfs.citation("text", "question").alias("citation"))
+
+
+@F.pandas_udf(T.StringType())
+def _compose(citations: pd.Series) -> pd.Series:
+    return citations.map(lambda c: q.compose_answer(list(c)))
+
+
+def answer_struct(spark, sf_dir):
+    """One answer per question, with or without evidence."""
+    rows = sentence_citations(spark, sf_dir).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "citation"))).alias("s"))
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
+    rows = asked.join(rows, "qid", "left").withColumn("citations", F.coalesce("s.citation", F.array().cast("array<string>")))
+    kind = F.when(F.size("citations") > 0, "knowledge_base").otherwise("none")
+    return rows.select("qid", _compose("citations").alias("answer"), kind.alias("source_type"), F.size("citations").alias("n_sources"), (kind == "none").alias("need_web_search"))
+
+
+def split_sentences(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.split_sentences(udfs.unescape("text"))).alias("pos", "sentence"))
+    return rows
+
+
+def human_text_clean(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", t.human_text(udfs.unescape("text")).alias("text"))
+
+
+def html_links_extract(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.size(result_links("html")).alias("n_results"))
+
+
+def url_unwrap(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", t.unwrap_redirect(F.col("url")).alias("redirect"), t.unwrap_bing(F.col("url")).alias("bing"))
+
+
+_QUERIES = (
+    content_hash_dedup, ingest_counters, sources_report, duplicate_files, normalize_text, chunk_documents, embedding_terms_tf, hash_embedding, exact_embedding, candidate_terms, fts_index,
+    semantic_topk, keyword_topk, bm25_topk, hybrid_rerank, evidence_gate, sentence_citations, answer_struct, split_sentences, human_text_clean, html_links_extract, url_unwrap,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
+
+
+# The tables have no CJK text and no empty lines inside texts: the SQL below leaves out what only
+# those need. Each part names the ones it builds on.
+_SQL = {
+    "norm": (
+        "",
+        r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents""",
+    ),
+    "docs": ("norm", r"""SELECT *, CASE WHEN first <> doc_id THEN first END AS duplicate_of FROM (SELECT *, min(doc_id) OVER (PARTITION BY content_hash) AS first FROM (SELECT *, sha256(lower(regexp_replace(text, '\s+', '', 'g'))) AS content_hash FROM norm WHERE text <> ''))"""),
+    "walk": (
+        "docs",
+        r"""SELECT doc_id, text, 0 AS start, CASE WHEN length(text) <= 900 THEN length(text) WHEN up - 1 > 450 THEN up ELSE 900 END AS len FROM (SELECT *, length(regexp_extract(substr(text, 1, 900), '(?s)^.*[\n。.]')) AS up FROM docs WHERE duplicate_of IS NULL)
+        UNION ALL
+        SELECT doc_id, text, start, CASE WHEN up - 1 > 450 THEN up ELSE length(win) END AS len FROM (SELECT *, length(regexp_extract(win, '(?s)^.*[\n。.]')) AS up FROM (SELECT doc_id, text, start + len - 120 AS start, substr(text, start + len - 119, 900) AS win FROM walk WHERE start + len < length(text)))""",
+    ),
+    "chunks": ("walk", r"""SELECT printf('doc_%04d_%04d', doc_id, n) AS chunk_id, printf('doc_%04d', doc_id) AS doc_id, n::INTEGER AS chunk_index, text FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n, text FROM (SELECT doc_id, start, regexp_replace(substr(text, start + 1, len), '^\s+|\s+$', '', 'g') AS text FROM walk) WHERE text <> '')"""),
+    "hashed": (
+        "chunks",
+        r"""SELECT id, v % 384 AS idx, CASE WHEN (v >> 8) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1.0::DOUBLE + least(length(term), 8) / 8.0::DOUBLE) AS s
+        FROM (SELECT id, term, CAST('0x' || substr(md5(term), 1, 15) AS BIGINT) AS v FROM (SELECT chunk_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM chunks UNION ALL SELECT 'q' || item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) FROM benchmark))""",
+    ),
+    "vecs": ("hashed", r"""SELECT id, idx, w FROM (SELECT id, idx, round(s / sqrt(sum(s * s) OVER (PARTITION BY id)), 6) AS w FROM (SELECT id, idx, sum(s) AS s FROM hashed GROUP BY id, idx)) WHERE abs(w) > 1e-9"""),
+    "dots": ("vecs", r"""SELECT substr(a.id, 2)::BIGINT AS qid, b.id AS chunk_id, round(sum(a.w * b.w), 9) AS semantic_score FROM vecs a JOIN vecs b ON a.idx = b.idx AND a.id LIKE 'q%' AND b.id NOT LIKE 'q%' GROUP BY 1, 2"""),
+    "semantic": ("dots", r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY semantic_score DESC, chunk_id) AS pos FROM dots WHERE semantic_score > 0) WHERE pos <= 25"""),
+    "plain": ("", r"""SELECT item_id AS qid, regexp_replace(regexp_replace(text, '[\pL\pN_]*[\x{80}-\x{10FFFF}][\pL\pN_\x{80}-\x{10FFFF}]*', '#', 'g'), '\b[0-9_][A-Za-z0-9_]*', '#', 'g') AS text FROM benchmark"""),
+    "terms": (
+        "plain",
+        r"""SELECT qid, pos, term FROM (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY length(term) DESC, term DESC) AS pos FROM (
+        SELECT qid, term, row_number() OVER (PARTITION BY qid, lower(term) ORDER BY length(term) DESC, term DESC) AS first FROM (
+        SELECT qid, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]*(?:\s+[A-Za-z][A-Za-z0-9_]*)+')) AS term FROM plain
+        UNION ALL SELECT qid, lower(term) FROM (SELECT qid, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]*')) AS term FROM plain) WHERE length(term) >= 2)) WHERE first = 1) WHERE pos <= 32""",
+    ),
+    "scores": ("chunks terms", r"""SELECT qid, chunk_id, sum(CASE WHEN length(term) >= 4 THEN 3 ELSE 1 END)::INTEGER AS term_score FROM chunks JOIN terms ON contains(lower(text), lower(term)) GROUP BY 1, 2"""),
+    "keyword": ("scores", r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY term_score DESC, chunk_id) AS pos FROM scores) WHERE pos <= 15"""),
+    "tokens": ("chunks", r"""SELECT chunk_id, regexp_extract_all(strip_accents(lower(text)), '[\pL\pN]+') AS parts FROM chunks"""),
+    "rows": ("tokens", r"""SELECT chunk_id, 2 * len(parts) AS n_tokens, ' ' || array_to_string(parts, '  ') || ' ' AS tokens FROM tokens"""),
+    "phrases": ("terms", r"""SELECT qid, pos AS term_no, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(term)), '[\pL\pN]+'), '  ') || ' ' AS phrase FROM terms WHERE pos <= 16"""),
+    "freq": ("rows phrases", r"""SELECT qid, term_no, chunk_id, n_tokens, 2 * (length(tokens) - length(replace(tokens, phrase, ''))) / length(phrase) AS f FROM rows JOIN phrases ON contains(tokens, phrase)"""),
+    "weights": ("freq", r"""SELECT qid, term_no, CASE WHEN v <= 0 THEN 1e-6::DOUBLE ELSE v END AS idf FROM (SELECT qid, term_no, ln(((SELECT count(*) FROM rows)::DOUBLE - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS v FROM freq GROUP BY 1, 2)"""),
+    "ranks": ("weights", r"""SELECT qid, chunk_id, -sum(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n_tokens / (SELECT avg(n_tokens) FROM rows)))) AS fts_rank FROM freq JOIN weights USING (qid, term_no) GROUP BY 1, 2"""),
+    "fts": ("ranks", r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(fts_rank, 9), chunk_id) AS pos FROM ranks) WHERE pos <= 25"""),
+    "merged": (
+        "fts semantic keyword",
+        r"""SELECT qid, chunk_id, max(fts_rank) AS fts_rank, min(arrival) AS arrival FROM (SELECT qid, chunk_id, fts_rank, pos AS arrival FROM fts UNION ALL SELECT qid, chunk_id, NULL, pos + 1000000 FROM semantic UNION ALL SELECT qid, chunk_id, NULL, pos + 2000000 FROM keyword) GROUP BY 1, 2""",
+    ),
+    "fused": (
+        "merged",
+        r"""SELECT *, round(0.48::DOUBLE * sem + 0.34::DOUBLE * kw + 0.18::DOUBLE * fs, 6) AS rerank_score FROM (SELECT qid, chunk_id, arrival, greatest(0.0::DOUBLE, coalesce(semantic_score, 0.0::DOUBLE)) AS sem, coalesce(term_score, 0) / greatest(1, max(coalesce(term_score, 0)) OVER (PARTITION BY qid))::DOUBLE AS kw, coalesce(1.0::DOUBLE / (1.0::DOUBLE + abs(fts_rank)), 0.0::DOUBLE) AS fs
+        FROM merged LEFT JOIN dots USING (qid, chunk_id) LEFT JOIN scores USING (qid, chunk_id))""",
+    ),
+    "ranked": ("fused", r"""SELECT * FROM (SELECT qid, chunk_id, round(sem, 6) AS semantic_score, round(kw, 6) AS keyword_score, round(fs, 6) AS fts_score, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, arrival)::INTEGER AS rank FROM fused WHERE rerank_score > 0) WHERE rank <= 5"""),
+}
+
+
+def _with(uses: str, select: str) -> str:
+    """`select` after the parts it uses, each once and after those it builds on."""
+    order: list[str] = []
+
+    def need(name: str) -> None:
+        for other in _SQL[name][0].split():
+            need(other)
+        if name not in order:
+            order.append(name)
+
+    for name in uses.split():
+        need(name)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_SQL[n][1]})" for n in order) + "\n" + select
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "content_hash_dedup": _with("docs", "SELECT doc_id, content_hash, duplicate_of FROM docs"),
+        "ingest_counters": _with("docs chunks", "SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM docs WHERE duplicate_of IS NULL) AS indexed_documents, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM norm WHERE coalesce(text, '') = '') AS skipped, (SELECT count(duplicate_of) FROM docs) AS duplicates"),
+        "sources_report": _with("docs chunks", "SELECT printf('doc_%04d', d.doc_id) AS doc_id, 'raw/' || d.doc_id AS file_path, content_hash, duplicate_of::VARCHAR AS duplicate_of, count(c.chunk_id) AS chunk_count FROM docs d LEFT JOIN chunks c ON c.doc_id = printf('doc_%04d', d.doc_id) GROUP BY ALL"),
+        "duplicate_files": _with("docs", "SELECT doc_id::VARCHAR AS file_path, duplicate_of::VARCHAR AS duplicate_of FROM docs WHERE duplicate_of IS NOT NULL"),
+        "normalize_text": _with("norm", "SELECT doc_id, text FROM norm"),
+        "chunk_documents": _with("chunks", "SELECT chunk_id, doc_id, chunk_index, text FROM chunks"),
+        "embedding_terms_tf": "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM documents) GROUP BY 1, 2",
+        "hash_embedding": _with("vecs", "SELECT id AS chunk_id, idx::INTEGER AS idx, w FROM vecs WHERE id NOT LIKE 'q%'"),
+        "candidate_terms": _with("terms", "SELECT qid, pos, term FROM terms"),
+        "fts_index": _with("tokens", "SELECT chunk_id, token, 2 * count(*) AS tf FROM (SELECT chunk_id, unnest(parts) AS token FROM tokens) GROUP BY 1, 2"),
+        "semantic_topk": _with("semantic", "SELECT qid, chunk_id, semantic_score, pos::INTEGER AS pos FROM semantic"),
+        "keyword_topk": _with("keyword", "SELECT qid, chunk_id, term_score, pos::INTEGER AS pos FROM keyword"),
+        "bm25_topk": _with("fts", "SELECT qid, chunk_id, round(fts_rank, 6) AS fts_rank, pos::INTEGER AS pos FROM fts"),
+        "hybrid_rerank": _with("ranked", "SELECT qid, chunk_id, semantic_score, keyword_score, fts_score, rerank_score, rank FROM ranked"),
+        "evidence_gate": _with("ranked", "SELECT qid, chunk_id, rerank_score, rank FROM (SELECT *, max(rerank_score) OVER (PARTITION BY qid) AS best FROM ranked) WHERE best >= 0.16 AND rerank_score >= greatest(0.16::DOUBLE, 0.75::DOUBLE * best)"),
+        "human_text_clean": r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^[ \t]*#{1,6}[ \t]*', '', 'g'), '(?m)^[ \t]*[-*+]\s+', '', 'g'), '(?m)^[ \t]*\d+[.)]\s+', '', 'g'), '[*_`~]+', '', 'g'), '\s+', ' ', 'g'), ' -#' || chr(9) || chr(10) || chr(13)) AS text FROM conversations""",
+        "html_links_extract": "SELECT page_id, CASE WHEN html LIKE '%result__a%' THEN 1 ELSE 0 END AS n_results FROM pages",
+        "url_unwrap": "SELECT page_id, url AS redirect, url AS bing FROM pages",
+    }
