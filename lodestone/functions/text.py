@@ -137,8 +137,8 @@ def split_sentences(text: Column) -> Column:
 
 def keyword_score(text: Column, terms: Column) -> Column:
     """3 for each term of four or more characters that stands in the text, 1 for each shorter one."""
-    points = lambda t: F.when(F.contains(F.lower(text), F.lower(t)), F.when(F.length(t) >= 4, 3).otherwise(1)).otherwise(0)
-    return F.aggregate(terms, F.lit(0), lambda s, t: s + points(t))
+    points = lambda x, term: F.when(F.contains(x, F.lower(term)), F.when(F.length(term) >= 4, 3).otherwise(1)).otherwise(0)
+    return let(F.lower(text), lambda x: F.aggregate(terms, F.lit(0), lambda s, term: s + points(x, term)))
 
 
 @cache

@@ -94,7 +94,8 @@ def fts_index(spark, sf_dir):
 
 
 def semantic_topk(spark, sf_dir):
-    return vectors.semantic_topk(_questions(spark, sf_dir), vectors.embed(_chunks(spark, sf_dir), "native"), mode="native")
+    found = vectors.semantic_topk(_questions(spark, sf_dir), vectors.embed(_chunks(spark, sf_dir), "native"), mode="native")
+    return found.withColumn("semantic_score", F.round("semantic_score", 6))
 
 
 def keyword_topk(spark, sf_dir):
@@ -109,8 +110,8 @@ def bm25_topk(spark, sf_dir):
 
 def _hybrid(spark, sf_dir):
     chunks = _chunks(spark, sf_dir)
-    rows = fulltext.index_rows(chunks)
-    corpus = Corpus(chunks, vectors.embed(chunks, "native"), fulltext.postings(rows), rows, mode="native")
+    rows = fulltext.index_rows(chunks).persist()
+    corpus = Corpus(chunks, vectors.embed(chunks, "native").persist(), fulltext.postings(rows), rows, mode="native")
     return hybrid(spark, corpus, _questions(spark, sf_dir))
 
 
@@ -194,7 +195,7 @@ _SQL = {
         FROM (SELECT id, term, CAST('0x' || substr(md5(term), 1, 15) AS BIGINT) AS v FROM (SELECT chunk_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM chunks UNION ALL SELECT 'q' || item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) FROM benchmark))""",
     ),
     "vecs": ("hashed", r"""SELECT id, idx, w FROM (SELECT id, idx, round(s / sqrt(sum(s * s) OVER (PARTITION BY id)), 6) AS w FROM (SELECT id, idx, sum(s) AS s FROM hashed GROUP BY id, idx)) WHERE abs(w) > 1e-9"""),
-    "dots": ("vecs", r"""SELECT substr(a.id, 2)::BIGINT AS qid, b.id AS chunk_id, round(sum(a.w * b.w), 9) AS semantic_score FROM vecs a JOIN vecs b ON a.idx = b.idx AND a.id LIKE 'q%' AND b.id NOT LIKE 'q%' GROUP BY 1, 2"""),
+    "dots": ("vecs", r"""SELECT substr(a.id, 2)::BIGINT AS qid, b.id AS chunk_id, round(sum(a.w * b.w), 12) AS semantic_score FROM vecs a JOIN vecs b ON a.idx = b.idx AND a.id LIKE 'q%' AND b.id NOT LIKE 'q%' GROUP BY 1, 2"""),
     "semantic": ("dots", r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY semantic_score DESC, chunk_id) AS pos FROM dots WHERE semantic_score > 0) WHERE pos <= 25"""),
     "plain": ("", r"""SELECT item_id AS qid, regexp_replace(regexp_replace(text, '[\pL\pN_]*[\x{80}-\x{10FFFF}][\pL\pN_\x{80}-\x{10FFFF}]*', '#', 'g'), '\b[0-9_][A-Za-z0-9_]*', '#', 'g') AS text FROM benchmark"""),
     "terms": (
@@ -253,7 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "hash_embedding": _with("vecs", "SELECT id AS chunk_id, idx::INTEGER AS idx, w FROM vecs WHERE id NOT LIKE 'q%'"),
         "candidate_terms": _with("terms", "SELECT qid, pos, term FROM terms"),
         "fts_index": _with("tokens", "SELECT chunk_id, token, 2 * count(*) AS tf FROM (SELECT chunk_id, unnest(parts) AS token FROM tokens) GROUP BY 1, 2"),
-        "semantic_topk": _with("semantic", "SELECT qid, chunk_id, semantic_score, pos::INTEGER AS pos FROM semantic"),
+        "semantic_topk": _with("semantic", "SELECT qid, chunk_id, round(semantic_score, 6) AS semantic_score, pos::INTEGER AS pos FROM semantic"),
         "keyword_topk": _with("keyword", "SELECT qid, chunk_id, term_score, pos::INTEGER AS pos FROM keyword"),
         "bm25_topk": _with("fts", "SELECT qid, chunk_id, round(fts_rank, 6) AS fts_rank, pos::INTEGER AS pos FROM fts"),
         "hybrid_rerank": _with("ranked", "SELECT qid, chunk_id, semantic_score, keyword_score, fts_score, rerank_score, rank FROM ranked"),
