@@ -13,22 +13,31 @@ partition number and local number, so a task that is run again gives the same ro
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from struct import pack
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batch, quiet_tokenizers, token_path
+from .common import batch, quiet_tokenizers, token_path, words_of
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 LIMITS = (2048, 256, 2048)
 #: Bins open at a time in a task.
 OPEN_BINS = 32
-#: Words that a worker's cache holds before it starts anew.
-CACHE_WORDS = 400_000
+#: Words that a worker's cache holds before it starts anew, and texts encoded together.
+CACHE_WORDS, TEXTS = 1_500_000, 128
+#: Characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the
+#: others by number from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+#: What lower-casing a whole text first could change: special tokens, final sigma, dotted I, odd separators.
+_special = re.compile("<\\||[\u03a3\u0130\x1c-\x1f]").search
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -37,7 +46,9 @@ PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens l
 class WordEncoder:
     """Token ids of texts, by way of a bounded cache of words.
 
-    The vocabulary never joins tokens across white space, so a text's ids are its words' ids.
+    The vocabulary never joins tokens across white space, so a text's ids are its words' ids. As it
+    reads lower case, texts are lowered first where that can't make a difference; and as it splits
+    letters from other characters, a new word with one mark behind it is put together from both.
     """
 
     def __init__(self, path: str):
@@ -47,30 +58,41 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        self._model = self._tokenizer.model
         self._cache: dict[str, bytes] = {}
-        # str.split() also splits at these four, which the vocabulary takes as characters
-        self._odd = dict.fromkeys(range(0x1C, 0x20))
 
     def _words(self, text: str) -> list[str]:
-        if any(chr(c) in text for c in self._odd):
-            from .common import words_of
-
-            return words_of(text)
-        return text.split()
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        if not _special(text) and is_normalized("NFC", text) and is_normalized("NFC", low := text.lower()):
+            return low.split()
+        # str.split() would also split at four separators that the vocabulary takes as characters
+        return words_of(text)
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if w.isalpha() and w.lower() == w and is_normalized("NFC", w)]
+        for w in plain:  # all letters and normal: one piece of the split, so it goes to the model as it is
+            ids = [t.id for t in self._model.tokenize(w if w.isascii() else "".join([BYTE_CHARS[b] for b in w.encode()]))]
+            self._cache[w] = pack(f"<{len(ids)}I", *ids)
+        new = [w for w in new if w not in self._cache]
+        for k in range(0, len(new), 4096):
+            some = new[k : k + 4096]
+            for w, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self._cache[w] = pack(f"<{len(e.ids)}I", *e.ids)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for text in texts:
-            words = self._words(text or "")
-            try:
-                yield b"".join(map(self._cache.__getitem__, words))
-            except KeyError:
-                if len(self._cache) > CACHE_WORDS:
-                    self._cache.clear()
-                new = [w for w in dict.fromkeys(words) if w not in self._cache]
-                for w, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    self._cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-                yield b"".join(map(self._cache.__getitem__, words))
+        lists = [self._words(t) if t else [] for t in texts]
+        cache = self._cache
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        new = set().union(*lists).difference(cache)
+        marked = [w for w in new if w[-1] in ".,!?:;" and w[-2:-1].isalpha()]
+        new.difference_update(marked)
+        new.update(x for w in marked for x in (w[:-1], w[-1]) if x not in cache)
+        self._learn(list(new))
+        for w in marked:
+            cache[w] = cache[w[:-1]] + cache[w[-1]]
+        get = cache.__getitem__
+        return [b"".join(map(get, words)) for words in lists]
 
 
 class Bins:
@@ -193,10 +215,10 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id
         encoder, end = WordEncoder(path), np.array([end_id], dtype="<u4").tobytes()
         packer = DocumentPacker(limits, open_bins, TaskContext.get().partitionId() << 36)
         for b in batches:
-            texts = b.column(1)
-            for i, doc in enumerate(b.column(0).to_pylist()):
-                (ids,) = encoder.encode([texts[i].as_py()])
-                packer.add(doc, ids + end)
+            for k in range(0, b.num_rows, TEXTS):
+                some = b.slice(k, TEXTS)
+                for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
+                    packer.add(doc, ids + end)
                 if len(packer.rows) >= 20_000:
                     yield batch(PIECES, list(zip(*packer.rows)))
                     packer.rows = []
