@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import BROADCAST_IDS, materialize, new_path
 
 RECORDS_PER_FILE = 2_000
+#: Bytes that are unpacked at a time.
+STEP = 16_384
 DATE = "2024-01-01T00:00:00Z"
 _begin = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
 _version = re.compile(rb"WARC/\d\.\d\r\n")
@@ -89,21 +91,24 @@ def _parse(data: bytes, at: int) -> tuple[Record | None, int, str]:
 
 def _member(data: bytes, at: int) -> tuple[list[Record], int, str]:
     """The records of the gzip member at `at` and its end, or none and what is wrong."""
-    unpack = zlib.decompressobj(31)
+    unpack, raw, end = zlib.decompressobj(31), [], at
     try:
-        raw = unpack.decompress(memoryview(data)[at:])
+        while not unpack.eof and end < len(data):
+            raw.append(unpack.decompress(data[end : end + STEP]))
+            end += STEP
     except zlib.error:
         return [], at, "bad gzip member"
     if not unpack.eof:
         return [], at, "gzip member not ended"
-    records, inner = [], 0
-    while inner < len(raw):
-        record, inner, why = _parse(raw, inner)
+    end = min(end, len(data)) - len(unpack.unused_data)
+    records, inner, whole = [], 0, b"".join(raw)
+    while inner < len(whole):
+        record, inner, why = _parse(whole, inner)
         if record is None:
             return [], at, why
         record.offset = at
         records.append(record)
-    return records, len(data) - len(unpack.unused_data), "" if records else "empty member"
+    return records, end, "" if records else "empty member"
 
 
 def salvage(data: bytes) -> Salvaged:
@@ -171,13 +176,18 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, records_per_f
 
     Of rows with equal payloads of `least_bytes` or more the largest page_id is the response and
     the others revisit it; a null page_id is the smallest. Rows that repeat the response's page_id
-    are responses too.
+    are responses too. Which rows are revisits is found on ids and digests; html isn't shuffled
+    unless there are too many revisits to broadcast.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("html"))).withColumn("size", F.octet_length("html").cast("long"))
-    best = rows.groupBy("sha1").agg(F.max("page_id").alias("best"))
-    rows = rows.join(best, "sha1")
-    revisit = (F.col("size") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("best"))
+    digests = materialize(rows.where(F.col("size") >= least_bytes).select("page_id", "sha1"), "warc-digests")
+    best = digests.groupBy("sha1").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = digests.join(best, "sha1").where(~F.col("page_id").eqNullSafe(F.col("best"))).distinct()
+    again = materialize(again.select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), "best"), "warc-revisits")
+    few = again.count() <= BROADCAST_IDS
+    rows = rows.join(F.broadcast(again) if few else again, (F.col("sha1") == F.col("_sha1")) & F.col("page_id").eqNullSafe(F.col("_page")), "left")
+    revisit = F.col("_sha1").isNotNull()
     rows = rows.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "size", "sha1", "best", revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
