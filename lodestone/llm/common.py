@@ -70,7 +70,7 @@ def without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
     ids = materialize(ids.select(F.col("doc_id").alias("_id")), label)
     few = ids.count() <= BROADCAST_IDS
     nulls = not ids.where("_id is null").isEmpty()
-    out = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == F.col("_id"), "left_anti")
+    out = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["_id"], "left_anti")
     return out.where("doc_id is not null") if nulls else out
 
 

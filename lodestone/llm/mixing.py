@@ -107,7 +107,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     plan = mix(docs, **options).where("copies > 0").select("doc_id", "source", "size", "positions")
     plan = materialize(plan.dropDuplicates(["doc_id", "source", "size"]), "mix-plan")
-    keyed = docs.withColumn("_size", word_count(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(plan["doc_id"]) & keyed["source"].eqNullSafe(plan["source"]) & (keyed["_size"] == plan["size"])
-    rows = keyed.join(plan, same).select(*[keyed[c] for c in docs.columns], F.explode(plan["positions"]).alias("_position"))
-    return rows.sort("_position").drop("_position")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    same = keyed["doc_id"].eqNullSafe(plan["doc_id"]) & keyed["source"].eqNullSafe(plan["source"]) & (keyed["size"] == plan["size"])
+    rows = keyed.join(plan, same).select("row", F.explode("positions").alias("position"))
+    return rows.sort("position").select("row.*")

@@ -76,6 +76,8 @@ def _parse(data: bytes, at: int) -> tuple[Record | None, int, str]:
         if not colon:
             return None, at, "bad header line"
         headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+    if not {"warc-type", "warc-record-id"} <= headers.keys():
+        return None, at, "mandatory header missing"
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         return None, at, "no length"
