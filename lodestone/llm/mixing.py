@@ -103,10 +103,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it, range-sorted by training position.
 
     The text is moved once, by the range sort; which copy goes where is found on ids and sizes. A
-    null doc_id joins null ones; documents of no words are not taken.
+    null doc_id joins null ones; documents of no words are not taken; rows that repeat are taken as
+    often as the one of them that is taken most.
     """
-    plan = mix(docs, **options).where("copies > 0").select("doc_id", "source", "size", "positions")
-    plan = materialize(plan.dropDuplicates(["doc_id", "source", "size"]), "mix-plan")
+    plan = mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("positions").alias("positions"))
+    plan = materialize(plan, "mix-plan")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
     same = keyed["doc_id"].eqNullSafe(plan["doc_id"]) & keyed["source"].eqNullSafe(plan["source"]) & (keyed["size"] == plan["size"])
     rows = keyed.join(plan, same).select("row", F.explode("positions").alias("position"))

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Pages of different content a recurring subtree stands on at least, and the shares of the host's.
-LEAST_PAGES, SHARE_OUTSIDE, SHARE_INSIDE = 5, 0.05, 0.5
+#: Pages of different content that a recurring subtree stands on at least, in number and as a share
+#: of the host's: outside and inside a marked article.
+LEAST_PAGES, SHARE_OUTSIDE = 5, 0.05
+LEAST_INSIDE, SHARE_INSIDE = 30, 0.6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
@@ -211,7 +213,7 @@ def subtree_counts(pages: DataFrame) -> DataFrame:
     return rows.groupBy("host", "inside", "hash").agg(F.count("*").alias("pages"))
 
 
-def templates(pages: DataFrame, least: int = LEAST_PAGES, outside: float = SHARE_OUTSIDE, inside: float = SHARE_INSIDE) -> DataFrame:
+def templates(pages: DataFrame, least: int = LEAST_PAGES, outside: float = SHARE_OUTSIDE, least_inside: int = LEAST_INSIDE, inside: float = SHARE_INSIDE) -> DataFrame:
     """(host, hashes): subtrees that recur on many pages of the host, one row a host.
 
     A page has few subtrees, and each of these stands on a share of the host's pages, so a host's
@@ -220,7 +222,8 @@ def templates(pages: DataFrame, least: int = LEAST_PAGES, outside: float = SHARE
     counts = materialize(subtree_counts(pages).where(F.col("pages") >= least), "subtrees")
     hosts = counts.where("hash = 0").select("host", F.col("pages").alias("all_pages"))
     share = F.when(F.col("inside"), inside).otherwise(outside)
-    found = counts.where("hash <> 0").join(hosts, "host").where(F.col("pages") >= share * F.col("all_pages"))
+    enough = (F.col("pages") >= share * F.col("all_pages")) & (F.col("pages") >= F.when(F.col("inside"), least_inside).otherwise(least))
+    found = counts.where("hash <> 0").join(hosts, "host").where(enough)
     return found.groupBy("host").agg(F.collect_set(F.when(F.col("inside"), F.col("hash"))).alias("within"), F.collect_set(F.when(~F.col("inside"), F.col("hash"))).alias("around"))
 
 

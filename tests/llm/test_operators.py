@@ -162,6 +162,9 @@ def test_main_text(spark):
     assert found[1].text == found[6].text == "A & B\none two\nthree four\nfive" and found[2].text == found[3].text == "" and found[4].text == "just text" and found[5].text == "cut"
     assert [found[10 + i].text for i in range(12)] == [f"Story number {i} with words" for i in range(12)]
     assert {found[50 + i].text for i in range(12)} == {"The same story"} and all(r.n_chars == len(r.text) for r in found.values())
+    boxed = [(i, "http://boxed/x", f"<article><p>Piece {i} of news</p><p>Sign up now</p>{'<p>shared</p>' if i % 3 else ''}</article>") for i in range(40)] + [(90, "http://few/x", "<article><p>Sign up now</p></article>")]
+    found = {r.page_id: r.text for r in site_template.main_text(spark.createDataFrame(boxed, "page_id long, url string, html string"), inside=0.9).collect()}
+    assert found[90] == "Sign up now" and all(found[i] == (f"Piece {i} of news\nshared" if i % 3 else f"Piece {i} of news") for i in range(40))
     assert site_template.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
