@@ -21,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_IDS, materialize
+
 #: Words of a k-mer, tuples of a signature (a power of two), k-mers of a tuple.
 K, TUPLES, PICKED = 5, 64, 2
 #: Documents of a block that are sorted together, about.
@@ -98,25 +100,26 @@ def likeness(a: Column, b: Column, tuples: int = TUPLES) -> Column:
 def with_next(docs: DataFrame, order: list[str], carried: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`docs` with next_<c> for each carried column: that of the next row by doc_id, after the last the first.
 
-    Rows are dealt to blocks of neighbouring ids by one shuffle. A block's last row takes the first
-    row of the next block; of these rows there is one in a block.
+    Rows are dealt to blocks of neighbouring ids by one shuffle. The first row of each block also
+    goes to the block before, behind its last row; which rows these are is found on ids alone.
     """
     span = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     low, high, count = span[0] or 0, span[1] or 0, span[2]
     width = max(1.0, (float(high) - low + 1) / max(1.0, count / block_rows))
     block = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low)) / width), F.lit(-1)).cast("long")
-    in_block = Window.partitionBy("block").orderBy(*order)
-    ranked = docs.withColumn("block", block)
-    ranked = ranked.select("*", F.row_number().over(in_block).alias("_row"), *[F.lead(c).over(in_block).alias(f"next_{c}") for c in carried], F.lead(F.lit(1)).over(in_block).alias("_more"))
-    heads = ranked.where("_row = 1").select(F.col("block").alias("_block"), *[F.col(c).alias(f"next_{c}") for c in carried])
     # as many rows as there are blocks
     every = Window.partitionBy()
-    blocks = docs.select(block.alias("block")).distinct()
-    blocks = blocks.select("block", F.coalesce(F.lead("block").over(every.orderBy("block")), F.min("block").over(every)).alias("_block"))
-    columns = [*docs.columns, *[f"next_{c}" for c in carried]]
-    inner = ranked.where("_more is not null").select(columns)
-    tails = ranked.where("_more is null").drop(*[f"next_{c}" for c in carried]).join(blocks, "block").join(heads, "_block")
-    return inner.unionByName(tails.select(columns))
+    heads = docs.select("doc_id", block.alias("block")).groupBy("block").agg(F.min("doc_id").alias("_head"))
+    heads = heads.select("_head", F.coalesce(F.lag("block").over(every.orderBy("block")), F.max("block").over(every)).alias("_before"))
+    heads = materialize(heads, "block-heads")
+    few = heads.count() <= BROADCAST_IDS
+    rows = docs.join(F.broadcast(heads) if few else heads, docs["doc_id"].eqNullSafe(heads["_head"]), "left")
+    place = lambda b, copy: F.struct(b.alias("block"), F.lit(copy).alias("copy"))
+    places = F.when(F.col("_before").isNull(), F.array(place(block, 0))).otherwise(F.array(place(block, 0), place(F.col("_before"), 1)))
+    rows = rows.select(*docs.columns, F.explode(places).alias("_at")).select(*docs.columns, F.col("_at.block").alias("_block"), F.col("_at.copy").alias("_copy"))
+    in_block = Window.partitionBy("_block").orderBy("_copy", *order)
+    rows = rows.select(*docs.columns, "_copy", *[F.lead(c).over(in_block).alias(f"next_{c}") for c in carried])
+    return rows.where("_copy = 0").drop("_copy")
 
 
 def fingerprints(docs: DataFrame, k: int = K, tuples: int = TUPLES, picked: int = PICKED) -> DataFrame:
