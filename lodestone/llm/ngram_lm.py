@@ -4,10 +4,10 @@ The model's units are UTF-8 bytes and its order is 4, so an n-gram is an exact i
 text of any language has whole contexts. Trusted text is that of documents labelled good and not
 toxic; counts cover all of it, but for a tenth-wise share held out to set thresholds.
 
-Counts are Spark tables sharded by n-gram. Scoring sends texts, compressed, to blocks of
-neighbouring documents; a block asks for each of its n-grams once, and the asked ones get their
-probability by joins with the counts of their own and lower orders, from the unigrams up. The
-answers go back to the block, which adds up logarithms per document. So what moves is about half
+Counts are Spark tables sharded by n-gram. All n-grams of the corpus get their probability by
+joins with the counts of their own and lower orders, from the unigrams up. Scoring sends texts,
+compressed, to blocks of neighbouring documents; a block asks for each of its n-grams once, by a
+join, and adds up the logarithms that come back per document. So what moves is about half
 a text and far fewer n-grams than positions. A document is rejected if its perplexity exceeds a
 quantile of its language's held-out trusted documents, and its text isn't so short that a few
 rare letters make the difference.
@@ -30,7 +30,7 @@ ORDER = 4
 #: Bytes of text of a block, about, and ids that stay together.
 BLOCK_BYTES, ID_RUN = 12 << 20, 1024
 #: Bytes whose n-grams are counted together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Of ten trusted documents so many train; the others set thresholds.
 TRAIN_TENTHS = 8
 #: Held-out trusted documents of a language with at most its threshold, and its slack. Languages
@@ -68,15 +68,22 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, n): occurrences of the 4-grams of all `texts` (text), summed per batch before they move."""
+    """(gram, n): the 4-grams of all `texts` (text, trusted), with their occurrences in trusted ones.
+
+    They are summed per chunk before they move. Without a column `trusted` all texts are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, some in _chunks([(t or "").encode() for t in b.column(0).to_pylist()]):
-                grams, n = np.unique(_keys(some)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(n)], names=["gram", "n"])
+            marks = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for mark in (True, False):
+                for _, some in _chunks([(t or "").encode() for t in b.column(0).filter(pa.array(marks == mark)).to_pylist()]):
+                    grams, n = np.unique(_keys(some)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(n * mark)], names=["gram", "n"])
 
-    return texts.select(F.col("text").cast("string")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    mark = F.col("trusted") if "trusted" in texts.columns else F.lit(True)
+    rows = texts.select(F.col("text").cast("string").alias("text"), F.coalesce(mark, F.lit(False)).alias("trusted"))
+    return rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -85,9 +92,10 @@ class Model:
     Orders below the highest count the different grams that end in theirs, as Kneser-Ney has it.
     """
 
-    def __init__(self, counts: DataFrame):
-        top = materialize(counts, "lm-4")
-        self.counts = {ORDER: top}
+    def __init__(self, grams: DataFrame):
+        """`grams` may have n-grams of no occurrence, which count nowhere but can be asked for."""
+        self.grams = materialize(grams, "lm-4")
+        self.counts = {ORDER: self.grams.where("n > 0")}
         for k in range(ORDER - 1, 0, -1):
             low = self.counts[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")).agg(F.count("*").alias("n"))
             self.counts[k] = materialize(low, f"lm-{k}")
@@ -206,19 +214,25 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     good = good.where("quality > 0 and toxic = 0").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(10)) >= TRAIN_TENTHS).alias("held_out"))
     good = materialize(good, "lm-trusted")
-    ids = good.where("not held_out").select("doc_id")
+    ids = good.where("not held_out").select("doc_id", F.lit(True).alias("trusted"))
     few = ids.count() <= BROADCAST_IDS
-    trusted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return Model(gram_counts(trusted.select("text"))), good
+    marked = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left")
+    return Model(gram_counts(marked.select("text", "trusted"))), good
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (per byte; null of an empty text) of each row of `docs`."""
+def perplexities(docs: DataFrame, model: Model, grams: DataFrame | None = None) -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity (per byte; null of an empty text) of each row of `docs`.
+
+    `grams` (gram, distinct) are all 4-grams of the texts; they are gathered if not given.
+    """
+    if grams is None:
+        grams = gram_counts(docs)
+    known = materialize(model.probabilities(grams.select("gram")), "lm-p")
     packed, blocks = _blocks(docs)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    packed = packed.repartition(min(blocks, parts) if blocks < parts else parts, "block").sortWithinPartitions("block")
+    packed = packed.repartition(min(blocks, parts), "block").sortWithinPartitions("block")
     asked = packed.mapInArrow(_asked, "block int, gram long")
-    answers = asked.join(model.probabilities(asked.select("gram").distinct()), "gram").select("block", "gram", "p")
+    answers = asked.join(known, "gram").select("block", "gram", "p")
     scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score, "doc_id long, lang string, n_bytes long, bits double")
     return scored.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes"))).alias("perplexity"))
 
@@ -233,7 +247,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     model, good = train(rows, labels)
-    scores = materialize(perplexities(rows, model), "lm-scores")
+    scores = materialize(perplexities(rows, model, model.grams), "lm-scores")
     held = scores.join(good.where("held_out").select("doc_id"), "doc_id", "left_semi").where("perplexity is not null")
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     every = held.agg(at.alias("all")).first()[0]
