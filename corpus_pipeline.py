@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing, ngram_lm, packing, quality_rules, simhash_bk
+from lodestone.llm import mixing, near_copies, ngram_lm, packing, quality_rules
 from lodestone.llm.common import materialize, read_table
 
 
@@ -23,8 +23,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id."""
-    return simhash_bk.keep_one(docs)
+    """One document of each group of near-duplicates (5-word Jaccard of 0.8): that with the smallest doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -213,12 +213,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component, the row of the smallest doc_id.
+    """The rows of `docs` without near-duplicates: of each component, the row of the smallest doc_id."""
+    return keep_first(docs, near_duplicates(docs, **options))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `docs` that are the smallest of their component in `found` (doc_id, component_id).
 
     A doc_id stays if any of its rows is the smallest of its component; rows that repeat a doc_id
     are one document, of which one row is kept.
     """
-    found = near_duplicates(docs, **options)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = materialize(found.groupBy("doc_id").agg(F.max(first).alias("first"), F.count("*").alias("rows")), "simhash-kept")
     kept = without(docs, ids.where("not first").select("doc_id"), "simhash-dropped")
