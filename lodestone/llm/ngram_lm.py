@@ -8,9 +8,10 @@ Counts are Spark tables sharded by n-gram. All n-grams of the corpus get their p
 joins with the counts of their own and lower orders, from the unigrams up. Scoring sends texts,
 compressed, to blocks of neighbouring documents; a block asks for each of its n-grams once, by a
 join, and adds up the logarithms that come back per document. So what moves is about half
-a text and far fewer n-grams than positions. A document is rejected if its perplexity exceeds a
-quantile of its language's held-out trusted documents, and its text isn't so short that a few
-rare letters make the difference.
+a text and far fewer n-grams than positions. A document's excess is what it needs in bits a byte
+above the median of its language's held-out trusted documents, times the root of its length: bits
+a byte of clean texts spread by one over that root, so one quantile of the excess serves texts of
+every length. A document is rejected if its excess is above that quantile.
 """
 
 from __future__ import annotations
@@ -33,11 +34,9 @@ BLOCK_BYTES, ID_RUN = 12 << 20, 1024
 CHUNK = 2 << 20
 #: Of ten trusted documents so many train; the others set thresholds.
 TRAIN_TENTHS = 8
-#: Held-out trusted documents of a language with at most its threshold, and its slack. Languages
-#: with fewer held-out documents than LEAST_DOCS use the threshold of all.
-QUANTILE, SLACK, LEAST_DOCS = 0.995, 1.1, 50
-#: Bits by which a text may exceed what the threshold allows it in all.
-ALLOWED_BITS = 40.0
+#: Share of a language's held-out trusted documents that its threshold lets pass. Languages with
+#: fewer held-out documents than LEAST_DOCS use the threshold of all.
+QUANTILE, LEAST_DOCS = 0.995, 50
 
 
 def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +236,7 @@ def perplexities(docs: DataFrame, model: Model, grams: DataFrame | None = None)
     return scored.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes"))).alias("perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """One row per row of `docs` (doc_id, lang, text): lang, n_bytes, perplexity, threshold, kept.
 
     Null and empty texts have no perplexity and are rejected. A null language is one of its own;
@@ -249,14 +248,19 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     model, good = train(rows, labels)
     scores = materialize(perplexities(rows, model, model.grams), "lm-scores")
     held = scores.join(good.where("held_out").select("doc_id"), "doc_id", "left_semi").where("perplexity is not null")
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    every = held.agg(at.alias("all")).first()[0]
-    by_lang = held.groupBy("lang").agg((at * slack).alias("own"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).select(F.col("lang").alias("_lang"), "own")
-    threshold = F.coalesce(F.col("own"), F.lit(None if every is None else every * slack).cast("double"))
-    found = scores.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    excess = F.col("n_bytes") * (F.log2("perplexity") - F.log2("threshold"))
-    kept = F.col("perplexity").isNotNull() & F.coalesce(excess <= ALLOWED_BITS, F.lit(True))
-    return found.select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold")).withColumn("kept", kept)
+    held = materialize(held.select("lang", "n_bytes", F.log2("perplexity").alias("bits")), "lm-held")
+    middle, at = F.percentile_approx("bits", F.lit(0.5), F.lit(10_000)), F.percentile_approx("excess", F.lit(quantile), F.lit(10_000))
+    excess = (F.col("bits") - F.col("middle")) * F.sqrt("n_bytes")
+    every = held.agg(middle.alias("middle")).first()[0]
+    most = held.withColumn("middle", F.lit(every).cast("double")).withColumn("excess", excess).agg(at).first()[0]
+    middles = held.groupBy("lang").agg(middle.alias("middle"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).select(F.col("lang").alias("_lang"), "middle")
+    own = held.join(F.broadcast(middles), F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("excess", excess)
+    own = materialize(own.groupBy("_lang").agg(F.first("middle").alias("middle"), at.alias("most")), "lm-limits")
+    found = scores.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    one = lambda c, default: F.coalesce(F.col(c), F.lit(default).cast("double"))
+    limit = F.when(F.col("n_bytes") > 0, one("middle", every) + one("most", most) / F.sqrt("n_bytes"))
+    kept = F.col("perplexity").isNotNull() & F.coalesce(F.log2("perplexity") <= limit + 1e-12, F.lit(True))
+    return found.select("doc_id", "lang", "n_bytes", "perplexity", F.pow(F.lit(2.0), limit).alias("threshold"), kept.alias("kept"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -430,3 +430,14 @@ def test_classifier(spark, docs, labels, rows, empty):
     assert rest.columns == docs.columns and not {900, 400} & {r.doc_id for r in rest.collect()}
     assert ngram_lm.classify(empty, labels).count() == 0
     assert sum(r.kept for r in ngram_lm.classify(docs, labels.where("false")).collect()) == sum(bool(t) for _, t, _, _ in rows)
+
+
+def test_short_trusted_texts_do_not_loosen_the_threshold(spark):
+    held = {r.id for r in spark.range(600).where("pmod(xxhash64(id), 10) >= 8").collect()}
+    odd = set(sorted(held)[:4])
+    good = [(i, "Qz#7x" if i in odd else prose("en", 150), "en", "s0") for i in range(600)]
+    bad = [(1000 + i, w * 200, "en", "s0") for i, w in enumerate(("gnidna ", "Tsetse. ", "Oneaea "))]
+    every, marks = table(spark, good + bad), spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in ngram_lm.classify(every, marks).collect()}
+    assert not any(found[i].kept for i, *_ in bad)
+    assert sum(not found[i].kept for i in range(600) if i not in odd) <= 6
