@@ -38,6 +38,21 @@ class Record:
     offset: int
     headers: dict[str, str]
     block: bytes
+    #: Bytes of the archive that hold it, with others of its member; 0 if the member isn't whole.
+    length: int = 0
+
+    @property
+    def payload(self) -> bytes:
+        """The block without its HTTP header, if it has one."""
+        return self.block.partition(b"\r\n\r\n")[2] if self.block.startswith(b"HTTP/") or "application/http" in self.headers.get("content-type", "").lower() else self.block
+
+    @property
+    def payload_fits(self) -> bool:
+        """Whether the payload has its digest; revisits and records without a SHA-1 have none to check."""
+        algorithm, _, digest = self.headers.get("warc-payload-digest", "").partition(":")
+        if self.headers.get("warc-type") == "revisit" or algorithm.lower() != "sha1":
+            return True
+        return digest.upper() == base32_sha1(self.payload) or digest.lower() == hashlib.sha1(self.payload).hexdigest()
 
 
 @dataclass
@@ -91,33 +106,59 @@ def _parse(data: bytes, at: int) -> tuple[Record | None, int, str]:
     return Record(at, headers, block), stop + 4, ""
 
 
-def _member(data: bytes, at: int) -> tuple[list[Record], int, str]:
-    """The records of the gzip member at `at` and its end, or none and what is wrong."""
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at `at` gives, its end, and what is wrong with it."""
     unpack, raw, end = zlib.decompressobj(31), [], at
+    before = unpack
     try:
         while not unpack.eof and end < len(data):
+            before = unpack.copy()
             raw.append(unpack.decompress(data[end : end + STEP]))
             end += STEP
     except zlib.error:
-        return [], at, "bad gzip member"
+        try:
+            for i in range(end, min(end + STEP, len(data))):  # up to the byte that fails
+                raw.append(before.decompress(data[i : i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(raw), at, "bad gzip member"
     if not unpack.eof:
-        return [], at, "gzip member not ended"
-    end = min(end, len(data)) - len(unpack.unused_data)
-    records, inner, whole = [], 0, b"".join(raw)
+        return b"".join(raw), at, "gzip member not ended"
+    return b"".join(raw), min(end, len(data)) - len(unpack.unused_data), ""
+
+
+def _member(data: bytes, at: int) -> tuple[list[Record], int, str]:
+    """The valid records of the gzip member at `at`, its end, and what is wrong with the rest.
+
+    After a bad record the next version line is searched for. A member that isn't whole has its
+    start as its end; if its bytes are bad, only records with a block digest count, and a record
+    at the very end of what a cut member gave is quarantined with the cut.
+    """
+    whole, end, wrong = _unpacked(data, at)
+    records, inner, why = [], 0, ""
     while inner < len(whole):
-        record, inner, why = _parse(whole, inner)
+        record, stop, reason = _parse(whole, inner)
+        if record and wrong == "bad gzip member" and not record.headers.get("warc-block-digest", "").lower().startswith("sha1:"):
+            record, reason = None, wrong
+        if record and wrong == "gzip member not ended" and stop == len(whole):
+            record, reason = None, wrong
         if record is None:
-            return [], at, why
+            why = why or reason
+            found = _version.search(whole, inner + 1)
+            inner = found.start() if found else len(whole)
+            continue
         record.offset = at
         records.append(record)
-    return records, end, "" if records else "empty member"
+        inner = stop
+    return records, end, wrong or why or ("" if records else "empty member")
 
 
 def salvage(data: bytes) -> Salvaged:
     """Read all valid records of an archive, of gzip members, plain records or both.
 
     Bytes that belong to no valid record are gaps; NULs and line ends between records are padding.
-    An empty archive has neither records nor gaps.
+    A member with both good and bad records is a gap too. An empty archive has neither records nor
+    gaps.
     """
     out, at, lost = Salvaged(), 0, None
 
@@ -138,9 +179,14 @@ def salvage(data: bytes) -> Salvaged:
             records = [record] if record else []
         if records:
             close(at)
+            for r in records:
+                r.length = max(end - at, 0)
             out.records += records
-            at = end
-            continue
+            if why and end > at:
+                out.gaps.append((at, end - at, why))
+            if end > at:
+                at = end
+                continue
         lost = lost or (at, why)
         found = _begin.search(data, at + 1)
         at = found.start() if found else len(data)
@@ -153,8 +199,9 @@ def _page_uri(page_id: int | None) -> str:
 
 
 def _page_id(uri: str) -> int | None:
-    number = uri.removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    """The number in a page's record id; ids of other writers have none."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", uri)
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
 
 
 def page_record(page_id: int | None, url: str | None, html: bytes, size: int, sha1: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -205,29 +252,32 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, records_per_f
     members.write.option("lineSep", "\u0000").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-_PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, path string, offset long"
+_PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, path string, offset long, record_id string"
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """One row per valid record of the archives under `path`, with its payload (none for revisits)."""
+    """One row per valid record of the archives under `path`, with its payload (none for revisits).
+
+    Records of any type and writer are read; page_id is null where record_id isn't a page's. Those
+    whose payload differs from its digest are in `read_gaps` instead.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
                 rows = []
                 for r in salvage(content.as_py()).records:
-                    http, _, payload = r.block.partition(b"\r\n\r\n")
-                    length = re.search(rb"(?i)content-length: *(\d+)", http)
-                    kind, digest = r.headers.get("warc-type", ""), r.headers.get("warc-payload-digest", "")
-                    again = kind == "revisit"
-                    if not again and base32_sha1(payload) != digest.removeprefix("sha1:"):
+                    if not r.payload_fits:
                         continue
+                    payload, kind, digest = r.payload, r.headers.get("warc-type", ""), r.headers.get("warc-payload-digest")
+                    again = kind == "revisit"
+                    length = re.search(rb"(?i)content-length: *([0-9]{1,18})(?![0-9])", r.block[: len(r.block) - len(payload)])
                     rows.append((
-                        _page_id(r.headers.get("warc-record-id", "")), int(length[1]) if length else len(payload), digest.removeprefix("sha1:"), kind,
-                        _page_id(r.headers["warc-refers-to"]) if again and "warc-refers-to" in r.headers else None, r.headers.get("warc-target-uri"), None if again else payload, name, r.offset,
+                        _page_id(r.headers["warc-record-id"]), int(length[1]) if length and again else len(payload), digest and digest.removeprefix("sha1:"), kind,
+                        _page_id(r.headers["warc-refers-to"]) if again and "warc-refers-to" in r.headers else None, r.headers.get("warc-target-uri"), None if again else payload, name, r.offset, r.headers["warc-record-id"],
                     ))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64())
+                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _PAGES.split(", ")])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -235,12 +285,13 @@ def read_archives(spark, path: str) -> DataFrame:
 
 
 def read_gaps(spark, path: str) -> DataFrame:
-    """The log of quarantined bytes: path, offset, length, reason."""
+    """The log of quarantined bytes, and of records with another payload than their digest says: path, offset, length, reason."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                gaps = salvage(content.as_py()).gaps
+                found = salvage(content.as_py())
+                gaps = sorted(found.gaps + [(r.offset, r.length, "payload digest differs") for r in found.records if not r.payload_fits])
                 at, length, why = zip(*gaps) if gaps else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(gaps), pa.string()), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(why, pa.string())], names=["path", "offset", "length", "reason"])
 
