@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import few, materialize
+
 DIMS = 4096
 #: Training documents of a language, and of all languages, at most (those with the lowest hashes).
 PER_LANG, TRAIN_ROWS = 1_500, 12_000
@@ -32,7 +34,11 @@ FAMILIES = {
     "semitic": "ar he mt am",
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
-_has_letter = re.compile(r"[^\W\d_]").search
+_plain_letter = re.compile("[A-Za-z]").search
+
+
+def has_letter(text: str) -> bool:
+    return bool(_plain_letter(text)) or any(map(str.isalpha, text))
 
 
 def family_of(lang: str) -> str:
@@ -137,7 +143,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, at, values = [], [], []
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
             text = text.as_py()
-            if text and _has_letter(text):
+            if text and has_letter(text):
                 x = features(text)
                 langs.append(lang)
                 at.append(np.flatnonzero(x).astype(np.int16).tobytes())
@@ -146,14 +152,22 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, rows: int = TRAIN_ROWS) -> Model | None:
-    """Fit on rows whose crc32(doc_id) modulo 4 isn't 2 and whose lang isn't null."""
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = docs.where((_remainder() != 2) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
-    # the planner keeps the first rows of each task and language before it moves any
-    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).orderBy("n", "lang").limit(rows).select("doc_id", "lang")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    found = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in texts.mapInArrow(_rows, "lang string, at binary, x binary").limit(2 * rows).collect())
+    """Fit on rows whose crc32(doc_id) modulo 4 isn't 2 and whose lang isn't null.
+
+    At most `per_lang` of a language and `rows` in all are taken, those of the lowest hashes of id
+    and text; rows that repeat count once.
+    """
+    lang, text = F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
+    known = docs.where((_remainder() != 2) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    known = known.select(lang, text, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("h"))
+    # a row per language; a share of hashes then leaves about twice what a language may have, wherever its rows are
+    counts = few(materialize(known.groupBy("lang").agg(F.count("*").alias("rows")), "lang-counts"))
+    below = F.least(F.lit(1.0), 2.0 * per_lang / F.col("rows")) * (1 << 62)
+    low = known.join(counts, "lang").where(F.shiftrightunsigned("h", 2) < below).select("lang", "h").distinct()
+    order = Window.partitionBy("lang").orderBy("h")
+    low = low.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).orderBy("n", "lang").limit(rows).select("lang", "h")
+    texts = known.join(F.broadcast(materialize(low, "lang-rows")), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
+    found = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in texts.mapInArrow(_rows, "lang string, at binary, x binary").collect())
     x = np.zeros((len(found), DIMS), dtype=np.float32)
     for i, (_, at, values) in enumerate(found):
         x[i, np.frombuffer(at, np.int16)] = np.frombuffer(values, np.float32)
@@ -164,7 +178,8 @@ def predict_languages(docs: DataFrame, per_lang: int = PER_LANG, rows: int = TRA
     """One row per row of `docs` (doc_id, text, lang): held_out, lang_pred, score.
 
     Texts that are null or have no letter are `und` with score 0; so is everything if no row has a
-    language to learn from. Repeated rows and null doc_ids are kept; lang is only learned from.
+    language to learn from. Repeated rows and null doc_ids are kept; lang is only learned from; other
+    columns are ignored; an empty table gives no rows. The model is trained before this returns.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, per_lang, rows))
 
@@ -176,7 +191,7 @@ def predict_languages(docs: DataFrame, per_lang: int = PER_LANG, rows: int = TRA
                 rows, xs = [], []
                 for i in range(k, min(k + 512, b.num_rows)):
                     text = b.column(2)[i].as_py()
-                    if known and text and _has_letter(text):
+                    if known and text and has_letter(text):
                         rows.append(i)
                         xs.append(features(text))
                 if rows:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import ROW_KEY, few, materialize, stable, whole_rows, with_row_key, word_count
 
 #: Weights of the sources in order, repeating, and the slopes of their schedules.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -22,17 +22,20 @@ SLOPES = (0.5, 0.0, -0.5)
 #: Words of the mix as a share of all words; most copies of a document.
 SHARE, MOST = 1.5, 2.0
 BUCKETS_BITS = 10
+#: Rows of the plan that are broadcast, at most (24 MB).
+BROADCAST_PLAN = 500_000
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and the place (60 bits) of the document in its source."""
+def document_sizes(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, source, size in words, the place (60 bits) of the document in its source, and ROW_KEY if `keyed`."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return docs.select(
+    picked = (
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
         F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long").alias("place"),
     )
+    return with_row_key(docs, *picked) if keyed else docs.select(*picked)
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -45,7 +48,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: floa
     every = Window.partitionBy()
     in_order = every.orderBy(F.col("source").asc_nulls_last())
     by_room = every.orderBy("room", "rank")
-    # as many rows as there are sources, after the aggregate
+    # one task, which sees a row per source after the aggregate: for thousands of sources, not for billions
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     per = per.withColumn("rank", F.row_number().over(in_order) - 1)
     pick = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.col("rank") % n + 1).cast("int"))
@@ -60,15 +63,17 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: floa
     return per.select("source", "source_size", "slope", F.round("target", 6).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, most: float = MOST) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, most: float = MOST, keyed: bool = False) -> DataFrame:
     """One row per document: size, source_size, target, copies, taken, slope and positions.
 
     A source takes all its documents floor(target / size) times, and once more those that come
     first in a fixed order of hashes, as far as brings it nearest the target. `positions` has the
     time of each copy in [0, 1]. Null texts have size 0; a null source is a source of its own,
-    the last; rows that repeat are mixed each, in a fixed order. An empty table gives no rows.
+    the last; rows that repeat are mixed each, in a fixed order, which with `keyed` (for a stable
+    frame) is that of their places. An empty table gives no rows. Sizes are made before this returns.
     """
-    sizes = materialize(document_sizes(docs), "mix-sizes")
+    key = ROW_KEY if keyed else ()
+    sizes = materialize(document_sizes(docs, keyed), "mix-sizes")
     targets = source_targets(sizes, weights, slopes, share, most)
     shift = 60 - BUCKETS_BITS
     rows = sizes.withColumn("bucket", F.shiftright("place", shift).cast("int"))
@@ -76,10 +81,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, share: float = SHARE, m
     by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(by_source), F.lit(0))).drop("words")
     starts = sums.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "bucket", "before", "source_size", "slope", "target")
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size", *key).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
     rows = rows.alias("r").join(starts.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bucket") == F.col("s.bucket")))
-    rows = rows.select("doc_id", "r.source", "size", "source_size", "target", "slope", (F.col("before") + F.col("inside")).alias("start"))
+    rows = rows.select("doc_id", *key, "r.source", "size", "source_size", "target", "slope", (F.col("before") + F.col("inside")).alias("start"))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     rows = rows.withColumn("full", full)
     more = F.col("target") - F.col("full") * F.col("source_size")
@@ -102,13 +107,13 @@ def mixed_order(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it, range-sorted by training position.
 
-    The text is moved once, by the range sort; which copy goes where is found on ids and sizes. A
-    null doc_id joins null ones; documents of no words are not taken; rows that repeat are taken as
-    often as the one of them that is taken most.
+    Which row goes where is found on ids, sizes and the rows' places, so rows that repeat or have
+    no doc_id are taken as often as `mix` says of each, and columns may have any names. Documents
+    of no words are not taken; an empty table gives no rows. The plan is broadcast while it is
+    small; then the text is moved once, by the range sort. Written as Parquet, the part files' numbers and the rows' numbers in them
+    are the training order (see `packing.pack_documents`).
     """
-    plan = mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("positions").alias("positions"))
-    plan = materialize(plan, "mix-plan")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    same = keyed["doc_id"].eqNullSafe(plan["doc_id"]) & keyed["source"].eqNullSafe(plan["source"]) & (keyed["size"] == plan["size"])
-    rows = keyed.join(plan, same).select("row", F.explode("positions").alias("position"))
-    return rows.sort("position").select("row.*")
+    docs = stable(docs)
+    plan = materialize(mix(docs, keyed=True, **options).where("copies > 0").select(*ROW_KEY, "positions"), "mix-plan")
+    rows = whole_rows(docs).join(few(plan, BROADCAST_PLAN), list(ROW_KEY)).select("_doc", F.explode("positions").alias("_position"), *ROW_KEY)
+    return rows.sort("_position", *ROW_KEY).select("_doc.*")

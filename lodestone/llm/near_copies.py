@@ -5,8 +5,10 @@ Texts with equal sets of shingles are one node. Candidate pairs come from the BK
 bands (40 of 6 values; a pair at 0.8 shares none with probability 5e-6). Every candidate is
 compared by its whole sets, so no link is below the threshold.
 
-A bucket's nodes are first compared with its smallest; only nodes of a bucket that are then still
-in different components are compared with each other, so large groups of copies cost no pairs.
+A bucket's nodes are first compared with its smallest, so large groups of copies cost no pairs.
+Nodes of buckets that are then still in different components are joined by an exact prefix filter:
+two sets at the threshold share one of each one's rarest fifth of shingles, counted among these
+nodes, so documents that share a common passage and little else never meet.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash_bk
-from .common import BROADCAST_IDS, materialize
+from .common import BROADCAST_IDS, ROW_KEY, few, materialize, stable
 
 THRESHOLD, SHINGLE = 0.8, 5
 BANDS, VALUES, SEED = 40, 6, 42
@@ -62,10 +64,6 @@ def _bands(found: np.ndarray) -> np.ndarray:
     return mixed
 
 
-def _ids(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(simhash_bk.NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def _signed(values) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
@@ -75,14 +73,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t.as_py()) for t in b.column(1)]
         bands = [_bands(s).view(np.int64).tolist() if len(s) else [] for s in sets]
         prints = [simhash_bk.fingerprint(t.as_py(), SHINGLE) for t in b.column(1)]
-        columns = [b.column(0), _signed([_key(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _signed(prints), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "fp", "bands"])
+        columns = [b.column(0), _signed([_key(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _signed(prints), pa.array(bands, pa.list_(pa.int64())), *b.columns[2:]]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "fp", "bands", *ROW_KEY])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, 500):
-            found = [shingles(t.as_py()) for t in b.column(1)[k : k + 500]]
+            found = [shingles(t.as_py()) for t in b.column(0)[k : k + 500]]
             yield pa.RecordBatch.from_arrays([_signed([_key(s) for s in found]), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["key", "found"])
 
 
@@ -99,15 +97,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     return materialize(rows.where(both >= THRESHOLD * (F.size("_a") + F.size("_b") - both)).select("u", "v"), label)
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id of each row of `docs` (doc_id, text).
+def _rare_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v), u > v: pairs of `nodes` (key, n, root) of different roots that share one of both's rarest shingles.
 
-    component_id is the smallest doc_id reachable by pairs at the threshold, itself included.
-    Texts without words are copies of each other. A null doc_id counts as the largest, and is null
-    in the result. An empty table gives no rows.
+    A set of n shingles at the threshold to another shares at least THRESHOLD * n with it, so one of
+    its n - ceil(THRESHOLD * n) + 1 first, in whatever order both are read; in the order of rarity
+    these are shared by few.
     """
-    rows = materialize(_ids(docs).mapInArrow(_describe, "doc_id long, key long, n long, fp long, bands array<long>"), "near-rows")
-    nodes = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")).where("n > 0"), "near-nodes")
+    held = materialize(nodes.join(sets, "key").select("key", "n", "root", F.explode("found").alias("s")), "near-hard")
+    counts = held.groupBy("s").agg(F.count("*").alias("df"))
+    first = held.join(counts, "s").groupBy("key", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
+    prefix = F.slice("order", 1, (F.col("n") - F.ceil(THRESHOLD * F.col("n") - 1e-9) + 1).cast("int"))
+    first = first.select("key", "n", "root", F.explode(prefix).alias("o")).where("o.df > 1").select("key", "n", "root", "o.s")
+    first = materialize(first, "near-prefix")
+    other = first.select("s", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "root")])
+    pairs = first.join(other, "s").where("key > key2 and root <> root2").where(_alike("n", "n2"))
+    return materialize(pairs.select(F.col("key").alias("u"), F.col("key2").alias("v")).distinct(), "near-rest")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id (NO_ID if null), ROW_KEY and component, a key, of each row of a stable frame."""
+    texts = simhash_bk.ids_and_texts(docs, keyed=True)
+    rows = materialize(texts.mapInArrow(_describe, f"doc_id long, key long, n long, fp long, bands array<long>, {ROW_KEY[0]} long, {ROW_KEY[1]} long"), "near-rows")
+    place = F.struct(*ROW_KEY).alias("at")
+    nodes = materialize(rows.groupBy("key").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")).where("n > 0"), "near-nodes")
 
     buckets = nodes.select("key", "n", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("lead"), F.count("*").alias("rows")).where("rows > 1")
@@ -121,28 +134,39 @@ def near_copies(docs: DataFrame) -> DataFrame:
     pairs = materialize(close.unionByName(equal).unionByName(trees).distinct(), "near-pairs")
 
     asked = members.select("key").unionByName(pairs.select(F.col("u").alias("key"))).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
-    ids = materialize(nodes.join(asked, "key", "left_semi").select("doc_id").distinct(), "near-asked")
-    few = ids.count() <= BROADCAST_IDS
-    texts = _ids(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets, "key long, found array<long>").dropDuplicates(["key"]), "near-sets")
+    places = few(materialize(nodes.join(asked, "key", "left_semi").select("at.*"), "near-asked"), BROADCAST_IDS // 2)
+    sets = materialize(texts.join(places, list(ROW_KEY), "left_semi").select("text").mapInArrow(_sets, "key long, found array<long>"), "near-sets")
     links = _verified(pairs, sets, "near-links")
 
     roots = simhash_bk.components(links, "near-cc")
-    named = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", "n", F.col("key").eqNullSafe(F.col("lead")).alias("is_lead"), F.coalesce("root", "key").alias("root"))
+    named = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
     split = named.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    named = materialize(named.where("not is_lead").join(split, "bucket", "left_semi"), "near-split")
-    other = named.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "root")])
-    rest = named.join(other, "bucket").where("key > key2 and root <> root2").where(_alike("n", "n2"))
-    rest = materialize(rest.select(F.col("key").alias("u"), F.col("key2").alias("v")).distinct(), "near-rest")
-    links = links.unionByName(_verified(rest, sets, "near-more"))
+    hard = materialize(named.join(split, "bucket", "left_semi").select("key", "n", "root").distinct(), "near-split")
+    links = links.unionByName(_verified(_rare_pairs(hard, sets), sets, "near-more"))
 
     roots = simhash_bk.components(links, "near-cc")
-    named = rows.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("root", "key").alias("root"))
-    least = materialize(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-components")
+    return rows.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", *ROW_KEY, F.coalesce("root", "key").alias("component"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id of each row of `docs` (doc_id, text).
+
+    component_id is the smallest doc_id reachable by pairs at the threshold, itself included.
+    Texts without words are copies of each other. A null doc_id counts as the largest, and is null
+    in the result. An empty table gives no rows.
+    """
+    named = _grouped(stable(docs))
+    least = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-components")
     null = lambda c: F.when(F.col(c) != simhash_bk.NO_ID, F.col(c)).alias(c)
-    return named.join(least, "root").select(null("doc_id"), null("component_id"))
+    return named.join(least, "component").select(null("doc_id"), null("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without near-copies: of each component, the row of the smallest doc_id."""
-    return simhash_bk.keep_first(docs, near_copies(docs))
+    """The rows of `docs` without near-copies: of each component, that of the smallest doc_id.
+
+    Rows are told apart by their place, so rows that share a doc_id or have none stay unless their
+    texts are alike; of rows that tie the one that stands first is kept. Columns of any name are
+    kept as they are. An empty table gives no rows.
+    """
+    docs = stable(docs)
+    return simhash_bk.keep_first(docs, _grouped(docs))

@@ -1,14 +1,15 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model's units are UTF-8 bytes and its order is 4, so an n-gram is an exact integer key, and a
+The model's units are UTF-8 bytes and its order is 5, so an n-gram is an exact integer key, and a
 text of any language has whole contexts. Trusted text is that of documents labelled good and not
 toxic; counts cover all of it, but for a tenth-wise share held out to set thresholds.
 
 Counts are Spark tables sharded by n-gram. All n-grams of the corpus get their probability by
-joins with the counts of their own and lower orders, from the unigrams up. Scoring sends texts,
-compressed, to blocks of neighbouring documents; a block asks for each of its n-grams once, by a
-join, and adds up the logarithms that come back per document. So what moves is about half
-a text and far fewer n-grams than positions. A document's excess is what it needs in bits a byte
+joins with the counts of their own and lower orders, from the unigrams up. Scoring cuts each
+task's texts into blocks of so many bytes, compressed; a block asks for each of its n-grams once,
+by a join, and adds up the logarithms that come back per document. So what moves is about half
+a text and far fewer n-grams than positions, and blocks are as large as each other whatever the
+ids and sizes of the documents. A document's excess is what it needs in bits a byte
 above the median of its language's held-out trusted documents, times the root of its length: bits
 a byte of clean texts spread by one over that root, so one quantile of the excess serves texts of
 every length. A document is rejected if its excess is above that quantile.
@@ -22,14 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, materialize, without
+from .common import ROW_KEY, few, materialize, stable, with_row_key, without_rows
 
-ORDER = 4
-#: Bytes of text of a block, about, and ids that stay together.
-BLOCK_BYTES, ID_RUN = 12 << 20, 1024
+ORDER = 5
+#: Bytes of text of a block, about (a longer text is a block of its own), and partitions at most
+#: that blocks are dealt to.
+BLOCK_BYTES, MOST_PARTITIONS = 12 << 20, 50_000
 #: Bytes whose n-grams are counted together.
 CHUNK = 2 << 20
 #: Of ten trusted documents so many train; the others set thresholds.
@@ -39,35 +42,45 @@ TRAIN_TENTHS = 8
 QUANTILE, LEAST_DOCS = 0.995, 50
 
 
-def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """4-gram ending at each byte of each text, with NULs before its start; and the text it is of."""
+def _keys(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """N-gram ending at each byte of each piece after its first ORDER - 1, and the piece it is of."""
     pad = ORDER - 1
-    raw = np.frombuffer(b"".join(b"\0" * pad + t for t in texts), dtype=np.uint8).astype(np.uint32)
-    sizes = np.array([len(t) + pad for t in texts], dtype=np.int64)
-    keys = np.zeros(len(raw), dtype=np.uint32)
+    raw = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
+    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+    keys = np.zeros(len(raw), dtype=np.int64)
     for i in range(ORDER):
-        keys[pad:] |= raw[pad - i : len(raw) - i] << np.uint32(8 * i)
+        keys[pad:] |= raw[pad - i : len(raw) - i] << (8 * i)
     real = np.ones(len(raw), dtype=bool)
     starts = np.cumsum(sizes) - sizes
     for i in range(pad):
         real[starts + i] = False
-    return keys[real], np.repeat(np.arange(len(texts)), sizes - pad)
+    return keys[real], np.repeat(np.arange(len(pieces)), sizes - pad)
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about CHUNK bytes, with the number of the first."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t) + ORDER
-        if size >= CHUNK:
-            yield first, texts[first : i + 1]
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, texts[first:]
+def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Runs of about CHUNK bytes of pieces, and the text that each is of.
+
+    A piece begins with the ORDER - 1 bytes before it, NULs at the start of a text; long texts are
+    in several.
+    """
+    pad, size = ORDER - 1, 0
+    owners: list[int] = []
+    pieces: list[bytes] = []
+    for i, text in enumerate(texts):
+        whole = b"\0" * pad + text
+        for at in range(0, len(text), CHUNK):
+            owners.append(i)
+            pieces.append(whole[at : at + CHUNK + pad])
+            size += len(pieces[-1])
+            if size >= CHUNK:
+                yield np.array(owners), pieces
+                owners, pieces, size = [], [], 0
+    if pieces:
+        yield np.array(owners), pieces
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, n): the 4-grams of all `texts` (text, trusted), with their occurrences in trusted ones.
+    """(gram, n): the n-grams of all `texts` (text, trusted), with their occurrences in trusted ones.
 
     They are summed per chunk before they move. Without a column `trusted` all texts are.
     """
@@ -78,7 +91,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             for mark in (True, False):
                 for _, some in _chunks([(t or "").encode() for t in b.column(0).filter(pa.array(marks == mark)).to_pylist()]):
                     grams, n = np.unique(_keys(some)[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(n * mark)], names=["gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n * mark)], names=["gram", "n"])
 
     mark = F.col("trusted") if "trusted" in texts.columns else F.lit(True)
     rows = texts.select(F.col("text").cast("string").alias("text"), F.coalesce(mark, F.lit(False)).alias("trusted"))
@@ -93,7 +106,7 @@ class Model:
 
     def __init__(self, grams: DataFrame):
         """`grams` may have n-grams of no occurrence, which count nowhere but can be asked for."""
-        self.grams = materialize(grams, "lm-4")
+        self.grams = materialize(grams, "lm-grams")
         self.counts = {ORDER: self.grams.where("n > 0")}
         for k in range(ORDER - 1, 0, -1):
             low = self.counts[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")).agg(F.count("*").alias("n"))
@@ -116,7 +129,7 @@ class Model:
         return table.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), *one, F.count_if(F.col("n") >= 3).alias("n3"))
 
     def probabilities(self, asked: DataFrame) -> DataFrame:
-        """(gram, p) for the 4-grams of `asked` (gram, distinct)."""
+        """(gram, p) for the n-grams of `asked` (gram, distinct)."""
         lower = {ORDER: asked}
         for k in range(ORDER - 1, 0, -1):
             lower[k] = lower[k + 1].select(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")).distinct()
@@ -137,28 +150,47 @@ class Model:
         return below
 
 
-def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows (block, ids, langs, sizes, texts) of compressed runs of documents, and the number of blocks."""
+_OWN = ("doc_id", *ROW_KEY, "lang")
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Rows (block, doc_id, ROW_KEY, lang, sizes, texts), each a compressed run of documents of one task.
+
+    A block's number is that of its task and its own there, so a task that is run again makes the
+    same blocks.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    block = F.pmod(F.xxhash64(F.floor(F.coalesce(F.col("doc_id"), F.lit(0)) / ID_RUN)), F.lit(blocks)).cast("int")
-    kinds = pa.schema([("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
+    kinds = pa.schema([("block", pa.int64()), *((c, pa.list_(pa.string() if c == "lang" else pa.int64())) for c in _OWN), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=5)
-        for b in batches:
-            at = b.column(3).to_numpy()
-            order = np.argsort(at, kind="stable")
-            for rows in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []:
-                part = b.take(pa.array(rows))
-                texts = [(t or "").encode() for t in part.column(2).to_pylist()]
-                columns = [[int(at[rows[0]])], [part.column(0).to_pylist()], [part.column(1).to_pylist()], [[len(t) for t in texts]], [squeeze.compress(b"".join(texts))]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+        number, held, texts, size = TaskContext.get().partitionId() << 32, [[] for _ in _OWN], [], 0
 
-    rows = docs.select("doc_id", "lang", "text", block.alias("block"))
-    return rows.mapInArrow(run, "block int, ids array<long>, langs array<string>, sizes array<long>, texts binary"), blocks
+        def done() -> pa.RecordBatch:
+            nonlocal number, held, texts, size
+            columns = [[number], *([c] for c in held), [[len(t) for t in texts]], [squeeze.compress(b"".join(texts))]]
+            number, held, texts, size = number + 1, [[] for _ in _OWN], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+        for b in batches:
+            own = [b.column(i).to_pylist() for i in range(len(_OWN))]
+            for i, text in enumerate(b.column(len(_OWN))):
+                raw = (text.as_py() or "").encode()
+                if texts and size + len(raw) > BLOCK_BYTES:
+                    yield done()
+                for c, values in zip(held, own):
+                    c.append(values[i])
+                texts.append(raw)
+                size += len(raw)
+        if texts:
+            yield done()
+
+    ddl = "block long, doc_id array<long>, " + ", ".join(f"{c} array<long>" for c in ROW_KEY) + ", lang array<string>, sizes array<long>, texts binary"
+    parts = min(MOST_PARTITIONS, max(1, 2 * math.ceil(size / BLOCK_BYTES)))
+    packed = docs.select(*_OWN, "text").mapInArrow(run, ddl)
+    return packed.repartition(parts, "block").sortWithinPartitions("block")
 
 
 def _texts(blob: bytes, sizes) -> list[bytes]:
@@ -171,41 +203,33 @@ def _texts(blob: bytes, sizes) -> list[bytes]:
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, gram): the different n-grams of each block; rows of a block come together."""
-    held: np.ndarray = np.zeros(0, dtype=np.uint32)
-    block = None
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), block, dtype=np.int32)), pa.array(held.astype(np.int64))], names=["block", "gram"])
-
+    """(block, gram): the different n-grams of each block."""
     for b in batches:
+        at = b.schema.get_field_index("sizes")
         for i in range(b.num_rows):
-            own = b.column(0)[i].as_py()
-            if own != block and block is not None:
-                yield done()
-                held = np.zeros(0, dtype=np.uint32)
-            block = own
-            for _, some in _chunks(_texts(b.column(4)[i].as_py(), b.column(3)[i].as_py())):
+            held = np.zeros(0, dtype=np.int64)
+            for _, some in _chunks(_texts(b.column(at + 1)[i].as_py(), b.column(at)[i].as_py())):
                 held = np.union1d(held, _keys(some)[0])
-    if block is not None:
-        yield done()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), b.column(0)[i].as_py(), dtype=np.int64)), pa.array(held)], names=["block", "gram"])
 
 
 def _score(_, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """Sum of the log2 probabilities of each document of a block."""
     order = np.argsort(answers["gram"].to_numpy(), kind="stable")
-    grams = answers["gram"].to_numpy()[order].astype(np.uint32)
+    grams = answers["gram"].to_numpy()[order]
     logs = np.log2(np.maximum(answers["p"].to_numpy()[order], 1e-12))
     out = []
-    for ids, langs, sizes, blob in zip(docs["ids"], docs["langs"], docs["sizes"], docs["texts"]):
-        bits = np.zeros(len(sizes))
-        for first, some in _chunks(_texts(blob, sizes)):
-            keys, owner = _keys(some)
+    for row in docs.itertuples(index=False):
+        bits = np.zeros(len(row.sizes))
+        for owners, some in _chunks(_texts(row.texts, row.sizes)):
+            keys, piece = _keys(some)
             own, where = np.unique(keys, return_inverse=True)
             if len(own):
-                bits[first : first + len(some)] += np.bincount(owner, weights=logs[np.searchsorted(grams, own)][where], minlength=len(some))
-        out.append(pd.DataFrame({"doc_id": pd.array(list(ids), dtype="Int64"), "lang": list(langs), "n_bytes": np.asarray(sizes, dtype=np.int64), "bits": -bits}))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], dtype="Int64"), "lang": [], "n_bytes": [], "bits": []})
+                bits += np.bincount(owners[piece], weights=logs[np.searchsorted(grams, own)][where], minlength=len(bits))
+        held = dict(zip(docs.columns, row))
+        ids = {c: pd.array(list(held[c]), dtype="Int64") for c in _OWN[:-1]}
+        out.append(pd.DataFrame({**ids, "lang": list(held["lang"]), "n_bytes": np.asarray(row.sizes, dtype=np.int64), "bits": -bits}))
+    return pd.concat(out)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
@@ -214,37 +238,30 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     good = good.where("quality > 0 and toxic = 0").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(10)) >= TRAIN_TENTHS).alias("held_out"))
     good = materialize(good, "lm-trusted")
     ids = good.where("not held_out").select("doc_id", F.lit(True).alias("trusted"))
-    few = ids.count() <= BROADCAST_IDS
-    marked = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left")
+    marked = docs.join(few(ids), "doc_id", "left")
     return Model(gram_counts(marked.select("text", "trusted"))), good
 
 
 def perplexities(docs: DataFrame, model: Model, grams: DataFrame | None = None) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (per byte; null of an empty text) of each row of `docs`.
+    """doc_id, ROW_KEY (null if `docs` has none), lang, n_bytes, perplexity (per byte; null of an empty text) of each row.
 
-    `grams` (gram, distinct) are all 4-grams of the texts; they are gathered if not given.
+    `grams` (gram, distinct) are all n-grams of the texts; they are gathered if not given.
     """
     if grams is None:
         grams = gram_counts(docs)
     known = materialize(model.probabilities(grams.select("gram")), "lm-p")
-    packed, blocks = _blocks(docs)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    packed = packed.repartition(min(blocks, parts), "block").sortWithinPartitions("block")
-    asked = packed.mapInArrow(_asked, "block int, gram long")
-    answers = asked.join(known, "gram").select("block", "gram", "p")
-    scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score, "doc_id long, lang string, n_bytes long, bits double")
-    return scored.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes"))).alias("perplexity"))
-
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """One row per row of `docs` (doc_id, lang, text): lang, n_bytes, perplexity, threshold, kept.
-
-    Null and empty texts have no perplexity and are rejected. A null language is one of its own;
-    null doc_ids are scored like others. Without trusted text every byte is as likely as any
-    other, there are no thresholds, and all texts that aren't empty are kept. Repeated rows are
-    scored each; other columns are ignored; an empty table gives no rows.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    for c in ROW_KEY:
+        docs = docs if c in docs.columns else docs.withColumn(c, F.lit(None).cast("long"))
+    packed = _blocks(docs)
+    answers = packed.mapInArrow(_asked, "block long, gram long").join(known, "gram").select("block", "gram", "p")
+    longs = ", ".join(f"{c} long" for c in _OWN[:-1])
+    scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score, f"{longs}, lang string, n_bytes long, bits double")
+    return scored.select(*_OWN, "n_bytes", F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes"))).alias("perplexity"))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """What `classify` returns of each row of a stable frame, with its ROW_KEY."""
+    rows = with_row_key(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     model, good = train(rows, labels)
     scores = materialize(perplexities(rows, model, model.grams), "lm-scores")
     held = scores.join(good.where("held_out").select("doc_id"), "doc_id", "left_semi").where("perplexity is not null")
@@ -260,11 +277,22 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     one = lambda c, default: F.coalesce(F.col(c), F.lit(default).cast("double"))
     limit = F.when(F.col("n_bytes") > 0, one("middle", every) + one("most", most) / F.sqrt("n_bytes"))
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.log2("perplexity") <= limit + 1e-12, F.lit(True))
-    return found.select("doc_id", "lang", "n_bytes", "perplexity", F.pow(F.lit(2.0), limit).alias("threshold"), kept.alias("kept"))
+    return found.select("doc_id", *ROW_KEY, "lang", "n_bytes", "perplexity", F.pow(F.lit(2.0), limit).alias("threshold"), kept.alias("kept"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """One row per row of `docs` (doc_id, lang, text): lang, n_bytes, perplexity, threshold, kept.
+
+    Null and empty texts have no perplexity and are rejected. A null language is one of its own;
+    null doc_ids are scored like others. Without trusted text every byte is as likely as any
+    other, there are no thresholds, and all texts that aren't empty are kept. Repeated rows are
+    scored each; other columns are ignored; an empty table gives no rows. The model is trained and
+    the texts are scored before this returns.
+    """
+    return _judged(stable(docs), labels, quantile).drop(*ROW_KEY)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that `classify` keeps; rows that share a doc_id go only if all are rejected."""
-    found = classify(docs, labels, **options)
-    rejected = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
-    return without(docs, rejected, "lm-rejected")
+    """The rows of `docs` that `classify` keeps, each judged by its own text, with all their columns."""
+    docs = stable(docs)
+    return without_rows(docs, _judged(docs, labels, **options).where("not kept"), "lm-rejected")

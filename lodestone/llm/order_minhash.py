@@ -8,25 +8,30 @@ there; they are put back into the order of the text and hashed together. So a sh
 the same k-mers in the same order, and the share of equal tuples falls with the edit distance,
 which a plain MinHash of the set would not see for moved passages.
 
-One sort of a text's hashes serves all points. Repeated k-mers are numbered by a sort and runs,
-without pairs; nothing leaves the text's row. Only the next document's text is moved, by one
-shuffle in blocks of neighbouring ids.
+One sort of a text's hashes serves all points: neighbouring tuples may share k-mers, which leaves
+the expected share of equal tuples as it is under independent orders and makes it vary little more
+(a test compares both). Repeated k-mers are numbered by a sort and runs, without pairs; nothing
+leaves the text's row. Only the next document's text is moved, by one shuffle in blocks of
+neighbouring ids, whose bounds come from a sample.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from .common import BROADCAST_IDS, materialize
+from .common import ROW_KEY, materialize, stable, with_row_key
 
 #: Words of a k-mer, tuples of a signature (a power of two), k-mers of a tuple.
 K, TUPLES, PICKED = 5, 64, 2
-#: Documents of a block that are sorted together, about.
-BLOCK_ROWS = 2_048
+#: Documents and bytes of a block that is sorted together, about, blocks at most, and rows of the
+#: sample for each bound between blocks. All that is gathered or seen by one task is bounded by these.
+BLOCK_ROWS, BLOCK_BYTES, MOST_BLOCKS, SAMPLE = 2_048, 32 << 20, 20_000, 20
 #: Low bits of a packed long that hold a k-mer's position.
 _AT = 24
 _POSITION, _PLACE = (1 << _AT) - 1, (1 << 63) - (1 << _AT)
@@ -97,25 +102,55 @@ def likeness(a: Column, b: Column, tuples: int = TUPLES) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / F.lit(float(tuples))
 
 
-def with_next(docs: DataFrame, order: list[str], carried: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """`docs` with next_<c> for each carried column: that of the next row by doc_id, after the last the first.
+def _bounds(order: DataFrame, blocks: int, count: int) -> list:
+    """At most blocks - 1 rows, sorted, that cut the rows of `order` (structs `at`) into blocks of about one size.
 
-    Rows are dealt to blocks of neighbouring ids by one shuffle. The first row of each block also
-    goes to the block before, behind its last row; which rows these are is found on ids alone.
+    They come from a sample of SAMPLE rows a block, chosen by hash.
     """
-    span = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, count = span[0] or 0, span[1] or 0, span[2]
-    width = max(1.0, (float(high) - low + 1) / max(1.0, count / block_rows))
-    block = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low)) / width), F.lit(-1)).cast("long")
-    # as many rows as there are blocks
+    share = min(1.0, SAMPLE * blocks / max(1, count))
+    sample = order.where(F.shiftrightunsigned(F.xxhash64("at"), 2) < F.lit(int(share * (1 << 62)))).select("at")
+    number = F.row_number().over(Window.partitionBy().orderBy("at"))  # of the sample only
+    picked = sample.withColumn("n", number).withColumn("all", F.count("*").over(Window.partitionBy()))
+    edge = F.floor(F.col("n") * blocks / F.col("all"))
+    picked = picked.withColumn("edge", edge).groupBy("edge").agg(F.min("at").alias("at"))
+    return [tuple(r[0]) for r in picked.where("edge > 0").select("at").distinct().orderBy("at").collect()]
+
+
+def _block(at: Column, bounds: Column, n: int) -> Column:
+    """How many of the `n` sorted `bounds` aren't above `at`, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = ((s["lo"] + s["hi"]) / 2).cast("int")
+        above = F.get(bounds, middle) > at
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(above, s["lo"]).otherwise(middle + 1).alias("lo"), F.when(above, middle).otherwise(s["hi"]).alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, halve, lambda s: s["lo"])
+
+
+def with_next(docs: DataFrame, order: list[str], carried: list[str], blocks: int | None = None) -> DataFrame:
+    """`docs` with next_<c> for each carried column: that of the next row in `order`, after the last the first.
+
+    `order` are columns without nulls that tell all rows apart. Rows are dealt to blocks of
+    neighbours by one shuffle; the first row of each block also goes to the block before, behind
+    its last row. What is gathered is a bounded number of bounds.
+    """
+    at = F.struct(*order)
+    size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = blocks or max(1, min(MOST_BLOCKS, math.ceil(max(size[0] / BLOCK_ROWS, (size[1] or 0) / BLOCK_BYTES))))
+    kind = ArrayType(docs.select(*order).schema)
+    found = _bounds(docs.select(at.alias("at")), blocks, size[0])
+    # one string in the plan, not a list of literals
+    bounds = F.from_json(F.lit(json.dumps([dict(zip(order, b)) for b in found])), kind)
+    block = _block(F.col("_order"), bounds, len(found)) if found else F.lit(0)
+    rows = docs.withColumn("_order", at).withColumn("_block", block)
+    # a row per block: the first of each block, and the block that ends before it
+    heads = materialize(rows.groupBy("_block").agg(F.min("_order").alias("_head")), "block-heads")
     every = Window.partitionBy()
-    heads = docs.select("doc_id", block.alias("block")).groupBy("block").agg(F.min("doc_id").alias("_head"))
-    heads = heads.select("_head", F.coalesce(F.lag("block").over(every.orderBy("block")), F.max("block").over(every)).alias("_before"))
-    heads = materialize(heads, "block-heads")
-    few = heads.count() <= BROADCAST_IDS
-    rows = docs.join(F.broadcast(heads) if few else heads, docs["doc_id"].eqNullSafe(heads["_head"]), "left")
+    heads = heads.select("_head", F.coalesce(F.lag("_block").over(every.orderBy("_block")), F.max("_block").over(every)).alias("_before"))
+    rows = rows.join(F.broadcast(heads), rows["_order"] == heads["_head"], "left")
     place = lambda b, copy: F.struct(b.alias("block"), F.lit(copy).alias("copy"))
-    places = F.when(F.col("_before").isNull(), F.array(place(block, 0))).otherwise(F.array(place(block, 0), place(F.col("_before"), 1)))
+    places = F.when(F.col("_before").isNull(), F.array(place(F.col("_block"), 0))).otherwise(F.array(place(F.col("_block"), 0), place(F.col("_before"), 1)))
     rows = rows.select(*docs.columns, F.explode(places).alias("_at")).select(*docs.columns, F.col("_at.block").alias("_block"), F.col("_at.copy").alias("_copy"))
     in_block = Window.partitionBy("_block").orderBy("_copy", *order)
     rows = rows.select(*docs.columns, "_copy", *[F.lead(c).over(in_block).alias(f"next_{c}") for c in carried])
@@ -124,9 +159,12 @@ def with_next(docs: DataFrame, order: list[str], carried: list[str], block_rows:
 
 def fingerprints(docs: DataFrame, k: int = K, tuples: int = TUPLES, picked: int = PICKED) -> DataFrame:
     """doc_id, text (null: empty), n_chars and sig of each row of `docs` (doc_id, text)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), signature(F.col("text"), k, tuples, picked).alias("sig"))
+    return _signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), k, tuples, picked)
+
+
+def _signed(rows: DataFrame, k: int, tuples: int, picked: int) -> DataFrame:
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.select("*", F.char_length("text").cast("long").alias("n_chars"), signature(F.col("text"), k, tuples, picked).alias("sig"))
 
 
 def edit_report(docs: DataFrame, k: int = K, tuples: int = TUPLES, picked: int = PICKED) -> DataFrame:
@@ -134,11 +172,13 @@ def edit_report(docs: DataFrame, k: int = K, tuples: int = TUPLES, picked: int =
 
     The edited text has the last half of the code points replaced by the start of the next
     document. Null and empty texts have the fingerprint of a text without words; a null doc_id
-    comes first; rows that repeat a doc_id are ordered by their texts' hashes. Texts of more than
+    comes first; rows that repeat a doc_id are ordered by their texts' hashes, then by their places. Texts of more than
     2^24 words count positions modulo that. Other columns are ignored; an empty table gives no rows.
+    Bounds of blocks are found before this returns.
     """
-    rows = fingerprints(docs, k, tuples, picked).withColumn("_hash", F.xxhash64("text"))
-    rows = with_next(rows, ["doc_id", "_hash"], ["text", "sig"])
+    rows = with_row_key(stable(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumns({"_null": F.col("doc_id").isNotNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64("text")})
+    rows = with_next(_signed(rows, k, tuples, picked), ["_null", "_id", "_hash", *ROW_KEY], ["text", "sig"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", "n_chars", "sig", "next_sig", edited.alias("edited"))

@@ -23,15 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import batch, quiet_tokenizers, token_path, words_of
+from .common import batch, quiet_tokenizers, stable, token_path, words_of
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
-LIMITS = (2048, 256, 2048)
+LIMITS = (2048, 64, 2048)
 #: Bins open at a time in a task.
 OPEN_BINS = 32
 #: Words that a worker's cache holds before it starts anew, and texts encoded together.
 CACHE_WORDS, TEXTS = 1_500_000, 128
+#: Bits of a sequence's number for sequences and, with `ordered`, for both these and rows.
+_COUNTER, _PART = 20, 44
 #: Characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the
 #: others by number from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -85,7 +88,8 @@ class WordEncoder:
         if len(cache) > CACHE_WORDS:
             cache.clear()
         new = set().union(*lists).difference(cache)
-        marked = [w for w in new if w[-1] in ".,!?:;" and w[-2:-1].isalpha()]
+        # lower-casing could move a mark of a capital (as of a dotted I) into the next piece
+        marked = [w for w in new if w[-1] in ".,!?:;" and w[-2:-1].isalpha() and w.lower() == w]
         new.difference_update(marked)
         new.update(x for w in marked for x in (w[:-1], w[-1]) if x not in cache)
         self._learn(list(new))
@@ -201,23 +205,32 @@ class DocumentPacker:
         return most if left >= most else 1 << (left.bit_length() - 1) if left else 0
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, limits: tuple[int, int, int] = LIMITS, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, limits: tuple[int, int, int] = LIMITS, open_bins: int = OPEN_BINS, ordered: bool = False) -> DataFrame:
     """Pack `docs` (doc_id, text) into sequences; one row per piece.
 
     A document's ids are its text's ids without special tokens and then `end_id`; each id lies in
     exactly one piece, and a sequence's pieces have gapless offsets from 0. Null and empty texts
     have just `end_id`. Repeated rows and null doc_ids are packed like any others. Other columns
     are ignored. An empty table gives no rows.
+
+    With `ordered`, for rows whose order is that of numbered part files (as sorted rows are
+    written), a sequence's number begins with its file's number and the row it was begun at, so
+    sequences are in the order of their documents. No text is a million sequences long, so numbers
+    don't meet.
     """
     path = token_path(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = WordEncoder(path), np.array([end_id], dtype="<u4").tobytes()
-        packer = DocumentPacker(limits, open_bins, TaskContext.get().partitionId() << 36)
+        packer, file = DocumentPacker(limits, open_bins, TaskContext.get().partitionId() << 36), None
         for b in batches:
             for k in range(0, b.num_rows, TEXTS):
                 some = b.slice(k, TEXTS)
-                for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
+                order = [c.to_pylist() for c in some.columns[2:]] or [[None] * some.num_rows] * 2
+                for doc, ids, part, row in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), *order):
+                    if part is not None and part != file:
+                        packer.finish()
+                        packer.next, file = (part << _PART) + (row << _COUNTER), part
                     packer.add(doc, ids + end)
                 if len(packer.rows) >= 20_000:
                     yield batch(PIECES, list(zip(*packer.rows)))
@@ -226,7 +239,12 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id
         if packer.rows:
             yield batch(PIECES, list(zip(*packer.rows)))
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, PIECES_DDL)
+    picked = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if ordered:
+        docs = stable(docs)
+        at = docs.metadataColumn("_metadata")
+        picked += [F.regexp_extract(at["file_name"], "^part-([0-9]{1,6})", 1).try_cast("long").alias("part"), at["row_index"].alias("row")]
+    return docs.select(*picked).mapInArrow(run, PIECES_DDL)
 
 
 def pack_examples(examples: DataFrame, limits: tuple[int, int, int] = LIMITS, open_bins: int = 256) -> DataFrame:

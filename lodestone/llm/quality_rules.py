@@ -200,7 +200,11 @@ def judge(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: flo
 
 
 def accepted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: float = LEAST_PROBABILITY) -> DataFrame:
-    """The rows of `docs` that `judge` keeps, with all their columns, in one pass without a shuffle."""
+    """The rows of `docs` that `judge` keeps, with all their columns, in one pass without a shuffle.
+
+    Each row is judged by its own text, whatever its doc_id; null and empty texts go; an empty table
+    gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
     at = docs.columns.index("text")
 

@@ -4,9 +4,13 @@ Equal fingerprints are one node, its number the smallest doc_id. Two fingerprint
 bits agree on one of radius + 1 blocks of bits at least, so each fingerprint goes to one shard per
 block, named by block and value, and no link is lost. A shard is a BK-tree: children are keyed by
 their Hamming distance to the parent, and a query follows only edges within the radius of its own
-distance. Shards larger than `shard_rows` are given to several tasks, each with the whole tree and
-its part of the queries. A shard's links are kept as a spanning forest, never as pairs, and
-components are found by alternating large-star and small-star rounds on Parquet tables.
+distance. Shards larger than `shard_rows` are cut again by their remaining bits, so a tree is
+bounded and a row is copied a constant number of times. A shard's links are kept as a spanning
+forest, never as pairs, and components are found by alternating large-star and small-star rounds
+on Parquet tables.
+
+All trees together grow with the corpus (16 bytes a fingerprint and shard), so they aren't
+broadcast: each tree is built where its shard's rows meet, which are at the same time its queries.
 """
 
 from __future__ import annotations
@@ -18,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import ROW_KEY, materialize, stable, with_row_key, without_rows
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: Queries of a shard that one task takes, and (query, node) pairs it looks at together.
-SHARD_ROWS, PAIRS = 8_192, 1_500_000
+#: Rows of a shard at most, and (query, node) pairs that a task looks at together.
+SHARD_ROWS, PAIRS = 4_096, 1_500_000
 #: A document without a doc_id counts as one after all others.
 NO_ID = (1 << 63) - 1
 
@@ -46,16 +50,21 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(parts), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long), row by row."""
+def ids_and_texts(docs: DataFrame, keyed: bool) -> DataFrame:
+    """doc_id and text of `docs`, with NO_ID for null ids, and the ROW_KEY if `keyed`."""
+    picked = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")]
+    return with_row_key(docs, *picked) if keyed else docs.select(*picked)
+
+
+def fingerprints(docs: DataFrame, width: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long), row by row, and the ROW_KEY if `keyed`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *ROW_KEY[: b.num_columns - 2]])
 
-    picked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    return ids_and_texts(docs, keyed).mapInArrow(run, "doc_id long, fp long" + (f", {ROW_KEY[0]} long, {ROW_KEY[1]} long" if keyed else ""))
 
 
 class Forest:
@@ -120,13 +129,13 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = jumped
 
 
-def shard_links(node: np.ndarray, fp: np.ndarray, shard: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, smaller node) that span what the rows in `asks` link in their shards."""
+def shard_links(node: np.ndarray, fp: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smaller node) that span what is linked in each shard."""
     order = np.lexsort((node, shard))
-    node, fp, shard, asks = node[order], fp[order], shard[order], asks[order]
+    node, fp, shard = node[order], fp[order], shard[order]
     forest, label = Forest(fp, shard), np.arange(len(node))
     _, group, size = np.unique(shard, return_inverse=True, return_counts=True)
-    queries = np.flatnonzero(asks & (size[group] > 1))
+    queries = np.flatnonzero(size[group] > 1)
     weight = np.cumsum(size[group[queries]]) // PAIRS
     for part in np.split(queries, np.flatnonzero(np.diff(weight)) + 1) if len(queries) else []:
         for a, b in forest.near(part, radius):
@@ -135,43 +144,77 @@ def shard_links(node: np.ndarray, fp: np.ndarray, shard: np.ndarray, asks: np.nd
     return node[linked], node[label[linked]]
 
 
+def _cut(rows: DataFrame, width: int, blocks: int) -> DataFrame:
+    """Rows (node, fp, shard, rest) once for each of `blocks` blocks of the `width` low bits of `rest`.
+
+    The new shard has the old one's name and the block's number and value; the new rest lacks the
+    block.
+    """
+    cuts = [round(width * i / blocks) for i in range(blocks + 1)]
+    low = lambda c, n: c.bitwiseAND(F.lit((1 << n) - 1)) if n < 64 else c
+    rest = F.col("rest")
+    options = []
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        value = low(F.shiftrightunsigned(rest, lo), hi - lo)
+        left = low(rest, lo) if hi >= 64 else low(rest, lo).bitwiseOR(F.shiftleft(F.shiftrightunsigned(rest, hi), lo))
+        options.append(F.struct(F.xxhash64("shard", F.lit(i), value).alias("shard"), left.alias("rest"), F.lit(width - (hi - lo)).alias("width")))
+    return rows.select("node", "fp", F.explode(F.array(*options)).alias("_o")).select("node", "fp", "_o.shard", "_o.rest", "_o.width")
+
+
+def shards(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> list[DataFrame]:
+    """Rows (node, fp, shard) of shards of at most `shard_rows` rows, such that any pair within `radius` bits shares one.
+
+    A shard that is too large is cut again by the bits that its rows don't share yet: of radius + 1
+    blocks of these a pair agrees on one at least. So a row is copied radius + 1 times for each
+    cut, and the cuts end as shards run out of bits, however the fingerprints lie.
+    """
+    blocks, out = radius + 1, []
+    rows = _cut(nodes.select("node", "fp", F.lit(0).cast("long").alias("shard"), F.col("fp").alias("rest")), 64, blocks)
+    for level in range(64):
+        rows = rows if level == 0 else materialize(rows, "bk-rows")
+        large = rows.groupBy("shard", "width").agg(F.count("*").alias("rows")).where((F.col("rows") > shard_rows) & (F.col("width") >= blocks))
+        large = materialize(large.select("shard", "width"), "bk-large")
+        widths = sorted(r.width for r in large.select("width").distinct().collect())  # two or three a level
+        if not widths:
+            return [*out, rows.select("node", "fp", "shard")]
+        out.append(rows.join(large, ["shard", "width"], "left_anti").select("node", "fp", "shard"))
+        again = rows.join(large, ["shard", "width"], "left_semi")
+        parts = [_cut(again.where(F.col("width") == w), w, blocks) for w in widths]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+    raise AssertionError("shards of distinct fingerprints run out of bits")
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(u, v), u > v: a spanning forest per shard of all pairs of `nodes` (node, fp) within `radius` bits."""
-    blocks = radius + 1
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    keys = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])])
-    rows = nodes.select("node", "fp", F.posexplode(keys).alias("block", "value"))
-    rows = rows.select("node", "fp", (F.col("value") * blocks + F.col("block")).alias("shard"))
-    large = rows.groupBy("shard").count().where(F.col("count") > shard_rows)
-    large = materialize(large.select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts")), "bk-large")
-    rows = rows.join(large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("asks", F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part"))
-    rows = rows.repartition("shard", "part").sortWithinPartitions("shard", "part").select("node", "fp", "shard", "part", "asks")
+    every = shards(nodes, radius, shard_rows)
+    rows = every[0]
+    for part in every[1:]:
+        rows = rows.unionByName(part)
+    rows = rows.repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
-        def done(found: list, upto: int | None) -> pa.RecordBatch:
-            node, fp, shard, part, asks = (np.concatenate(c) for c in zip(*found))
-            cut = len(node) if upto is None else upto
-            _, key = np.unique(np.stack([shard[:cut], part[:cut]]), axis=1, return_inverse=True)
-            u, v = shard_links(node[:cut], fp[:cut].view(np.uint64), key.ravel(), asks[:cut], radius)
-            held[:] = [tuple(c[cut:] for c in (node, fp, shard, part, asks))] if cut < len(node) else []
+        def done(upto: int) -> pa.RecordBatch:
+            """Link the first `upto` of the held rows."""
+            node, fp, shard = (np.concatenate(c) for c in zip(*held))
+            u, v = shard_links(node[:upto], fp[:upto].view(np.uint64), shard[:upto], radius)
+            held[:] = [tuple(c[upto:] for c in (node, fp, shard))]
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for b in batches:
-            columns = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            if not len(columns[0]):
+            if not b.num_rows:
                 continue
-            held.append(columns)
-            shard, part = columns[2], columns[3]
-            last = int(np.flatnonzero((shard != shard[-1]) | (part != part[-1]))[-1]) + 1 if ((shard != shard[-1]) | (part != part[-1])).any() else 0
+            held.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+            shard = held[-1][2]
+            other = np.flatnonzero(shard != shard[-1])
             before = sum(len(h[0]) for h in held[:-1])
-            if last and before + last >= 50_000:
-                yield done(held, before + last)
+            if len(other) and before + int(other[-1]) + 1 >= 50_000:
+                yield done(before + int(other[-1]) + 1)
         if held:
-            yield done(held, None)
+            yield done(sum(len(h[0]) for h in held))
 
     return rows.mapInArrow(run, "u long, v long").distinct()
 
@@ -212,22 +255,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     return found.select(null("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), null("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component, the row of the smallest doc_id."""
-    return keep_first(docs, near_duplicates(docs, **options))
+def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component, the row of the smallest doc_id.
+
+    Rows are told apart by their place, so rows that share a doc_id or have none stay unless their
+    texts are linked. Of rows that tie the one that stands first is kept.
+    """
+    docs = stable(docs)
+    fps = materialize(fingerprints(docs, width, keyed=True), "simhash")
+    nodes = materialize(fps.select("fp", F.col("fp").alias("node")).distinct(), "simhash-nodes")
+    roots = components(materialize(links(nodes, radius), "simhash-links"))
+    named = fps.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", *ROW_KEY, F.coalesce("root", "fp").alias("component"))
+    return keep_first(docs, named)
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of `docs` that are the smallest of their component in `found` (doc_id, component_id).
+    """The rows of the stable frame `docs` that come first, by doc_id and place, in their component.
 
-    A doc_id stays if any of its rows is the smallest of its component; rows that repeat a doc_id
-    are one document, of which one row is kept.
+    `found` has doc_id, ROW_KEY and component of each row.
     """
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = materialize(found.groupBy("doc_id").agg(F.max(first).alias("first"), F.count("*").alias("rows")), "simhash-kept")
-    kept = without(docs, ids.where("not first").select("doc_id"), "simhash-dropped")
-    again = ids.where("first and rows > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    once = without(kept, again, "simhash-repeated")
-    return once.unionByName(kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id"]))
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", *ROW_KEY)).alias("first"))
+    twice = found.join(first, "component").where((F.col(ROW_KEY[0]) != F.col(f"first.{ROW_KEY[0]}")) | (F.col(ROW_KEY[1]) != F.col(f"first.{ROW_KEY[1]}")))
+    return without_rows(docs, twice, "simhash-dropped")

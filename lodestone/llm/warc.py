@@ -7,13 +7,16 @@ own last byte, and the NUL after it is padding that gzip readers skip).
 
 The salvage reader checks every record (gzip checksum, version line, header, length, block
 digest). After a failed check it searches for the next member or version line that begins a valid
-record, goes on from there, and logs the bytes between as a gap.
+record, goes on from there, and logs the bytes between as a gap. Records and gaps come one at a
+time from one pass over a file, which is read whole (Spark's binary files are of 2 GB at most;
+the writer cuts archives by bytes far below that).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, materialize, new_path
+from .common import BROADCAST_IDS, batch, few, materialize, new_path
 
-RECORDS_PER_FILE = 2_000
+#: Members are put together in rows of so many bytes at least, and so many of these rows make a file.
+ROW_BYTES, ROWS_PER_FILE = 4 << 20, 16
 #: Bytes that are unpacked at a time.
 STEP = 16_384
 DATE = "2024-01-01T00:00:00Z"
@@ -55,6 +59,15 @@ class Record:
         return digest.upper() == base32_sha1(self.payload) or digest.lower() == hashlib.sha1(self.payload).hexdigest()
 
 
+@dataclass
+class Gap:
+    """Quarantined bytes, or those of a record whose payload has another digest than it says."""
+
+    offset: int
+    length: int
+    reason: str
+
+
 @dataclass
 class Salvaged:
     records: list[Record] = field(default_factory=list)
@@ -131,16 +144,15 @@ def _member(data: bytes, at: int) -> tuple[list[Record], int, str]:
     """The valid records of the gzip member at `at`, its end, and what is wrong with the rest.
 
     After a bad record the next version line is searched for. A member that isn't whole has its
-    start as its end; if its bytes are bad, only records with a block digest count, and a record
-    at the very end of what a cut member gave is quarantined with the cut.
+    start as its end; if its bytes are bad, only records with a block digest count, and of a cut
+    member so does a record at the very end of what it gave.
     """
     whole, end, wrong = _unpacked(data, at)
     records, inner, why = [], 0, ""
     while inner < len(whole):
         record, stop, reason = _parse(whole, inner)
-        if record and wrong == "bad gzip member" and not record.headers.get("warc-block-digest", "").lower().startswith("sha1:"):
-            record, reason = None, wrong
-        if record and wrong == "gzip member not ended" and stop == len(whole):
+        checked = record and record.headers.get("warc-block-digest", "").lower().startswith("sha1:")
+        if record and not checked and (wrong == "bad gzip member" or wrong and stop == len(whole)):
             record, reason = None, wrong
         if record is None:
             why = why or reason
@@ -153,21 +165,14 @@ def _member(data: bytes, at: int) -> tuple[list[Record], int, str]:
     return records, end, wrong or why or ("" if records else "empty member")
 
 
-def salvage(data: bytes) -> Salvaged:
-    """Read all valid records of an archive, of gzip members, plain records or both.
+def scan(data: bytes) -> Iterator[Record | Gap]:
+    """All valid records of an archive, of gzip members, plain records or both, and the gaps, in order.
 
     Bytes that belong to no valid record are gaps; NULs and line ends between records are padding.
     A member with both good and bad records is a gap too. An empty archive has neither records nor
-    gaps.
+    gaps. No more than one member's records are held.
     """
-    out, at, lost = Salvaged(), 0, None
-
-    def close(upto: int) -> None:
-        nonlocal lost
-        if lost is not None:
-            out.gaps.append((lost[0], upto - lost[0], lost[1]))
-            lost = None
-
+    at, lost = 0, None
     while at < len(data):
         if data[at : at + 2] == b"\x1f\x8b":
             records, end, why = _member(data, at)
@@ -178,19 +183,32 @@ def salvage(data: bytes) -> Salvaged:
             record, end, why = _parse(data, at)
             records = [record] if record else []
         if records:
-            close(at)
+            if lost is not None:
+                yield Gap(lost[0], at - lost[0], lost[1])
+                lost = None
             for r in records:
                 r.length = max(end - at, 0)
-            out.records += records
+                yield r
             if why and end > at:
-                out.gaps.append((at, end - at, why))
+                yield Gap(at, end - at, why)
             if end > at:
                 at = end
                 continue
         lost = lost or (at, why)
         found = _begin.search(data, at + 1)
         at = found.start() if found else len(data)
-    close(len(data))
+    if lost is not None:
+        yield Gap(lost[0], len(data) - lost[0], lost[1])
+
+
+def salvage(data: bytes) -> Salvaged:
+    """What `scan` finds, gathered."""
+    out = Salvaged()
+    for x in scan(data):
+        if isinstance(x, Gap):
+            out.gaps.append((x.offset, x.length, x.reason))
+        else:
+            out.records.append(x)
     return out
 
 
@@ -220,92 +238,115 @@ def page_record(page_id: int | None, url: str | None, html: bytes, size: int, sh
     return make_record(headers, http if revisit else http + html)
 
 
-def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, row_bytes: int = ROW_BYTES, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Write a record for each row of `pages` (page_id, url, html) as archives under `path`.
 
     Of rows with equal payloads of `least_bytes` or more the largest page_id is the response and
     the others revisit it; a null page_id is the smallest. Rows that repeat the response's page_id
     are responses too. Which rows are revisits is found on ids and digests; html isn't shuffled
-    unless there are too many revisits to broadcast.
+    unless there are too many revisits to broadcast. Files are cut by bytes.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("html"))).withColumn("size", F.octet_length("html").cast("long"))
     digests = materialize(rows.where(F.col("size") >= least_bytes).select("page_id", "sha1"), "warc-digests")
     best = digests.groupBy("sha1").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = digests.join(best, "sha1").where(~F.col("page_id").eqNullSafe(F.col("best"))).distinct()
-    again = materialize(again.select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), "best"), "warc-revisits")
-    few = again.count() <= BROADCAST_IDS
-    rows = rows.join(F.broadcast(again) if few else again, (F.col("sha1") == F.col("_sha1")) & F.col("page_id").eqNullSafe(F.col("_page")), "left")
+    again = few(materialize(again.select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), "best"), "warc-revisits"), BROADCAST_IDS // 4)
+    rows = rows.join(again, (F.col("sha1") == F.col("_sha1")) & F.col("page_id").eqNullSafe(F.col("_page")), "left")
     revisit = F.col("_sha1").isNotNull()
     rows = rows.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "size", "sha1", "best", revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row() -> pa.RecordBatch:
+            whole = b"".join(members)
+            return pa.RecordBatch.from_arrays([pa.array([whole if whole[-1] else whole[:-1]], pa.binary())], names=["value"])
+
+        members, size = [], 0
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                members = []
-                for page_id, url, html, size, sha1, to, again in zip(*(c.to_pylist() for c in b.slice(k, 500).columns)):
-                    member = gzip_member(page_record(page_id, url, html or b"", size, sha1, to, again))
-                    members.append(member if member[-1] else member[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
+            for k in range(0, b.num_rows, 100):
+                for page_id, url, html, length, sha1, to, again in zip(*(c.to_pylist() for c in b.slice(k, 100).columns)):
+                    members.append(gzip_member(page_record(page_id, url, html or b"", length, sha1, to, again)))
+                    size += len(members[-1])
+                    if size >= row_bytes:
+                        yield row()
+                        members, size = [], 0
+        if members:
+            yield row()
 
     members = rows.mapInArrow(run, "value binary").selectExpr("cast(value as string) value")
-    members.write.option("lineSep", "\u0000").option("maxRecordsPerFile", records_per_file).text(path)
+    members.write.option("lineSep", "\u0000").option("maxRecordsPerFile", rows_per_file).text(path)
 
 
-_PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, path string, offset long, record_id string"
+_SALVAGED = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, path string, offset long, record_id string, length long, reason string"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+_SCHEMA = pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in _SALVAGED.split(", ")])
+#: Records of a batch that a reader hands on.
+BATCH = 200
 
 
-def read_archives(spark, path: str) -> DataFrame:
-    """One row per valid record of the archives under `path`, with its payload (none for revisits).
+def _found(name: str, x: Record | Gap, payloads: bool) -> tuple:
+    """A row of _SALVAGED: a gap has just path, offset, length and reason, a record no reason."""
+    if not isinstance(x, Gap) and not x.payload_fits:
+        x = Gap(x.offset, x.length, "payload digest differs")
+    if isinstance(x, Gap):
+        return (None,) * 7 + (name, x.offset, None, x.length, x.reason)
+    payload, kind, digest = x.payload, x.headers.get("warc-type", ""), x.headers.get("warc-payload-digest")
+    again = kind == "revisit"
+    length = re.search(rb"(?i)content-length: *([0-9]{1,18})(?![0-9])", x.block[: len(x.block) - len(payload)])
+    size = int(length[1]) if length and again else len(payload)
+    refers = _page_id(x.headers["warc-refers-to"]) if again and "warc-refers-to" in x.headers else None
+    kept = payload if payloads and not again else None
+    return _page_id(x.headers["warc-record-id"]), size, digest and digest.removeprefix("sha1:"), kind, refers, x.headers.get("warc-target-uri"), kept, name, x.offset, x.headers["warc-record-id"], x.length, None
+
+
+def salvage_archives(spark, path: str, payloads: bool = True) -> DataFrame:
+    """Records and gaps of the archives under `path`, from one pass.
 
-    Records of any type and writer are read; page_id is null where record_id isn't a page's. Those
-    whose payload differs from its digest are in `read_gaps` instead.
+    A record has no `reason`; a gap has one, with path, offset and length. Records of any type and
+    writer are read; page_id is null where record_id isn't a page's. One whose payload differs from
+    its digest is a gap; a missing digest is no fault.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = []
-                for r in salvage(content.as_py()).records:
-                    if not r.payload_fits:
-                        continue
-                    payload, kind, digest = r.payload, r.headers.get("warc-type", ""), r.headers.get("warc-payload-digest")
-                    again = kind == "revisit"
-                    length = re.search(rb"(?i)content-length: *([0-9]{1,18})(?![0-9])", r.block[: len(r.block) - len(payload)])
-                    rows.append((
-                        _page_id(r.headers["warc-record-id"]), int(length[1]) if length and again else len(payload), digest and digest.removeprefix("sha1:"), kind,
-                        _page_id(r.headers["warc-refers-to"]) if again and "warc-refers-to" in r.headers else None, r.headers.get("warc-target-uri"), None if again else payload, name, r.offset, r.headers["warc-record-id"],
-                    ))
+                rows, size = [], 0
+                for x in scan(content.as_py()):
+                    rows.append(_found(name, x, payloads))
+                    size += len(rows[-1][6] or b"")
+                    if len(rows) >= BATCH or size >= ROW_BYTES:
+                        yield batch(_SCHEMA, list(zip(*rows)))
+                        rows, size = [], 0
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _PAGES.split(", ")])
+                    yield batch(_SCHEMA, list(zip(*rows)))
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where("length > 0").select("path", "content").mapInArrow(run, _PAGES)
+    return files.where("length > 0").select("path", "content").mapInArrow(run, _SALVAGED)
 
 
-def read_gaps(spark, path: str) -> DataFrame:
-    """The log of quarantined bytes, and of records with another payload than their digest says: path, offset, length, reason."""
+def read_archives(spark, path: str) -> DataFrame:
+    """One row per valid record of the archives under `path`, with its payload (none for revisits)."""
+    return salvage_archives(spark, path).where("reason is null").drop("length", "reason")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                found = salvage(content.as_py())
-                gaps = sorted(found.gaps + [(r.offset, r.length, "payload digest differs") for r in found.records if not r.payload_fits])
-                at, length, why = zip(*gaps) if gaps else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gaps), pa.string()), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(why, pa.string())], names=["path", "offset", "length", "reason"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where("length > 0").select("path", "content").mapInArrow(run, "path string, offset long, length long, reason string")
+def read_gaps(spark, path: str) -> DataFrame:
+    """The log of quarantined bytes, and of records with another payload than their digest says: path, offset, length, reason."""
+    return salvage_archives(spark, path, payloads=False).where("reason is not null").select("path", "offset", "length", "reason")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write `pages` as archives in the shared folder and read them back.
+    """Write `pages` as archives in the shared folder and read them back, without the payloads.
 
-    Null html is an empty payload; null urls come back empty. Other columns are ignored, repeated
-    rows have a record each, and an empty table gives no rows.
+    Records and gaps come from one pass and are kept as a table; gaps are logged as a warning. Null
+    html is an empty payload; null urls come back empty. Other columns are ignored, repeated rows
+    have a record each, and an empty table gives no rows. Archives are written and read before this
+    returns.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_pages(pages, path, least_bytes)
-    return read_archives(spark, path)
+    found = materialize(salvage_archives(spark, path, payloads=False).drop("payload"), "warc-found")
+    lost = found.where("reason is not null").agg(F.count("*"), F.sum("length")).first()
+    if lost[0]:
+        logging.getLogger(__name__).warning("%d gaps of %d bytes in all quarantined in %s", lost[0], lost[1], path)
+    return found.where("reason is null").drop("length", "reason")
