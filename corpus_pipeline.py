@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's documents. All but the last return the columns of documents.
+
+Every stage works on rows, not on ids: a null or repeated doc_id, ties and repeated rows change
+nothing but which of several copies is kept (the one that stands first), and columns of any name
+pass through. Null and empty texts are rejected by the first stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import mixing, near_copies, ngram_lm, packing, quality_rules
-from lodestone.llm.common import materialize, read_table
+from lodestone.llm.common import materialize, read_table, scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +32,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them, in training order."""
+    """Documents as often as their source's target takes them, in training order.
+
+    Written as Parquet, the order is that of the part files' numbers and of the rows in them.
+    """
     return mixing.mixed_documents(docs)
 
 
 def vector_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs)
+    """Pieces of documents in sequences of at most 2048 tokens, numbered in training order."""
+    return packing.pack_documents(docs, ordered=True)
 
 
 STAGES = [
@@ -50,8 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents table; returns the last stage's rows."""
+    """Apply all stages to the documents table; returns the last stage's rows.
+
+    All stages but the last run before this returns; what they write on the way is deleted.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark, keep=(name,)):
+            docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
