@@ -334,8 +334,8 @@ def read_gaps(spark, path: str) -> DataFrame:
     return salvage_archives(spark, path, payloads=False).where("reason is not null").select("path", "offset", "length", "reason")
 
 
-def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write `pages` as archives in the shared folder and read them back, without the payloads.
+def round_trip(pages: DataFrame, least_bytes: int = 0, payloads: bool = True) -> DataFrame:
+    """Write `pages` as archives in the shared folder and read them back; the payloads can be left out.
 
     Records and gaps come from one pass and are kept as a table; gaps are logged as a warning. Null
     html is an empty payload; null urls come back empty. Other columns are ignored, repeated rows
@@ -345,7 +345,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_pages(pages, path, least_bytes)
-    found = materialize(salvage_archives(spark, path, payloads=False).drop("payload"), "warc-found")
+    found = materialize(salvage_archives(spark, path, payloads), "warc-found")
     lost = found.where("reason is not null").agg(F.count("*"), F.sum("length")).first()
     if lost[0]:
         logging.getLogger(__name__).warning("%d gaps of %d bytes in all quarantined in %s", lost[0], lost[1], path)

@@ -52,6 +52,20 @@ def test_stage_matches_brute_force(spark):
 
 
 def test_odd_rows(spark):
-    docs = spark.createDataFrame([(1, "a b c"), (1, "d e f"), (None, "a b c"), (None, "x y z"), (2, "d e f")], "doc_id long, text string")
-    assert sorted((r.doc_id is None, r.doc_id) for r in near_copies.keep_one(docs).collect()) == [(False, 1), (True, None)]
+    rows = [(1, "a b c"), (1, "d e f"), (None, "a b c"), (None, "x y z"), (None, "x y z"), (2, "d e f"), (None, "p q r")]
+    docs = spark.createDataFrame([(i, t, 7, "q") for i, t in rows], "doc_id long, text string, _row int, component string")
+    found = near_copies.keep_one(docs)
+    assert sorted((r.text, r.doc_id) for r in found.collect()) == [("a b c", 1), ("d e f", 1), ("p q r", None), ("x y z", None)] and found.columns == docs.columns
     assert near_copies.keep_one(docs.where("false")).count() == 0
+
+
+def test_common_passages_cost_no_pairs(spark):
+    """Many texts of which half is one passage: nothing is linked, and none of their pairs is looked at."""
+    dice = random.Random(3)
+    passage = [f"w{dice.randint(0, 5000)}" for _ in range(60)]
+    rows = [(i, " ".join(passage + [f"v{dice.randint(0, 10**6)}" for _ in range(40)])) for i in range(400)]
+    docs = spark.createDataFrame([(i, i, 0, t) for i, t in rows], "key long, root long, x int, text string")
+    sets = spark.createDataFrame([(i, near_copies.shingles(t).view("int64").tolist()) for i, t in rows], "key long, found array<long>")
+    nodes = docs.join(sets, "key").selectExpr("key", "cast(size(found) as long) n", "root")
+    assert near_copies._rare_pairs(nodes, sets).count() == 0
+    assert near_copies.keep_one(docs.selectExpr("key doc_id", "text")).count() == 400

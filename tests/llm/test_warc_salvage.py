@@ -26,6 +26,7 @@ def test_good_records_of_a_damaged_member():
     tail = warc.gzip_member(records[5])
     cut = member[: len(member) * 7 // 12]
     assert _ids(cut) == list("012") and warc.salvage(cut).gaps == [(0, len(cut), "gzip member not ended")]
+    assert _ids(warc.gzip_member(b"".join(records[:5]))[:-8]) == list("01234")  # cut after the last record's bytes
     bad = bytearray(member)
     bad[-6] ^= 1  # the checksum
     assert _ids(bytes(bad) + tail) == list("0123455") and warc.salvage(bytes(bad) + tail).gaps == [(0, len(bad), "bad gzip member")]
@@ -43,3 +44,20 @@ def test_records_of_other_writers(spark, tmp_path):
     found = {r.record_id: (r.page_id, r.payload_bytes, r.payload and bytes(r.payload), r.refers_to) for r in warc.read_archives(spark, str(tmp_path)).collect()}
     assert found == {"<urn:uuid:a>": (None, 15, b"software: x\r\n\r\n", None), "<urn:uuid:b>": (None, 4, b"body", None), "<urn:uuid:c>": (None, 4, None, None)}
     assert [r.reason for r in warc.read_gaps(spark, str(tmp_path)).collect()] == ["payload digest differs"]
+
+
+def test_files_are_cut_by_bytes_and_read_in_one_pass(spark, tmp_path):
+    dice = random.Random(6)
+    pages = [(i, f"http://x/{i}", dice.randbytes(20_000).hex()) for i in range(40)]
+    warc.write_pages(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/a", row_bytes=50_000, rows_per_file=2)
+    files = sorted(p for p in (tmp_path / "a").iterdir() if p.name.startswith("part-"))
+    assert len(files) > 5 and all(p.stat().st_size < 160_000 for p in files)
+    data = bytearray(files[1].read_bytes())
+    data[len(data) // 2] ^= 255
+    (tmp_path / "b").mkdir()
+    for k, p in enumerate(files):
+        (tmp_path / "b" / f"{k}.warc.gz").write_bytes(bytes(data) if k == 1 else p.read_bytes())
+    found = warc.salvage_archives(spark, f"{tmp_path}/b").collect()
+    ids, gaps = {r.page_id for r in found if r.reason is None}, [r for r in found if r.reason is not None]
+    assert len(ids) == 39 and len(gaps) == 1 and gaps[0].length > 0 and gaps[0].path.endswith("1.warc.gz")
+    assert {r.page_id: r.payload.decode() for r in found if r.payload} == {i: h for i, _, h in pages if i in ids}
