@@ -2,7 +2,7 @@
 
 Texts with equal sets of shingles are one node. Candidate pairs come from the BK-trees of
 `simhash_bk` and, since pairs at 0.8 differ by more bits than its trees can search, from MinHash
-bands (40 of 6 values; a pair at 0.8 shares none with probability 5e-6). Every candidate is
+bands (30 of 5 values; a pair at 0.8 shares none with probability 7e-6). Every candidate is
 compared by its whole sets, so no link is below the threshold.
 
 A bucket's nodes are first compared with its smallest, so large groups of copies cost no pairs.
@@ -24,24 +24,19 @@ from . import simhash_bk
 from .common import BROADCAST_IDS, ROW_KEY, few, materialize, stable
 
 THRESHOLD, SHINGLE = 0.8, 5
-BANDS, VALUES, SEED = 40, 6, 42
+BANDS, VALUES, SEED = 30, 5, 42
 #: Shingles that are hashed together.
-STEP = 8_192
+STEP = 2_048
 
 _dice = np.random.default_rng(SEED)
-_MULTIPLY = _dice.integers(0, 1 << 63, BANDS * VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _dice.integers(0, 1 << 63, BANDS * VALUES, dtype=np.uint64)
+_MULTIPLY = _dice.integers(0, 1 << 31, BANDS * VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _dice.integers(0, 1 << 32, BANDS * VALUES, dtype=np.uint32)
+_BAND = _dice.integers(0, 1 << 63, (VALUES, BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     """Distinct hashes of a text's word shingles, sorted; a shorter text is one shingle."""
-    import xxhash
-
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))], dtype=np.uint64))
+    return np.unique(simhash_bk.shingle_hashes(text, width))
 
 
 def _key(found: np.ndarray) -> int:
@@ -51,15 +46,15 @@ def _key(found: np.ndarray) -> int:
 
 
 def _bands(found: np.ndarray) -> np.ndarray:
-    """A hash of each band of MinHash values of a set that isn't empty."""
-    least = np.full(BANDS * VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(found), STEP):
-        some = found[k : k + STEP]
-        for j in range(0, len(least), 16):
-            np.minimum(least[j : j + 16], (some[None, :] * _MULTIPLY[j : j + 16, None] + _ADD[j : j + 16, None]).min(axis=1), out=least[j : j + 16])
-    mixed = np.arange(BANDS, dtype=np.uint64) * _MULTIPLY[0] + _ADD[0]
-    for column in least.reshape(BANDS, VALUES).T:
-        mixed = (mixed ^ column) * _MULTIPLY[1]
+    """A hash of each band of MinHash values of a set that isn't empty; the values are of 32 bits."""
+    least = np.full(BANDS * VALUES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    short = (found ^ (found >> np.uint64(32))).astype(np.uint32)
+    for k in range(0, len(short), STEP):
+        some = short[k : k + STEP]
+        np.minimum(least, (some * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1), out=least)
+    mixed = np.arange(BANDS, dtype=np.uint64) * _BAND[0]
+    for column, multiply in zip(least.reshape(BANDS, VALUES).T, _BAND):
+        mixed = (mixed ^ column) * multiply
         mixed ^= mixed >> np.uint64(29)
     return mixed
 
@@ -70,9 +65,9 @@ def _signed(values) -> pa.Array:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingles(t.as_py()) for t in b.column(1)]
+        hashes = [simhash_bk.shingle_hashes(t.as_py(), SHINGLE) for t in b.column(1)]
+        prints, sets = [simhash_bk.majority(h) for h in hashes], [np.unique(h) for h in hashes]
         bands = [_bands(s).view(np.int64).tolist() if len(s) else [] for s in sets]
-        prints = [simhash_bk.fingerprint(t.as_py(), SHINGLE) for t in b.column(1)]
         columns = [b.column(0), _signed([_key(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _signed(prints), pa.array(bands, pa.list_(pa.int64())), *b.columns[2:]]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "fp", "bands", *ROW_KEY])
 

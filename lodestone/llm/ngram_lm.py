@@ -32,7 +32,7 @@ from .common import ROW_KEY, few, materialize, stable, with_row_key, without_row
 ORDER = 5
 #: Bytes of text of a block, about (a longer text is a block of its own), and partitions at most
 #: that blocks are dealt to.
-BLOCK_BYTES, MOST_PARTITIONS = 12 << 20, 50_000
+BLOCK_BYTES, MOST_PARTITIONS = 32 << 20, 50_000
 #: Bytes whose n-grams are counted together.
 CHUNK = 2 << 20
 #: Of ten trusted documents so many train; the others set thresholds.
@@ -45,16 +45,22 @@ QUANTILE, LEAST_DOCS = 0.995, 50
 def _keys(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """N-gram ending at each byte of each piece after its first ORDER - 1, and the piece it is of."""
     pad = ORDER - 1
-    raw = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
+    raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-    keys = np.zeros(len(raw), dtype=np.int64)
-    for i in range(ORDER):
-        keys[pad:] |= raw[pad - i : len(raw) - i] << (8 * i)
+    # pairs, then fours, then the whole: small numbers as long as they will do
+    two = raw[1:] | raw[:-1].astype(np.uint16) << 8
+    four = two[2:] | two[:-2].astype(np.uint32) << 16
+    keys = four[1:] | raw[:-4].astype(np.int64) << 32
     real = np.ones(len(raw), dtype=bool)
     starts = np.cumsum(sizes) - sizes
     for i in range(pad):
         real[starts + i] = False
-    return keys[real], np.repeat(np.arange(len(pieces)), sizes - pad)
+    return keys[real[pad:]], np.repeat(np.arange(len(pieces)), sizes - pad)
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    ordered = np.sort(keys)
+    return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -209,23 +215,21 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(b.num_rows):
             held = np.zeros(0, dtype=np.int64)
             for _, some in _chunks(_texts(b.column(at + 1)[i].as_py(), b.column(at)[i].as_py())):
-                held = np.union1d(held, _keys(some)[0])
+                held = _distinct(np.concatenate((held, _distinct(_keys(some)[0]))))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), b.column(0)[i].as_py(), dtype=np.int64)), pa.array(held)], names=["block", "gram"])
 
 
 def _score(_, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """Sum of the log2 probabilities of each document of a block."""
-    order = np.argsort(answers["gram"].to_numpy(), kind="stable")
-    grams = answers["gram"].to_numpy()[order]
-    logs = np.log2(np.maximum(answers["p"].to_numpy()[order], 1e-12))
+    grams = pd.Index(answers["gram"].to_numpy())
+    logs = np.log2(np.maximum(answers["p"].to_numpy(), 1e-12))
     out = []
     for row in docs.itertuples(index=False):
         bits = np.zeros(len(row.sizes))
         for owners, some in _chunks(_texts(row.texts, row.sizes)):
             keys, piece = _keys(some)
-            own, where = np.unique(keys, return_inverse=True)
-            if len(own):
-                bits += np.bincount(owners[piece], weights=logs[np.searchsorted(grams, own)][where], minlength=len(bits))
+            if len(keys):
+                bits += np.bincount(owners[piece], weights=logs[grams.get_indexer(keys)], minlength=len(bits))
         held = dict(zip(docs.columns, row))
         ids = {c: pd.array(list(held[c]), dtype="Int64") for c in _OWN[:-1]}
         out.append(pd.DataFrame({**ids, "lang": list(held["lang"]), "n_bytes": np.asarray(row.sizes, dtype=np.int64), "bits": -bits}))
@@ -253,7 +257,7 @@ def perplexities(docs: DataFrame, model: Model, grams: DataFrame | None = None)
     for c in ROW_KEY:
         docs = docs if c in docs.columns else docs.withColumn(c, F.lit(None).cast("long"))
     packed = _blocks(docs)
-    answers = packed.mapInArrow(_asked, "block long, gram long").join(known, "gram").select("block", "gram", "p")
+    answers = packed.mapInArrow(_asked, "block long, gram long").join(known.hint("shuffle_hash"), "gram").select("block", "gram", "p")
     longs = ", ".join(f"{c} long" for c in _OWN[:-1])
     scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score, f"{longs}, lang string, n_bytes long, bits double")
     return scored.select(*_OWN, "n_bytes", F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes"))).alias("perplexity"))

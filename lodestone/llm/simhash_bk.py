@@ -31,23 +31,29 @@ SHARD_ROWS, PAIRS = 4_096, 1_500_000
 NO_ID = (1 << 63) - 1
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each word shingle of a text, repeats included; of a shorter text the one of all its words."""
     import xxhash
 
     words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    if len(words) < width:
-        parts = [b" ".join(words)]
-    else:
-        parts = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for k in range(0, len(parts), 65_536):
-        some = parts[k : k + 65_536]
-        h = np.array([digest(p, SEED) for p in some], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(parts), bitorder="little").tobytes(), "little")
+    digest, join, n = xxhash.xxh64_intdigest, b" ".join, len(words)
+    if not n:
+        return np.zeros(0, dtype="<u8")
+    return np.fromiter((digest(join(words[i : i + width]), SEED) for i in range(max(1, n - width + 1))), dtype="<u8", count=max(1, n - width + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 of none."""
+    counts = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), 65_536):
+        some = hashes[k : k + 65_536]
+        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+    return majority(shingle_hashes(text, width))
 
 
 def ids_and_texts(docs: DataFrame, keyed: bool) -> DataFrame:
