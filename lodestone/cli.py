@@ -17,7 +17,8 @@ def main(argv: list[str] | None = None, spark=None, get=engine.fetch) -> int:
     if not argv:
         print(f"usage: lodestone QUESTION | {' | '.join(COMMANDS)} ...")
         return 1
-    if argv[0] not in COMMANDS and argv[0] not in ("-h", "--help"):
+    bare = argv[0] not in COMMANDS and argv[0] not in ("-h", "--help")
+    if bare:
         argv = ["ask", *argv]
     parser = argparse.ArgumentParser(prog="lodestone")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -27,7 +28,7 @@ def main(argv: list[str] | None = None, spark=None, get=engine.fetch) -> int:
             sub.add_argument("question")
             sub.add_argument("--limit", type=int, default=5)
             sub.add_argument("--no-web", dest="web", action="store_false")
-            sub.add_argument("--web", dest="web", action="store_true", default=True)
+            sub.add_argument("--web", dest="web", action="store_true", default=bare)
         if name in ("ingest", "rebuild"):
             sub.add_argument("raw_dir", nargs="?", default=f"{ROOT}/raw")
             sub.add_argument("--processed", default=f"{ROOT}/processed")

@@ -32,6 +32,15 @@ WAVE_MARKS = ("P waves", "S waves", "travel through", "travel only through")
 TERMINAL_MARKS = "。！？!?；;,.， "
 SHEET_LABEL = "工作表 sheet"
 
+# Markdown marks and what is put in their place, in order; \s is any white space.
+MARKDOWN = (
+    (r"\[+([^\]\[][^\]]*?|[^\]]+?)\]\([^)]+\)", "label"),
+    (r"^[ \t]*#{1,6}[ \t]*", ""),
+    (r"^[ \t]*[-*+]\s+", ""),
+    (r"^[ \t]*\d+[.)]\s+", ""),
+    (r"[*_`~]+", ""),
+)
+
 # Messages.
 NO_EVIDENCE = "本地知识库没有找到足够依据。"
 NO_INDEX = "本地知识库索引不存在，请先运行 ingest。"

@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import CHUNK_OVERLAP, CHUNK_SIZE, HEADINGS, QUESTION_PREFIXES, SIMPLIFIED, TERMINAL_MARKS, TRADITIONAL, TRADITIONAL_PHRASES
+from .constants import CHUNK_OVERLAP, CHUNK_SIZE, HEADINGS, MARKDOWN, QUESTION_PREFIXES, SIMPLIFIED, TERMINAL_MARKS, TRADITIONAL, TRADITIONAL_PHRASES
 
 #: White space as a text's strip() and \s see it: Unicode's and four separators.
 _SPACE = r"[\s\x1c-\x1f]"
@@ -97,6 +97,11 @@ def chunk_text(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLA
 
 
 def to_simplified(text: Column) -> Column:
+    """As `questions.to_simplified`: by OpenCC in an Arrow function if it is installed, else by the small table."""
+    from . import questions, udfs
+
+    if questions._opencc is not None:
+        return udfs.simplified(text)
     for old, new in TRADITIONAL_PHRASES.items():
         text = F.replace(text, F.lit(old), F.lit(new))
     return F.translate(text, TRADITIONAL, SIMPLIFIED)
@@ -104,11 +109,11 @@ def to_simplified(text: Column) -> Column:
 
 def strip_markdown(text: Column) -> Column:
     """Labels for links; without heading, bullet and number marks, emphasis and code marks; lines kept."""
-    text = F.regexp_replace(text, r"\[+([^\]\[][^\]]*?|[^\]]+?)\]\([^)]+\)", "$1")
-    text = F.regexp_replace(text, r"(?dm)^[ \t]*#{1,6}[ \t]*", "")
-    text = F.regexp_replace(text, rf"(?dmU)^[ \t]*[-*+]{_SPACE}+", "")
-    text = F.regexp_replace(text, rf"(?dmU)^[ \t]*\d+[.)]{_SPACE}+", "")
-    return F.regexp_replace(text, "[*_`~]+", "")
+    for pattern, put in MARKDOWN:
+        # lines end at line feeds only, and white space is Unicode's and four separators
+        pattern = "(?dmU)" + pattern.replace(r"\s", _SPACE)
+        text = F.regexp_replace(text, pattern, "$1" if put else "")
+    return text
 
 
 def human_text(text: Column, max_len: int | None = None, simplify: bool = False) -> Column:
@@ -177,7 +182,7 @@ def unwrap_redirect(url: Column) -> Column:
 def unwrap_bing(url: Column) -> Column:
     """The target coded in a result link's `u` parameter; the link itself if that can't be read."""
     coded = F.try_url_decode(F.regexp_extract(url, r"[?&]u=([^&#]*)", 1))
-    payload = F.translate(F.substring(coded, 3, 1 << 20), "-_", "+/")
+    payload = F.translate(F.substring(coded, F.lit(3), F.length(coded)), "-_", "+/")
     target = F.try_to_binary(payload, F.lit("base64"))
     text = F.when(F.is_valid_utf8(target.cast("string")), target.cast("string"))
     found = url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*bing\.com([/?#]|$)") & F.startswith(coded, F.lit("a1"))
