@@ -77,18 +77,26 @@ def split_long(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLA
         raise ValueError("the overlap must be under half the size, else windows don't advance")
     n = F.length(text)
     least_step = size // 2 + 2 - overlap
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("done"))
-
-    def step(s: Column, _: Column) -> Column:
-        window = F.substring(text, s["at"] + 1, F.lit(size))
-        upto_break = F.length(F.regexp_extract(window, "(?s)^.*[\n。.]", 0))  # 0 without a break
-        length = F.when(upto_break - 1 > size // 2, upto_break).otherwise(F.length(window))
-        more = lambda k: F.when(k == "", s["done"]).otherwise(F.concat(s["done"], F.array(k)))
-        moved = let(length, lambda k: F.struct(F.greatest(F.lit(0), s["at"] + k - overlap).alias("at"), (s["at"] + k >= n).alias("over"), more(strip(F.substring(text, s["at"] + 1, k))).alias("done")))
-        return F.when(s["over"], s).otherwise(moved)
-
-    steps = F.sequence(F.lit(0), F.ceil(n / least_step).cast("int") + 1)
-    return F.when(n <= size, F.array(text)).otherwise(F.aggregate(steps, start, step, lambda s: s["done"]))
+
+    def windows(parts: Column) -> Column:
+        """Strings of the text, given as parts of `size` characters, so none is searched from the start."""
+        part = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+        at = lambda begin, length: let(F.floor(begin / size).cast("int"), lambda i: F.substring(F.concat(part(i), part(i + 1)), begin - i * size + 1, length))
+        start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("over"), F.array().cast("array<struct<at:int,length:int>>").alias("cuts"))
+
+        def step(s: Column, _: Column) -> Column:
+            window = at(s["at"], F.lit(size))
+            upto_break = F.length(F.regexp_extract(window, "(?s)^.*[\n。.]", 0))  # 0 without a break
+            length = F.when(upto_break - 1 > size // 2, upto_break).otherwise(F.length(window))
+            cuts = lambda k: F.concat(s["cuts"], F.array(F.struct(s["at"].alias("at"), k.alias("length"))))
+            moved = let(length, lambda k: F.struct(F.greatest(F.lit(0), s["at"] + k - overlap).alias("at"), (s["at"] + k >= n).alias("over"), cuts(k).alias("cuts")))
+            return F.when(s["over"], s).otherwise(moved)
+
+        steps = F.sequence(F.lit(0), F.ceil(n / least_step).cast("int") + 1)
+        found = F.aggregate(steps, start, step, lambda s: s["cuts"])
+        return F.filter(F.transform(found, lambda c: strip(at(c["at"], c["length"]))), lambda x: x != "")
+
+    return F.when(n <= size, F.array(text)).otherwise(let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), windows))
 
 
 def chunk_text(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:

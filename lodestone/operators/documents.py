@@ -10,17 +10,17 @@ from ..functions.constants import CHUNK_OVERLAP, CHUNK_SIZE
 
 
 def mark_duplicates(docs: DataFrame, order: str, name: str) -> DataFrame:
-    """Add content_hash and duplicate_of: the `name` of the first row, by `order`, with the same hash.
+    """Add content_hash (unless there) and duplicate_of: the `name` of the first row, by `order`, with the same hash.
 
-    The first row per hash is found by an aggregate that combines before it shuffles, so a hash
-    that many rows share meets in one small row; texts go to the join by hash, whose hot keys
-    adaptive execution splits.
+    The first row per hash is found by an aggregate of ids that combines before it shuffles, so a
+    hash that many rows share meets in one small row. Only hashes that repeat go to the join, whose
+    hot keys adaptive execution splits.
     """
-    rows = docs.withColumn("content_hash", t.content_hash(F.col("text")))
-    first = rows.groupBy("content_hash").agg(F.min(F.struct(F.col(order).alias("at"), F.col(name).alias("name"))).alias("first"))
-    rows = rows.join(first, "content_hash")
+    rows = docs if "content_hash" in docs.columns else docs.withColumn("content_hash", t.content_hash(F.col("text")))
+    first = rows.groupBy("content_hash").agg(F.min(F.struct(F.col(order).alias("at"), F.col(name).alias("name"))).alias("first"), F.count("*").alias("_rows"))
+    rows = rows.join(first.where("_rows > 1").drop("_rows"), "content_hash", "left")
     same = F.col(order).eqNullSafe(F.col("first.at")) & F.col(name).eqNullSafe(F.col("first.name"))
-    return rows.withColumn("duplicate_of", F.when(~same, F.col("first.name"))).drop("first")
+    return rows.withColumn("duplicate_of", F.when(F.col("first").isNotNull() & ~same, F.col("first.name"))).drop("first")
 
 
 def number_files(files: DataFrame) -> DataFrame:
@@ -38,9 +38,9 @@ def doc_id(number: Column) -> Column:
     return F.format_string("doc_%04d", number)
 
 
-def chunk_documents(docs: DataFrame, key: str = "doc_id", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """One row per chunk of each document's normalised text: key, chunk_index from 1, text."""
-    chunks = t.chunk_text(t.normalize_text(F.col("text")), size, overlap)
+def chunk_documents(docs: DataFrame, key: str = "doc_id", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, normal: bool = False) -> DataFrame:
+    """One row per chunk of each document's normalised text (`normal`: it is already): key, chunk_index from 1, text."""
+    chunks = t.chunk_text(F.col("text") if normal else t.normalize_text(F.col("text")), size, overlap)
     rows = docs.select(key, F.posexplode(chunks).alias("at", "text"))
     return rows.select(key, (F.col("at") + 1).alias("chunk_index"), "text")
 

@@ -19,6 +19,7 @@ from ..operators import documents as d
 from ..operators import fulltext, rerank, vectors
 from ..sources.web import result_links
 from .engine import Corpus, hybrid
+from .store import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,16 +34,40 @@ def _questions(spark: SparkSession, sf_dir: str) -> list[tuple]:
     return [tuple(r) for r in _table(spark, sf_dir, "benchmark").select("item_id", "text").orderBy("item_id").collect()]
 
 
+def _stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table of the index over `documents`, made once and read by all queries."""
+    return stored(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), name, make)
+
+
+def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text and content_hash of every document; written before any filter, which would repeat the work."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", t.normalize_text(F.coalesce("text", F.lit(""))).alias("text"))
+    return _stored(spark, sf_dir, "normal", lambda: rows.withColumn("content_hash", t.content_hash(F.col("text"))))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where("text is not null")
-    docs = docs.withColumn("text", t.normalize_text(F.col("text"))).where("text <> ''")
-    return d.mark_duplicates(docs, "doc_id", "doc_id")
+    return d.mark_duplicates(_normal(spark, sf_dir).where("text <> ''"), "doc_id", "doc_id")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).where("duplicate_of is null").withColumn("doc_id", d.doc_id(F.col("doc_id")))
-    chunks = d.chunk_ids(d.chunk_documents(docs)).select("chunk_id", "doc_id", "chunk_index", "text")
-    return chunks.persist()  # several parts of a query read them
+    def make() -> DataFrame:
+        docs = _documents(spark, sf_dir).where("duplicate_of is null").withColumn("doc_id", d.doc_id(F.col("doc_id")))
+        return d.chunk_ids(d.chunk_documents(docs.repartition(spark.sparkContext.defaultParallelism), normal=True)).select("chunk_id", "doc_id", "chunk_index", "text")
+
+    return _stored(spark, sf_dir, "chunks", make)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "vectors", lambda: vectors.embed(_chunks(spark, sf_dir), "native"))
+
+
+def _index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "index_rows", lambda: fulltext.index_rows(_chunks(spark, sf_dir)))
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted by token, so a lookup of tokens reads few row groups."""
+    return _stored(spark, sf_dir, "postings", lambda: fulltext.postings(_index_rows(spark, sf_dir)).sort("token"))
 
 
 def content_hash_dedup(spark, sf_dir):
@@ -50,8 +75,7 @@ def content_hash_dedup(spark, sf_dir):
 
 
 def ingest_counters(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").withColumn("text", t.normalize_text(F.coalesce("text", F.lit(""))))
-    return d.ingest_counters(_documents(spark, sf_dir), _chunks(spark, sf_dir), docs.where("text = ''"))
+    return d.ingest_counters(_documents(spark, sf_dir), _chunks(spark, sf_dir), _normal(spark, sf_dir).where("text = ''"))
 
 
 def sources_report(spark, sf_dir):
@@ -78,7 +102,7 @@ def embedding_terms_tf(spark, sf_dir):
 
 
 def hash_embedding(spark, sf_dir):
-    rows = vectors.embed(_chunks(spark, sf_dir), "native")
+    rows = _vectors(spark, sf_dir)
     return rows.select("chunk_id", F.explode("embedding").alias("b")).select("chunk_id", "b.idx", "b.w")
 
 
@@ -93,11 +117,11 @@ def candidate_terms(spark, sf_dir):
 
 
 def fts_index(spark, sf_dir):
-    return fulltext.postings(fulltext.index_rows(_chunks(spark, sf_dir)))
+    return _postings(spark, sf_dir)
 
 
 def semantic_topk(spark, sf_dir):
-    found = vectors.semantic_topk(_questions(spark, sf_dir), vectors.embed(_chunks(spark, sf_dir), "native"), mode="native")
+    found = vectors.semantic_topk(_questions(spark, sf_dir), _vectors(spark, sf_dir), mode="native")
     return found.withColumn("semantic_score", F.round("semantic_score", 6))
 
 
@@ -106,15 +130,12 @@ def keyword_topk(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    rows = fulltext.index_rows(_chunks(spark, sf_dir))
-    found = fulltext.bm25_topk(spark, _questions(spark, sf_dir), fulltext.postings(rows), rows)
+    found = fulltext.bm25_topk(spark, _questions(spark, sf_dir), _postings(spark, sf_dir), _index_rows(spark, sf_dir))
     return found.select("qid", "chunk_id", F.round("fts_rank", 6).alias("fts_rank"), "pos")
 
 
 def _hybrid(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
-    rows = fulltext.index_rows(chunks).persist()
-    corpus = Corpus(chunks, vectors.embed(chunks, "native").persist(), fulltext.postings(rows), rows, mode="native")
+    corpus = Corpus(_chunks(spark, sf_dir), _vectors(spark, sf_dir), _postings(spark, sf_dir), _index_rows(spark, sf_dir), mode="native")
     return hybrid(spark, corpus, _questions(spark, sf_dir))
 
 
