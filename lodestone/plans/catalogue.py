@@ -188,9 +188,37 @@ def url_unwrap(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", t.unwrap_redirect(F.col("url")).alias("redirect"), t.unwrap_bing(F.col("url")).alias("bing"))
 
 
+#: Cases that the tables have none of: CJK text, redirect links, result pages. Both dialects read them.
+_CASES = {
+    "cjk": "(1, '光合作用与呼吸 abc_1 二氧化碳 x y2'), (2, '水'), (3, '水汽'), (4, 'plain words 和 CO2，氧气。'), (5, '')",
+    "urls": "(1, 'https://duckduckgo.com/l/?uddg=https%3A%2F%2Fa.example%2Fx%3Fy%3D1&rut=2'), (2, '//duckduckgo.com/l/?uddg=http%3A%2F%2Fb.example'), (3, 'https://duckduckgo.com/about'), (4, 'https://www.bing.com/ck/a?p=1&u=a1aHR0cHM6Ly9jLmV4YW1wbGUvcGF0aD9xPTE&ntb=1'), (5, 'https://www.bing.com/ck/a?u=b1aHR0'), (6, 'https://d.example/?u=a1aHR0')",
+    "results": "(1, '<div><a class=\"x result__a\" href=\"http://a.example/1\">First  <b>title</b></a><div class=\"result__snippet\">Some <b>text</b> here</div></div>'), (2, '<a class=\"result__a\" href=\"http://b.example\">Lone title</a>'), (3, '<p>none</p>'), (4, '<a class=\"result__a\" href=\"//duckduckgo.com/l/?uddg=http%3A%2F%2Fe.example\">Third</a><a class=\"result__snippet\" href=\"#\">Words</a>')",
+}
+
+
+def _cases(spark: SparkSession, name: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {_CASES[name]} AS t(id, text)")
+
+
+def cjk_terms(spark, sf_dir):
+    """Embedding terms of text with CJK runs, with their counts."""
+    rows = _cases(spark, "cjk").select("id", F.explode(t.embedding_terms(F.col("text"))).alias("term"))
+    return rows.groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+
+def unwrapped_links(spark, sf_dir):
+    """Targets of redirect links of both kinds."""
+    return _cases(spark, "urls").select("id", t.unwrap_redirect(F.col("text")).alias("redirect"), t.unwrap_bing(F.col("text")).alias("bing"))
+
+
+def result_pages(spark, sf_dir):
+    """Titles, targets and snippets of result pages."""
+    return _cases(spark, "results").select("id", F.explode(result_links("text")).alias("r")).select("id", "r.title", "r.url", "r.snippet")
+
+
 _QUERIES = (
     content_hash_dedup, ingest_counters, sources_report, duplicate_files, normalize_text, chunk_documents, embedding_terms_tf, hash_embedding, exact_embedding, candidate_terms, fts_index,
-    semantic_topk, keyword_topk, bm25_topk, hybrid_rerank, evidence_gate, sentence_citations, answer_struct, split_sentences, human_text_clean, html_links_extract, url_unwrap,
+    semantic_topk, keyword_topk, bm25_topk, hybrid_rerank, evidence_gate, sentence_citations, answer_struct, split_sentences, human_text_clean, html_links_extract, url_unwrap, cjk_terms, unwrapped_links, result_pages,
 )
 
 
@@ -266,6 +294,10 @@ def _with(uses: str, select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_SQL[n][1]})" for n in order) + "\n" + select
 
 
+#: Text without tags and with single blanks.
+_PLAIN = r"trim(regexp_replace(regexp_replace({}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "content_hash_dedup": _with("docs", "SELECT doc_id, content_hash, duplicate_of FROM docs"),
@@ -284,6 +316,11 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_rerank": _with("ranked", "SELECT qid, chunk_id, semantic_score, keyword_score, fts_score, rerank_score, rank FROM ranked"),
         "evidence_gate": _with("ranked", "SELECT qid, chunk_id, rerank_score, rank FROM (SELECT *, max(rerank_score) OVER (PARTITION BY qid) AS best FROM ranked) WHERE best >= 0.16 AND rerank_score >= greatest(0.16::DOUBLE, 0.75::DOUBLE * best)"),
         "human_text_clean": r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^[ \t]*#{1,6}[ \t]*', '', 'g'), '(?m)^[ \t]*[-*+]\s+', '', 'g'), '(?m)^[ \t]*\d+[.)]\s+', '', 'g'), '[*_`~]+', '', 'g'), '\s+', ' ', 'g'), ' -#' || chr(9) || chr(10) || chr(13)) AS text FROM conversations""",
+        "cjk_terms": f"""SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(list_concat(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}'), flatten([flatten([[substr(run, i, n) for i in range(1, length(run) - n + 2)] for n in [2, 3, 4]]) for run in regexp_extract_all(text, '[一-鿿]+')]))) AS term FROM (VALUES {_CASES['cjk']}) t(id, text)) GROUP BY 1, 2""",
+        "unwrapped_links": f"""SELECT id, CASE WHEN text LIKE '%duckduckgo.com/l/%' AND target <> '' THEN url_decode(target) WHEN text LIKE '//%' THEN 'https:' || text ELSE text END AS redirect,
+        CASE WHEN text LIKE '%bing.com/%' AND code LIKE 'a1%' THEN decode(from_base64(rpad(body, ((length(body) + 3) // 4 * 4)::INTEGER, '='))) ELSE text END AS bing
+        FROM (SELECT *, translate(substr(code, 3), '-_', '+/') AS body FROM (SELECT id, text, regexp_extract(text, 'uddg=([^&#]*)', 1) AS target, regexp_extract(text, '[?&]u=([^&#]*)', 1) AS code FROM (VALUES {_CASES['urls']}) t(id, text)))""",
+        "result_pages": f"""SELECT id, plain(title) AS title, CASE WHEN url LIKE '%uddg=%' THEN url_decode(regexp_extract(url, 'uddg=([^&#]*)', 1)) ELSE url END AS url, plain(snippet) AS snippet FROM (SELECT id, regexp_extract(text, 'result__a"[^>]*>(.*?)</a>', 1) AS title, regexp_extract(text, 'result__a" href="([^"]*)"', 1) AS url, regexp_extract(text, 'result__snippet"[^>]*>(.*?)</(div|a)>', 1) AS snippet FROM (VALUES {_CASES['results']}) t(id, text)) WHERE snippet <> ''""".replace("plain(title)", _PLAIN.format("title")).replace("plain(snippet)", _PLAIN.format("snippet")),
         "html_links_extract": "SELECT page_id, CASE WHEN html LIKE '%result__a%' THEN 1 ELSE 0 END AS n_results FROM pages",
         "url_unwrap": "SELECT page_id, url AS redirect, url AS bing FROM pages",
     }
