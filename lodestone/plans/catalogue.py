@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables, and their DuckDB counterparts.
 
 Documents stand for files and `benchmark` texts for questions. Queries with vectors use the hash
-that SQL can compute too. SQL has no look-behind and no Python hash, so sentence and citation
+that SQL can compute too. SQL has no Python hash and can't score sentences as citations do, so these
 queries have no counterpart; tests hold them against single-string versions.
 """
 
@@ -294,6 +294,14 @@ def _with(uses: str, select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_SQL[n][1]})" for n in order) + "\n" + select
 
 
+#: Sentences of documents. SQL has no look-behind: a control character is put after each end and
+#: split at. The tables have no character references, which SQL can't decode.
+_SENTENCES = r"""WITH marked AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^[ \t]*#{1,6}[ \t]*', '', 'g'), '(?m)^[ \t]*[-*+]\s+', '', 'g'), '(?m)^[ \t]*\d+[.)]\s+', '', 'g'), '[*_`~]+', '', 'g') AS text FROM documents),
+cut AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([。！？!?；;])\s*', '\1' || chr(1), 'g'), '\.\s+', '.' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS part, generate_subscripts(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([。！？!?；;])\s*', '\1' || chr(1), 'g'), '\.\s+', '.' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), 1) AS k FROM marked),
+clean AS (SELECT doc_id, k, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(part, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^[ \t]*#{1,6}[ \t]*', '', 'g'), '(?m)^[ \t]*[-*+]\s+', '', 'g'), '(?m)^[ \t]*\d+[.)]\s+', '', 'g'), '[*_`~]+', '', 'g'), '\s+', ' ', 'g'), ' -#' || chr(9) || chr(10) || chr(13)) AS sentence FROM cut)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS pos, sentence FROM clean
+WHERE sentence <> '' AND sentence NOT IN ('摘要', '关键机制', '可回答的问题', '工作表 sheet1') AND NOT regexp_matches(sentence, '[?？]$') AND NOT regexp_matches(sentence, '^(什么|哪些|哪个|如何|怎么|为什么)')"""
+
 #: Text without tags and with single blanks.
 _PLAIN = r"trim(regexp_replace(regexp_replace({}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))"
 
@@ -316,6 +324,7 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_rerank": _with("ranked", "SELECT qid, chunk_id, semantic_score, keyword_score, fts_score, rerank_score, rank FROM ranked"),
         "evidence_gate": _with("ranked", "SELECT qid, chunk_id, rerank_score, rank FROM (SELECT *, max(rerank_score) OVER (PARTITION BY qid) AS best FROM ranked) WHERE best >= 0.16 AND rerank_score >= greatest(0.16::DOUBLE, 0.75::DOUBLE * best)"),
         "human_text_clean": r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^[ \t]*#{1,6}[ \t]*', '', 'g'), '(?m)^[ \t]*[-*+]\s+', '', 'g'), '(?m)^[ \t]*\d+[.)]\s+', '', 'g'), '[*_`~]+', '', 'g'), '\s+', ' ', 'g'), ' -#' || chr(9) || chr(10) || chr(13)) AS text FROM conversations""",
+        "split_sentences": _SENTENCES,
         "cjk_terms": f"""SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(list_concat(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}'), flatten([flatten([[substr(run, i, n) for i in range(1, length(run) - n + 2)] for n in [2, 3, 4]]) for run in regexp_extract_all(text, '[一-鿿]+')]))) AS term FROM (VALUES {_CASES['cjk']}) t(id, text)) GROUP BY 1, 2""",
         "unwrapped_links": f"""SELECT id, CASE WHEN text LIKE '%duckduckgo.com/l/%' AND target <> '' THEN url_decode(target) WHEN text LIKE '//%' THEN 'https:' || text ELSE text END AS redirect,
         CASE WHEN text LIKE '%bing.com/%' AND code LIKE 'a1%' THEN decode(from_base64(rpad(body, ((length(body) + 3) // 4 * 4)::INTEGER, '='))) ELSE text END AS bing
