@@ -1,4 +1,7 @@
-"""One query for each corpus operator, with production parameters, and SQL where it can express it."""
+"""One query for each corpus operator, with production parameters, and SQL where it can express it.
+
+Other columns of the tables, whatever their names, are ignored by all of them.
+"""
 
 from __future__ import annotations
 
@@ -9,42 +12,52 @@ from .common import read_table
 
 
 def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null html is an empty payload; of equal payloads the largest page_id is the response (null the smallest); repeated rows have a record each; an empty table gives no rows."""
     return warc.round_trip(read_table(spark, sf_dir, "pages"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts count nothing; null ids and repeated rows are kept; an empty table gives no rows."""
     return token_count.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id comes first; ties are ordered by text hash and place; an empty table gives no rows."""
     return order_minhash.edit_report(read_table(spark, sf_dir, "documents"))
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null html gives an empty text; a null url is a host of its own; repeated rows are kept; an empty table gives no rows."""
     return site_template.main_text(read_table(spark, sf_dir, "pages"))
 
 
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are just the end id; repeated rows are packed each; an empty table gives no rows."""
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are null or have no letter are `und` with score 0; repeated rows are kept; an empty table gives no rows."""
     return langid.predict_languages(read_table(spark, sf_dir, "documents"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts fail the base rule; repeated rows are judged each; an empty table gives no rows."""
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have fingerprint zero; a null doc_id counts as the largest; an empty table gives no rows."""
     return simhash_bk.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have size 0; a null source is the last; repeated rows are mixed each; an empty table gives no rows."""
     return mixing.mixed_order(read_table(spark, sf_dir, "documents"))
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are rejected; a null language is one of its own; repeated rows are scored each; an empty table gives no rows."""
     return ngram_lm.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
