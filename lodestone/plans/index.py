@@ -21,7 +21,7 @@ from ..operators import documents as d
 from ..operators import fulltext, vectors
 from ..sources.files import extract_texts, scan_files
 
-TABLES = ("metadata", "documents", "chunks", "postings", "index_rows")
+TABLES = ("metadata", "documents", "chunks", "postings", "index_rows", "skipped")
 DOCUMENT_COLUMNS = ("doc_id", "file_name", "file_path", "file_type", "file_size", "modified_at", "indexed_at", "content_hash", "duplicate_of", "text")
 
 
@@ -72,7 +72,8 @@ def build(spark: SparkSession, raw_dir: str, index_dir: str, processed_dir: str
     extract_texts(scan_files(spark, raw_dir)).withColumn("text", t.normalize_text(F.col("text"))).write.parquet(f"{out}/staged")
     staged = spark.read.parquet(f"{out}/staged")
     good = F.coalesce(F.length("text"), F.lit(0)) > 0
-    skipped = staged.where(~good)
+    staged.where(~good).select("file_path", "file_type", "file_size", "error").write.parquet(f"{out}/skipped")  # with the messages of bad files
+    skipped = spark.read.parquet(f"{out}/skipped")
     rows = d.number_files(staged.where(good))
     rows = d.mark_duplicates(rows, "doc_no", "file_path").withColumn("doc_id", d.doc_id(F.col("doc_no")))
     rows = rows.withColumn("modified_at", t.iso_utc(F.col("modified"))).withColumn("indexed_at", F.lit(indexed_at))
