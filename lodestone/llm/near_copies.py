@@ -8,7 +8,9 @@ compared by its whole sets, so no link is below the threshold.
 A bucket's nodes are first compared with its smallest, so large groups of copies cost no pairs.
 Nodes of buckets that are then still in different components are joined by an exact prefix filter:
 two sets at the threshold share one of each one's rarest fifth of shingles, counted among these
-nodes, so documents that share a common passage and little else never meet.
+nodes, so documents that share a common passage and little else never meet. Of those that do, most
+are told apart by parity bits: each set has 512 bits, a shingle flips one of them, and two sets
+differ in at least as many shingles as bits, so no link is lost and few sets move to be compared.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ THRESHOLD, SHINGLE = 0.8, 5
 BANDS, VALUES, SEED = 30, 5, 42
 #: Shingles that are hashed together.
 STEP = 2_048
+#: Longs of a set's parity bits.
+PARITY_LONGS = 8
 
 _dice = np.random.default_rng(SEED)
 _MULTIPLY = _dice.integers(0, 1 << 31, BANDS * VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -59,6 +63,12 @@ def _bands(found: np.ndarray) -> np.ndarray:
     return mixed
 
 
+def _parity(found: np.ndarray) -> np.ndarray:
+    """PARITY_LONGS longs, whose bit h is set if an odd number of a set's hashes are h modulo the bits."""
+    odd = np.bincount((found % np.uint64(64 * PARITY_LONGS)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def _signed(values) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
@@ -76,7 +86,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, 500):
             found = [shingles(t.as_py()) for t in b.column(0)[k : k + 500]]
-            yield pa.RecordBatch.from_arrays([_signed([_key(s) for s in found]), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["key", "found"])
+            lists = [pa.array([f(s) for s in found], pa.list_(pa.int64())) for f in (lambda s: s.view(np.int64), _parity)]
+            yield pa.RecordBatch.from_arrays([_signed([_key(s) for s in found]), *lists], names=["key", "found", "parity"])
 
 
 def _alike(a: str, b: str) -> object:
@@ -84,6 +95,12 @@ def _alike(a: str, b: str) -> object:
     return F.least(a, b) >= THRESHOLD * F.greatest(a, b)
 
 
+def _near(a: str, b: str, n: str, m: str) -> object:
+    """Condition: sets of n and m shingles and these parity bits can reach the threshold."""
+    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY_LONGS)), F.lit(0))
+    return differ <= (F.col(n) + F.col(m)) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-6
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     """The rows of `pairs` (u, v) whose sets reach the threshold."""
     left, right = sets.select(F.col("key").alias("u"), F.col("found").alias("_a")), sets.select(F.col("key").alias("v"), F.col("found").alias("_b"))
@@ -92,21 +109,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     return materialize(rows.where(both >= THRESHOLD * (F.size("_a") + F.size("_b") - both)).select("u", "v"), label)
 
 
-def _rare_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _rare_pairs(nodes: DataFrame, sets: DataFrame, parities: DataFrame | None = None) -> DataFrame:
     """(u, v), u > v: pairs of `nodes` (key, n, root) of different roots that share one of both's rarest shingles.
 
     A set of n shingles at the threshold to another shares at least THRESHOLD * n with it, so one of
     its n - ceil(THRESHOLD * n) + 1 first, in whatever order both are read; in the order of rarity
-    these are shared by few.
+    these are shared by few. Pairs that parities (key, parity) tell apart are left out.
     """
     held = materialize(nodes.join(sets, "key").select("key", "n", "root", F.explode("found").alias("s")), "near-hard")
     counts = held.groupBy("s").agg(F.count("*").alias("df"))
     first = held.join(counts, "s").groupBy("key", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
     prefix = F.slice("order", 1, (F.col("n") - F.ceil(THRESHOLD * F.col("n") - 1e-9) + 1).cast("int"))
-    first = first.select("key", "n", "root", F.explode(prefix).alias("o")).where("o.df > 1").select("key", "n", "root", "o.s")
+    first = first.select("key", "n", "root", prefix.alias("order"))
+    first = first.join(parities, "key") if parities is not None else first.withColumn("parity", F.array_repeat(F.lit(0).cast("long"), PARITY_LONGS))
+    first = first.select("key", "n", "root", "parity", F.explode("order").alias("o")).where("o.df > 1").select("key", "n", "root", "parity", "o.s")
     first = materialize(first, "near-prefix")
-    other = first.select("s", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "root")])
-    pairs = first.join(other, "s").where("key > key2 and root <> root2").where(_alike("n", "n2"))
+    other = first.select("s", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "root", "parity")])
+    pairs = first.join(other, "s").where("key > key2 and root <> root2").where(_alike("n", "n2")).where(_near("parity", "parity2", "n", "n2"))
     return materialize(pairs.select(F.col("key").alias("u"), F.col("key2").alias("v")).distinct(), "near-rest")
 
 
@@ -130,14 +149,14 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
     asked = members.select("key").unionByName(pairs.select(F.col("u").alias("key"))).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
     places = few(materialize(nodes.join(asked, "key", "left_semi").select("at.*"), "near-asked"), BROADCAST_IDS // 2)
-    sets = materialize(texts.join(places, list(ROW_KEY), "left_semi").select("text").mapInArrow(_sets, "key long, found array<long>"), "near-sets")
+    sets = materialize(texts.join(places, list(ROW_KEY), "left_semi").select("text").mapInArrow(_sets, "key long, found array<long>, parity array<long>"), "near-sets")
     links = _verified(pairs, sets, "near-links")
 
     roots = simhash_bk.components(links, "near-cc")
     named = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
     split = named.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
     hard = materialize(named.join(split, "bucket", "left_semi").select("key", "n", "root").distinct(), "near-split")
-    links = links.unionByName(_verified(_rare_pairs(hard, sets), sets, "near-more"))
+    links = links.unionByName(_verified(_rare_pairs(hard, sets, sets.select("key", "parity")), sets, "near-more"))
 
     roots = simhash_bk.components(links, "near-cc")
     return rows.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", *ROW_KEY, F.coalesce("root", "key").alias("component"))

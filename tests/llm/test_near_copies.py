@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -69,3 +70,22 @@ def test_common_passages_cost_no_pairs(spark):
     nodes = docs.join(sets, "key").selectExpr("key", "cast(size(found) as long) n", "root")
     assert near_copies._rare_pairs(nodes, sets).count() == 0
     assert near_copies.keep_one(docs.selectExpr("key doc_id", "text")).count() == 400
+
+
+def test_parity_bits_lose_no_link(spark):
+    """Sets differ in at least as many shingles as parity bits, and the filter keeps all pairs at the threshold."""
+    dice = np.random.default_rng(3)
+    rows = []
+    for n in (1, 9, 90, 900, 9_000):
+        for cut in (0, n // 18, n // 9, n // 5, n):
+            a = dice.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.concatenate((a[cut:], dice.integers(0, 1 << 63, cut, dtype=np.uint64)))
+            bits = [near_copies._parity(s) for s in (a, b)]
+            differ = sum(int(x).bit_count() for x in (bits[0] ^ bits[1]).view(np.uint64))
+            assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
+            both = len(set(a.tolist()) & set(b.tolist()))
+            rows.append((both >= near_copies.THRESHOLD * (2 * n - both), n, n, *[s.tolist() for s in bits]))
+    kept = spark.createDataFrame(rows, "near boolean, n long, m long, a array<long>, b array<long>")
+    found = kept.select("near", near_copies._near("a", "b", "n", "m").alias("passed")).collect()
+    assert all(r.passed for r in found if r.near) and any(r.near for r in found)
+    assert any(not r.passed for r in found)
