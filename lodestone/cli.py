@@ -35,12 +35,15 @@ def main(argv: list[str] | None = None, spark=None, get=engine.fetch) -> int:
         sub.add_argument("--index", "--db", dest="index", default=f"{ROOT}/index")
     args = parser.parse_args(argv)
     spark = spark or build_session()
+    listed = lambda rows: [r.asDict() for r in rows(spark, args.index).toLocalIterator()]  # noqa: E731  # printed for a person, part by part
     if args.command == "ingest":
-        result = index.build(spark, args.raw_dir, args.index, args.processed)
+        result = index.build(spark, args.raw_dir, args.index, args.processed) | {"duplicate_files": listed(index.duplicate_rows)}
     elif args.command == "rebuild":
-        result = index.rebuild(spark, args.raw_dir, args.index, args.processed, ROOT)
+        result = index.rebuild(spark, args.raw_dir, args.index, args.processed, ROOT) | {"duplicate_files": listed(index.duplicate_rows)}
     elif args.command == "sources":
         result = index.sources(spark, args.index)
+        if result["indexed"]:
+            result |= {"sources": listed(index.source_rows), "duplicate_files": listed(index.duplicate_rows)}
     else:
         result = engine.ask(spark, args.index, args.question, args.limit, args.web, get)
     print(index.dump(result))

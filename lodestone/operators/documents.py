@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.constants import CHUNK_OVERLAP, CHUNK_SIZE
+from ..session import scratch_table
 
 
 def mark_duplicates(docs: DataFrame, order: str, name: str) -> DataFrame:
@@ -26,11 +27,16 @@ def mark_duplicates(docs: DataFrame, order: str, name: str) -> DataFrame:
 def number_files(files: DataFrame) -> DataFrame:
     """Add doc_no, from 1, in component-wise path order.
 
-    A file list is numbered by one window: it has a row per file without contents; contents are
-    joined afterwards.
+    Paths are range-sorted without contents; a part's rows are numbered from what the parts before
+    it hold, so what one task sees of all files is a count for each part.
     """
-    order = Window.orderBy(F.split("file_path", "/"))
-    numbers = files.select("file_path").withColumn("doc_no", F.row_number().over(order))
+    order = F.split("file_path", "/")
+    rows = scratch_table(files.select("file_path").repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()), "paths")
+    part = F.shiftright("_id", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", (before - F.col("_first")).alias("_shift"))
+    numbers = rows.withColumn("_part", part).join(offsets, "_part").select("file_path", (F.col("_id") + F.col("_shift") + 1).alias("doc_no"))
     return files.join(numbers, "file_path")
 
 

@@ -1,22 +1,19 @@
 """Registered queries over the driver's tables, and their DuckDB counterparts.
 
 Documents stand for files and `benchmark` texts for questions. Queries with vectors use the hash
-that SQL can compute too. SQL has no Python hash and can't score sentences as citations do, so these
-queries have no counterpart; tests hold them against single-string versions.
+that SQL can compute too. SQL has not the hash of `exact_embedding`, which a test holds against a
+plain version.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import questions as q
 from ..functions import text as t
 from ..functions import udfs
 from ..operators import documents as d
-from ..operators import fulltext, rerank, vectors
+from ..operators import citations, fulltext, ranked, rerank, shards, vectors
 from ..sources.web import result_links
 from .engine import Corpus, hybrid
 from .store import stored
@@ -29,9 +26,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _questions(spark: SparkSession, sf_dir: str) -> list[tuple]:
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set."""
-    return [tuple(r) for r in _table(spark, sf_dir, "benchmark").select("item_id", "text").orderBy("item_id").collect()]
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
@@ -51,14 +48,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
-        docs = _documents(spark, sf_dir).where("duplicate_of is null").withColumn("doc_id", d.doc_id(F.col("doc_id")))
-        return d.chunk_ids(d.chunk_documents(docs.repartition(spark.sparkContext.defaultParallelism), normal=True)).select("chunk_id", "doc_id", "chunk_index", "text")
+        docs = _documents(spark, sf_dir).where("duplicate_of is null").withColumnRenamed("doc_id", "doc_no")
+        rows = d.chunk_documents(docs.repartition(spark.sparkContext.defaultParallelism), "doc_no", normal=True).withColumn("doc_id", d.doc_id(F.col("doc_no")))
+        return d.chunk_ids(rows).select(shards.chunk_no(F.col("doc_no"), F.col("chunk_index")).alias("chunk_no"), "chunk_id", "doc_id", "chunk_index", "text")
 
     return _stored(spark, sf_dir, "chunks", make)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "vectors", lambda: vectors.embed(_chunks(spark, sf_dir), "native"))
+    return _stored(spark, sf_dir, "vectors", lambda: vectors.embed(_chunks(spark, sf_dir), "native", "chunk_no"))
 
 
 def _index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +68,13 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, "postings", lambda: fulltext.postings(_index_rows(spark, sf_dir)).sort("token"))
 
 
+def _lists(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of posting lists."""
+    chunks = _chunks(spark, sf_dir)
+    make = {"vectors": lambda: shards.vectors(shards.placed(chunks), _vectors(spark, sf_dir)), "rows": lambda: shards.rows(shards.placed(chunks)), "tokens": lambda: shards.tokens(shards.placed(chunks)), "runs": lambda: shards.runs(shards.placed(chunks))}
+    return _stored(spark, sf_dir, f"shard-{name}", make[name])
+
+
 def content_hash_dedup(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", "content_hash", "duplicate_of")
 
@@ -93,7 +98,7 @@ def normalize_text(spark, sf_dir):
 
 
 def chunk_documents(spark, sf_dir):
-    return _chunks(spark, sf_dir)
+    return _chunks(spark, sf_dir).drop("chunk_no")
 
 
 def embedding_terms_tf(spark, sf_dir):
@@ -102,7 +107,7 @@ def embedding_terms_tf(spark, sf_dir):
 
 
 def hash_embedding(spark, sf_dir):
-    rows = _vectors(spark, sf_dir)
+    rows = _vectors(spark, sf_dir).withColumn("chunk_id", shards.chunk_id_of(F.col("chunk_no")))
     return rows.select("chunk_id", F.explode("embedding").alias("b")).select("chunk_id", "b.idx", "b.w")
 
 
@@ -112,54 +117,59 @@ def exact_embedding(spark, sf_dir):
 
 
 def candidate_terms(spark, sf_dir):
-    rows = fulltext.with_terms(spark, _questions(spark, sf_dir)).select("qid", F.posexplode("terms").alias("pos", "term"))
-    return rows.select("qid", (F.col("pos") + 1).cast("long").alias("pos"), "term")
+    rows = _questions(spark, sf_dir).select("qid", udfs.candidate_terms("question").alias("terms")).select("qid", F.posexplode_outer("terms").alias("pos", "term"))
+    return rows.where("term is not null").select("qid", (F.col("pos") + 1).cast("long").alias("pos"), "term")
 
 
 def fts_index(spark, sf_dir):
     return _postings(spark, sf_dir)
 
 
+def _named(found: DataFrame) -> DataFrame:
+    """Ids in place of the numbers of chunks."""
+    return found.withColumn("chunk_id", shards.chunk_id_of(F.col("chunk_no"))).drop("chunk_no")
+
+
 def semantic_topk(spark, sf_dir):
-    found = vectors.semantic_topk(_questions(spark, sf_dir), _vectors(spark, sf_dir), mode="native")
-    return found.withColumn("semantic_score", F.round("semantic_score", 6))
+    found = ranked.semantic_topk(_questions(spark, sf_dir), _lists(spark, sf_dir, "rows"), _lists(spark, sf_dir, "vectors"), mode="native")
+    return _named(found).withColumn("semantic_score", F.round("semantic_score", 6))
 
 
 def keyword_topk(spark, sf_dir):
-    return fulltext.keyword_topk(_chunks(spark, sf_dir), _questions(spark, sf_dir))
+    return _named(ranked.keyword_topk(_questions(spark, sf_dir), _lists(spark, sf_dir, "rows"), _lists(spark, sf_dir, "runs"), _chunks(spark, sf_dir)))
+
+
+def keyword_index_topk(spark, sf_dir):
+    """The same by posting lists alone, as few questions are answered."""
+    return _named(ranked.keyword_topk(_questions(spark, sf_dir), _lists(spark, sf_dir, "rows"), _lists(spark, sf_dir, "runs"), _chunks(spark, sf_dir), scan_terms=1 << 40))
 
 
 def bm25_topk(spark, sf_dir):
-    found = fulltext.bm25_topk(spark, _questions(spark, sf_dir), _postings(spark, sf_dir), _index_rows(spark, sf_dir))
-    return found.select("qid", "chunk_id", F.round("fts_rank", 6).alias("fts_rank"), "pos")
+    found = ranked.bm25_topk(_questions(spark, sf_dir), _lists(spark, sf_dir, "rows"), _lists(spark, sf_dir, "tokens"))
+    return _named(found).withColumn("fts_rank", F.round("fts_rank", 6))
 
 
 def _hybrid(spark, sf_dir):
-    corpus = Corpus(_chunks(spark, sf_dir), _vectors(spark, sf_dir), _postings(spark, sf_dir), _index_rows(spark, sf_dir), mode="native")
-    return hybrid(spark, corpus, _questions(spark, sf_dir))
+    corpus = Corpus(_chunks(spark, sf_dir), _vectors(spark, sf_dir), {name: _lists(spark, sf_dir, name) for name in shards.TABLES}, mode="native")
+    return hybrid(corpus, _questions(spark, sf_dir))
 
 
 _RANKED = ("qid", "chunk_id", "semantic_score", "keyword_score", "fts_score", "rerank_score", "rank")
 
 
 def hybrid_rerank(spark, sf_dir):
-    return _hybrid(spark, sf_dir).select(*_RANKED)
+    return _named(_hybrid(spark, sf_dir)).select(*_RANKED)
 
 
 def evidence_gate(spark, sf_dir):
-    return rerank.gate(_hybrid(spark, sf_dir)).select("qid", "chunk_id", "rerank_score", "rank")
+    return _named(rerank.gate(_hybrid(spark, sf_dir))).select("qid", "chunk_id", "rerank_score", "rank")
 
 
 def sentence_citations(spark, sf_dir):
     """The best sentences of each source that passes the gates."""
-    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    rows = rerank.gate(_hybrid(spark, sf_dir)).join(_chunks(spark, sf_dir), "chunk_id").join(asked, "qid")
-    return rows.select("qid", "rank", "chunk_id", udfs.citation("text", "question").alias("citation"))
-
-
-@F.pandas_udf(T.StringType())
-def _compose(citations: pd.Series) -> pd.Series:
-    return citations.map(lambda c: q.compose_answer(list(c)))
+    asked = _questions(spark, sf_dir).withColumn("terms", udfs.candidate_terms("question"))
+    rows = rerank.gate(_hybrid(spark, sf_dir)).join(_chunks(spark, sf_dir), "chunk_no").join(asked, "qid")
+    return citations.with_citation(rows).select("qid", "rank", "chunk_id", "citation")
 
 
 def answer_struct(spark, sf_dir):
@@ -168,7 +178,7 @@ def answer_struct(spark, sf_dir):
     asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
     rows = asked.join(rows, "qid", "left").withColumn("citations", F.coalesce("s.citation", F.array().cast("array<string>")))
     kind = F.when(F.size("citations") > 0, "knowledge_base").otherwise("none")
-    return rows.select("qid", _compose("citations").alias("answer"), kind.alias("source_type"), F.size("citations").alias("n_sources"), (kind == "none").alias("need_web_search"))
+    return citations.with_answer(rows).select("qid", "answer", kind.alias("source_type"), F.size("citations").alias("n_sources"), (kind == "none").alias("need_web_search"))
 
 
 def split_sentences(spark, sf_dir):
@@ -188,37 +198,41 @@ def url_unwrap(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", t.unwrap_redirect(F.col("url")).alias("redirect"), t.unwrap_bing(F.col("url")).alias("bing"))
 
 
-#: Cases that the tables have none of: CJK text, redirect links, result pages. Both dialects read them.
-_CASES = {
-    "cjk": "(1, '光合作用与呼吸 abc_1 二氧化碳 x y2'), (2, '水'), (3, '水汽'), (4, 'plain words 和 CO2，氧气。'), (5, '')",
-    "urls": "(1, 'https://duckduckgo.com/l/?uddg=https%3A%2F%2Fa.example%2Fx%3Fy%3D1&rut=2'), (2, '//duckduckgo.com/l/?uddg=http%3A%2F%2Fb.example'), (3, 'https://duckduckgo.com/about'), (4, 'https://www.bing.com/ck/a?p=1&u=a1aHR0cHM6Ly9jLmV4YW1wbGUvcGF0aD9xPTE&ntb=1'), (5, 'https://www.bing.com/ck/a?u=b1aHR0'), (6, 'https://d.example/?u=a1aHR0')",
-    "results": "(1, '<div><a class=\"x result__a\" href=\"http://a.example/1\">First  <b>title</b></a><div class=\"result__snippet\">Some <b>text</b> here</div></div>'), (2, '<a class=\"result__a\" href=\"http://b.example\">Lone title</a>'), (3, '<p>none</p>'), (4, '<a class=\"result__a\" href=\"//duckduckgo.com/l/?uddg=http%3A%2F%2Fe.example\">Third</a><a class=\"result__snippet\" href=\"#\">Words</a>')",
-}
+#: Letters that stand for CJK characters in texts made from documents, which have none themselves.
+_LETTERS, _CHARACTERS = "aeinr", "光合作用水"
 
 
-def _cases(spark: SparkSession, name: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {_CASES[name]} AS t(id, text)")
+def cjk_terms(spark, sf_dir):
+    """Embedding terms, with their counts, of documents in which some letters are CJK characters."""
+    text = F.translate("text", _LETTERS, _CHARACTERS)
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(t.embedding_terms(text)).alias("term")).where("term is not null")
+    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def cjk_terms(spark, sf_dir):
-    """Embedding terms of text with CJK runs, with their counts."""
-    rows = _cases(spark, "cjk").select("id", F.explode(t.embedding_terms(F.col("text"))).alias("term"))
-    return rows.groupBy("id", "term").agg(F.count("*").alias("tf"))
+def _redirect(url):
+    return F.concat(F.lit("//duckduckgo.com/l/?uddg="), F.url_encode(url), F.lit("&rut=1"))
 
 
 def unwrapped_links(spark, sf_dir):
-    """Targets of redirect links of both kinds."""
-    return _cases(spark, "urls").select("id", t.unwrap_redirect(F.col("text")).alias("redirect"), t.unwrap_bing(F.col("text")).alias("bing"))
+    """Targets of redirect links of both kinds, made from the pages' addresses; each fifth is of neither."""
+    coded = F.concat(F.lit("https://www.bing.com/ck/a?p=1&u=a1"), F.translate(F.base64(F.col("url").cast("binary")), "+/=", "-_"), F.lit("&ntb=1"))
+    plain = F.col("page_id") % 5 == 0
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.when(plain, F.col("url")).otherwise(_redirect(F.col("url"))).alias("a"), F.when(plain, F.col("url")).otherwise(coded).alias("b"))
+    return rows.select("page_id", t.unwrap_redirect(F.col("a")).alias("redirect"), t.unwrap_bing(F.col("b")).alias("bing"))
 
 
 def result_pages(spark, sf_dir):
-    """Titles, targets and snippets of result pages."""
-    return _cases(spark, "results").select("id", F.explode(result_links("text")).alias("r")).select("id", "r.title", "r.url", "r.snippet")
+    """Titles, targets and snippets of result pages made from the pages; each third has a result without a snippet."""
+    number = F.col("page_id").cast("string")
+    title = F.concat(F.lit('<div><a class="x result__a" href="'), _redirect(F.col("url")), F.lit('">Page  <b>'), number, F.lit("</b> &amp; more</a>"))
+    snippet = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit('<div class="result__snippet">Words  of <i>'), number, F.lit("</i></div>")))
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.explode_outer(result_links(F.concat(title, snippet, F.lit("</div>")))).alias("r")).where("r is not null")
+    return rows.select("page_id", "r.title", "r.url", "r.snippet")
 
 
 _QUERIES = (
     content_hash_dedup, ingest_counters, sources_report, duplicate_files, normalize_text, chunk_documents, embedding_terms_tf, hash_embedding, exact_embedding, candidate_terms, fts_index,
-    semantic_topk, keyword_topk, bm25_topk, hybrid_rerank, evidence_gate, sentence_citations, answer_struct, split_sentences, human_text_clean, html_links_extract, url_unwrap, cjk_terms, unwrapped_links, result_pages,
+    semantic_topk, keyword_topk, keyword_index_topk, bm25_topk, hybrid_rerank, evidence_gate, sentence_citations, answer_struct, split_sentences, human_text_clean, html_links_extract, url_unwrap, cjk_terms, unwrapped_links, result_pages,
 )
 
 
@@ -248,7 +262,7 @@ _SQL = {
     ),
     "vecs": ("hashed", r"""SELECT id, idx, w FROM (SELECT id, idx, round(s / sqrt(sum(s * s) OVER (PARTITION BY id)), 6) AS w FROM (SELECT id, idx, sum(s) AS s FROM hashed GROUP BY id, idx)) WHERE abs(w) > 1e-9"""),
     "dots": ("vecs", r"""SELECT substr(a.id, 2)::BIGINT AS qid, b.id AS chunk_id, round(sum(a.w * b.w), 12) AS semantic_score FROM vecs a JOIN vecs b ON a.idx = b.idx AND a.id LIKE 'q%' AND b.id NOT LIKE 'q%' GROUP BY 1, 2"""),
-    "semantic": ("dots", r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY semantic_score DESC, chunk_id) AS pos FROM dots WHERE semantic_score > 0) WHERE pos <= 25"""),
+    "semantic": ("dots", r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY semantic_score DESC, split_part(chunk_id, '_', 2)::BIGINT, split_part(chunk_id, '_', 3)::BIGINT) AS pos FROM dots WHERE semantic_score > 0) WHERE pos <= 25"""),
     "plain": ("", r"""SELECT item_id AS qid, regexp_replace(regexp_replace(text, '[\pL\pN_]*[\x{80}-\x{10FFFF}][\pL\pN_\x{80}-\x{10FFFF}]*', '#', 'g'), '\b[0-9_][A-Za-z0-9_]*', '#', 'g') AS text FROM benchmark"""),
     "terms": (
         "plain",
@@ -258,14 +272,14 @@ _SQL = {
         UNION ALL SELECT qid, lower(term) FROM (SELECT qid, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]*')) AS term FROM plain) WHERE length(term) >= 2)) WHERE first = 1) WHERE pos <= 32""",
     ),
     "scores": ("chunks terms", r"""SELECT qid, chunk_id, sum(CASE WHEN length(term) >= 4 THEN 3 ELSE 1 END)::INTEGER AS term_score FROM chunks JOIN terms ON contains(lower(text), lower(term)) GROUP BY 1, 2"""),
-    "keyword": ("scores", r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY term_score DESC, chunk_id) AS pos FROM scores) WHERE pos <= 15"""),
+    "keyword": ("scores", r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY term_score DESC, split_part(chunk_id, '_', 2)::BIGINT, split_part(chunk_id, '_', 3)::BIGINT) AS pos FROM scores) WHERE pos <= 15"""),
     "tokens": ("chunks", r"""SELECT chunk_id, regexp_extract_all(strip_accents(lower(text)), '[\pL\pN]+') AS parts FROM chunks"""),
     "rows": ("tokens", r"""SELECT chunk_id, 2 * len(parts) AS n_tokens, ' ' || array_to_string(parts, '  ') || ' ' AS tokens FROM tokens"""),
     "phrases": ("terms", r"""SELECT qid, pos AS term_no, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(term)), '[\pL\pN]+'), '  ') || ' ' AS phrase FROM terms WHERE pos <= 16"""),
     "freq": ("rows phrases", r"""SELECT qid, term_no, chunk_id, n_tokens, 2 * (length(tokens) - length(replace(tokens, phrase, ''))) / length(phrase) AS f FROM rows JOIN phrases ON contains(tokens, phrase)"""),
     "weights": ("freq", r"""SELECT qid, term_no, CASE WHEN v <= 0 THEN 1e-6::DOUBLE ELSE v END AS idf FROM (SELECT qid, term_no, ln(((SELECT count(*) FROM rows)::DOUBLE - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS v FROM freq GROUP BY 1, 2)"""),
     "ranks": ("weights", r"""SELECT qid, chunk_id, -sum(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n_tokens / (SELECT avg(n_tokens) FROM rows)))) AS fts_rank FROM freq JOIN weights USING (qid, term_no) GROUP BY 1, 2"""),
-    "fts": ("ranks", r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(fts_rank, 9), chunk_id) AS pos FROM ranks) WHERE pos <= 25"""),
+    "fts": ("ranks", r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(fts_rank, 9), split_part(chunk_id, '_', 2)::BIGINT, split_part(chunk_id, '_', 3)::BIGINT) AS pos FROM ranks) WHERE pos <= 25"""),
     "merged": (
         "fts semantic keyword",
         r"""SELECT qid, chunk_id, max(fts_rank) AS fts_rank, min(arrival) AS arrival FROM (SELECT qid, chunk_id, fts_rank, pos AS arrival FROM fts UNION ALL SELECT qid, chunk_id, NULL, pos + 1000000 FROM semantic UNION ALL SELECT qid, chunk_id, NULL, pos + 2000000 FROM keyword) GROUP BY 1, 2""",
@@ -294,17 +308,48 @@ def _with(uses: str, select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_SQL[n][1]})" for n in order) + "\n" + select
 
 
-#: Sentences of documents. SQL has no look-behind: a control character is put after each end and
-#: split at. The tables have no character references, which SQL can't decode.
-_SENTENCES = r"""WITH marked AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^[ \t]*#{1,6}[ \t]*', '', 'g'), '(?m)^[ \t]*[-*+]\s+', '', 'g'), '(?m)^[ \t]*\d+[.)]\s+', '', 'g'), '[*_`~]+', '', 'g') AS text FROM documents),
-cut AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([。！？!?；;])\s*', '\1' || chr(1), 'g'), '\.\s+', '.' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS part, generate_subscripts(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([。！？!?；;])\s*', '\1' || chr(1), 'g'), '\.\s+', '.' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), 1) AS k FROM marked),
-clean AS (SELECT doc_id, k, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(part, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^[ \t]*#{1,6}[ \t]*', '', 'g'), '(?m)^[ \t]*[-*+]\s+', '', 'g'), '(?m)^[ \t]*\d+[.)]\s+', '', 'g'), '[*_`~]+', '', 'g'), '\s+', ' ', 'g'), ' -#' || chr(9) || chr(10) || chr(13)) AS sentence FROM cut)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS pos, sentence FROM clean
+def _markdown(x: str) -> str:
+    for pattern, put in ((r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"(?m)^[ \t]*#{1,6}[ \t]*", ""), (r"(?m)^[ \t]*[-*+]\s+", ""), (r"(?m)^[ \t]*\d+[.)]\s+", ""), (r"[*_`~]+", "")):
+        x = f"regexp_replace({x}, '{pattern}', '{put}', 'g')"
+    return x
+
+
+def _human(x: str) -> str:
+    return f"trim(regexp_replace({_markdown(x)}, '\\s+', ' ', 'g'), ' -#' || chr(9) || chr(10) || chr(13))"
+
+
+def _sentences(key: str, table: str) -> str:
+    """Sentences of a table's texts. SQL has no look-behind: a control character is put after each
+    end and split at. The tables have no character references, which SQL can't decode."""
+    parts = r"string_split(regexp_replace(regexp_replace(regexp_replace(marked, '([。！？!?；;])\s*', '\1' || chr(1), 'g'), '\.\s+', '.' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))"
+    cut = f"SELECT {key}, unnest({parts}) AS part, generate_subscripts({parts}, 1) AS k FROM (SELECT {key}, {_markdown('text')} AS marked FROM {table})"
+    return f"""SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY k) - 1)::INTEGER AS pos, sentence FROM (SELECT {key}, k, {_human('part')} AS sentence FROM ({cut}))
 WHERE sentence <> '' AND sentence NOT IN ('摘要', '关键机制', '可回答的问题', '工作表 sheet1') AND NOT regexp_matches(sentence, '[?？]$') AND NOT regexp_matches(sentence, '^(什么|哪些|哪个|如何|怎么|为什么)')"""
 
-#: Text without tags and with single blanks.
-_PLAIN = r"trim(regexp_replace(regexp_replace({}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))"
 
+_SQL["gated"] = ("ranked", "SELECT qid, chunk_id, rerank_score, rank FROM (SELECT *, max(rerank_score) OVER (PARTITION BY qid) AS best FROM ranked) WHERE best >= 0.16 AND rerank_score >= greatest(0.16::DOUBLE, 0.75::DOUBLE * best)")
+_SQL["sources"] = ("gated chunks", "SELECT qid, rank, chunk_id, text FROM gated JOIN chunks USING (chunk_id)")
+_SQL["sentences"] = ("sources", _sentences("qid, chunk_id", "sources"))
+_SQL["rated"] = (
+    "sentences terms",
+    """SELECT qid, chunk_id, pos, sentence, before, points, max(points) OVER (PARTITION BY qid, chunk_id) AS best FROM (
+    SELECT qid, chunk_id, s.pos AS pos, any_value(sentence) AS sentence, any_value(before) AS before, coalesce(sum(CASE WHEN contains(lower(sentence), lower(term)) THEN CASE WHEN length(term) >= 4 THEN 3 ELSE 1 END END), 0) AS points
+    FROM (SELECT *, lag(sentence) OVER (PARTITION BY qid, chunk_id ORDER BY pos) AS before FROM sentences) s LEFT JOIN terms USING (qid) GROUP BY 1, 2, 3)""",
+)
+_SQL["picked"] = ("rated", "SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY points DESC, pos) AS place FROM rated WHERE best > 0 AND points >= greatest(1, best - 1)")
+_SQL["quotes"] = (
+    "picked",
+    "SELECT qid, chunk_id, string_agg(CASE WHEN starts_with(sentence, 'They ') AND before IS NOT NULL THEN rtrim(before, '。！？!?；;,.， ') || '。 ' ELSE '' END || rtrim(sentence, '。！？!?；;,.， ') || '。', ' ' ORDER BY place) AS quote FROM picked WHERE place <= 2 GROUP BY 1, 2",
+)
+_SQL["cited"] = (
+    "sources quotes",
+    f"SELECT qid, rank, chunk_id, CASE WHEN length(line) > 360 THEN rtrim(substr(line, 1, 359)) || '…' ELSE line END AS citation FROM (SELECT qid, rank, chunk_id, {_human('coalesce(quote, text)')} AS line FROM sources LEFT JOIN quotes USING (qid, chunk_id))",
+)
+_SQL["answers"] = (
+    "cited",
+    f"""SELECT item_id AS qid, {_human("CASE WHEN len(c) > 0 THEN '根据本地知识库，' || array_to_string([rtrim(x, '。！？!?；;,.， ') for x in c[:3] if x <> ''], '；') || '。' ELSE '本地知识库没有找到足够依据。' END")} AS answer, CASE WHEN len(c) > 0 THEN 'knowledge_base' ELSE 'none' END AS source_type, len(c)::INTEGER AS n_sources, len(c) = 0 AS need_web_search
+    FROM (SELECT item_id, coalesce(c, []) AS c FROM benchmark LEFT JOIN (SELECT qid AS item_id, list(citation ORDER BY rank) AS c FROM cited GROUP BY 1) USING (item_id))""",
+)
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -320,16 +365,17 @@ def oracle_sql() -> dict[str, str]:
         "fts_index": _with("tokens", "SELECT chunk_id, token, 2 * count(*) AS tf FROM (SELECT chunk_id, unnest(parts) AS token FROM tokens) GROUP BY 1, 2"),
         "semantic_topk": _with("semantic", "SELECT qid, chunk_id, round(semantic_score, 6) AS semantic_score, pos::INTEGER AS pos FROM semantic"),
         "keyword_topk": _with("keyword", "SELECT qid, chunk_id, term_score, pos::INTEGER AS pos FROM keyword"),
+        "keyword_index_topk": _with("keyword", "SELECT qid, chunk_id, term_score, pos::INTEGER AS pos FROM keyword"),
         "bm25_topk": _with("fts", "SELECT qid, chunk_id, round(fts_rank, 6) AS fts_rank, pos::INTEGER AS pos FROM fts"),
         "hybrid_rerank": _with("ranked", "SELECT qid, chunk_id, semantic_score, keyword_score, fts_score, rerank_score, rank FROM ranked"),
-        "evidence_gate": _with("ranked", "SELECT qid, chunk_id, rerank_score, rank FROM (SELECT *, max(rerank_score) OVER (PARTITION BY qid) AS best FROM ranked) WHERE best >= 0.16 AND rerank_score >= greatest(0.16::DOUBLE, 0.75::DOUBLE * best)"),
-        "human_text_clean": r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^[ \t]*#{1,6}[ \t]*', '', 'g'), '(?m)^[ \t]*[-*+]\s+', '', 'g'), '(?m)^[ \t]*\d+[.)]\s+', '', 'g'), '[*_`~]+', '', 'g'), '\s+', ' ', 'g'), ' -#' || chr(9) || chr(10) || chr(13)) AS text FROM conversations""",
-        "split_sentences": _SENTENCES,
-        "cjk_terms": f"""SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(list_concat(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}'), flatten([flatten([[substr(run, i, n) for i in range(1, length(run) - n + 2)] for n in [2, 3, 4]]) for run in regexp_extract_all(text, '[一-鿿]+')]))) AS term FROM (VALUES {_CASES['cjk']}) t(id, text)) GROUP BY 1, 2""",
-        "unwrapped_links": f"""SELECT id, CASE WHEN text LIKE '%duckduckgo.com/l/%' AND target <> '' THEN url_decode(target) WHEN text LIKE '//%' THEN 'https:' || text ELSE text END AS redirect,
-        CASE WHEN text LIKE '%bing.com/%' AND code LIKE 'a1%' THEN decode(from_base64(rpad(body, ((length(body) + 3) // 4 * 4)::INTEGER, '='))) ELSE text END AS bing
-        FROM (SELECT *, translate(substr(code, 3), '-_', '+/') AS body FROM (SELECT id, text, regexp_extract(text, 'uddg=([^&#]*)', 1) AS target, regexp_extract(text, '[?&]u=([^&#]*)', 1) AS code FROM (VALUES {_CASES['urls']}) t(id, text)))""",
-        "result_pages": f"""SELECT id, plain(title) AS title, CASE WHEN url LIKE '%uddg=%' THEN url_decode(regexp_extract(url, 'uddg=([^&#]*)', 1)) ELSE url END AS url, plain(snippet) AS snippet FROM (SELECT id, regexp_extract(text, 'result__a"[^>]*>(.*?)</a>', 1) AS title, regexp_extract(text, 'result__a" href="([^"]*)"', 1) AS url, regexp_extract(text, 'result__snippet"[^>]*>(.*?)</(div|a)>', 1) AS snippet FROM (VALUES {_CASES['results']}) t(id, text)) WHERE snippet <> ''""".replace("plain(title)", _PLAIN.format("title")).replace("plain(snippet)", _PLAIN.format("snippet")),
+        "evidence_gate": _with("gated", "SELECT qid, chunk_id, rerank_score, rank FROM gated"),
+        "sentence_citations": _with("cited", "SELECT qid, rank, chunk_id, citation FROM cited"),
+        "answer_struct": _with("answers", "SELECT qid, answer, source_type, n_sources, need_web_search FROM answers"),
+        "human_text_clean": f"SELECT conv_id, turn, {_human('text')} AS text FROM conversations",
+        "split_sentences": _sentences("doc_id", "documents"),
+        "cjk_terms": f"""SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}'), flatten([flatten([[substr(run, i, n) for i in range(1, length(run) - n + 2)] for n in [2, 3, 4]]) for run in regexp_extract_all(text, '[一-鿿]+')]))) AS term FROM (SELECT doc_id, translate(text, '{_LETTERS}', '{_CHARACTERS}') AS text FROM documents)) GROUP BY 1, 2""",
+        "unwrapped_links": "SELECT page_id, url AS redirect, url AS bing FROM pages",
+        "result_pages": "SELECT page_id, 'Page ' || page_id || ' & more' AS title, url, 'Words of ' || page_id AS snippet FROM pages WHERE page_id % 3 <> 0",
         "html_links_extract": "SELECT page_id, CASE WHEN html LIKE '%result__a%' THEN 1 ELSE 0 END AS n_results FROM pages",
         "url_unwrap": "SELECT page_id, url AS redirect, url AS bing FROM pages",
     }

@@ -18,10 +18,10 @@ from ..functions import text as t
 from ..functions import udfs
 from ..functions.constants import MODEL_LABEL, NO_INDEX_REPORT
 from ..operators import documents as d
-from ..operators import fulltext, vectors
+from ..operators import fulltext, shards
 from ..sources.files import extract_texts, scan_files
 
-TABLES = ("metadata", "documents", "chunks", "postings", "index_rows", "skipped")
+TABLES = ("metadata", "documents", "chunks", "postings", "index_rows", "skipped", *(f"shard_{name}" for name in shards.TABLES))
 DOCUMENT_COLUMNS = ("doc_id", "file_name", "file_path", "file_type", "file_size", "modified_at", "indexed_at", "content_hash", "duplicate_of", "text")
 
 
@@ -36,10 +36,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def _write_pointer(spark: SparkSession, index_dir: str, version: str) -> None:
-    fs, p = _fs(spark, f"{index_dir}/CURRENT")
+    """Swap the pointer: the new one is written beside it and renamed over it, so a reader finds the one or the other."""
+    made = f"{index_dir}/.CURRENT-{uuid.uuid4().hex}"
+    fs, p = _fs(spark, made)
     out = fs.create(p, True)
     out.write(version.encode())
     out.close()
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    options = gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.makeQualified(p).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(p), fs.makeQualified(_fs(spark, f"{index_dir}/CURRENT")[1]), options)
 
 
 def current_version(spark: SparkSession, index_dir: str) -> str | None:
@@ -65,7 +72,7 @@ class Index:
 
 
 def build(spark: SparkSession, raw_dir: str, index_dir: str, processed_dir: str | None = None) -> dict:
-    """Read all files below `raw_dir` into a new version of the index; returns the counters."""
+    """Read all files below `raw_dir` into a new version of the index; returns the counters (`duplicate_rows` has the duplicates)."""
     indexed_at = datetime.now(timezone.utc).isoformat(timespec="seconds")
     version = f"v-{uuid.uuid4().hex}"
     out = f"{index_dir}/{version}"
@@ -79,41 +86,54 @@ def build(spark: SparkSession, raw_dir: str, index_dir: str, processed_dir: str
     rows = rows.withColumn("modified_at", t.iso_utc(F.col("modified"))).withColumn("indexed_at", F.lit(indexed_at))
     rows.select(*DOCUMENT_COLUMNS).write.parquet(f"{out}/documents")
     docs = spark.read.parquet(f"{out}/documents")
-    chunks = d.chunk_ids(d.chunk_documents(docs.where("duplicate_of is null"))).withColumn("embedding", udfs.stored_vector("text"))
-    chunks.select("chunk_id", "doc_id", "chunk_index", "text", "embedding").write.parquet(f"{out}/chunks")
+    numbered = docs.where("duplicate_of is null").withColumn("doc_no", F.substring("doc_id", 5, 19).cast("long"))
+    chunks = d.chunk_documents(numbered, "doc_no").withColumn("doc_id", d.doc_id(F.col("doc_no"))).withColumn("chunk_no", shards.chunk_no(F.col("doc_no"), F.col("chunk_index")))
+    d.chunk_ids(chunks).withColumn("embedding", udfs.stored_vector("text")).select("chunk_no", "chunk_id", "doc_id", "chunk_index", "text", "embedding").write.parquet(f"{out}/chunks")
     chunks = spark.read.parquet(f"{out}/chunks")
+    placed = shards.placed(chunks)
+    lists = {"rows": shards.rows(placed), "vectors": shards.vectors(placed, chunks.select("chunk_no", "embedding")), "tokens": shards.tokens(placed), "runs": shards.runs(placed)}
+    for name, table in lists.items():
+        table.write.parquet(f"{out}/shard_{name}")
     fulltext.index_rows(chunks).write.parquet(f"{out}/index_rows")
     fulltext.postings(spark.read.parquet(f"{out}/index_rows")).sort("token").write.parquet(f"{out}/postings")
     spark.createDataFrame([("indexed_at", indexed_at), ("embedding_model", MODEL_LABEL)], "key string, value string").write.parquet(f"{out}/metadata")
     if processed_dir:
         export_jsonl(docs, chunks, processed_dir)
     counts = d.ingest_counters(docs, chunks, skipped).first().asDict()
-    twins = [r.asDict() for r in d.duplicate_files(docs).collect()]
     _write_pointer(spark, index_dir, version)
     fs, p = _fs(spark, f"{out}/staged")
     fs.delete(p, True)
-    return counts | {"duplicate_files": twins, "indexed_at": indexed_at, "embedding_model": MODEL_LABEL}
+    return counts | {"indexed_at": indexed_at, "embedding_model": MODEL_LABEL}
 
 
 def export_jsonl(docs: DataFrame, chunks: DataFrame, processed_dir: str) -> None:
     """Documents and chunks as JSON lines, nulls kept; chunks without vectors."""
-    docs.select(*DOCUMENT_COLUMNS).orderBy("doc_id").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{processed_dir}/documents.jsonl")
+    docs.select(*DOCUMENT_COLUMNS).orderBy(F.substring("doc_id", 5, 19).cast("long")).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{processed_dir}/documents.jsonl")
     named = chunks.join(docs.select("doc_id", "file_name", "file_path", "file_type"), "doc_id").withColumn("embedding_model", F.lit(MODEL_LABEL))
-    named = named.select("chunk_id", "doc_id", "chunk_index", "file_name", "file_path", "file_type", "embedding_model", "text")
-    named.orderBy("chunk_id").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{processed_dir}/chunks.jsonl")
+    columns = ["chunk_id", "doc_id", "chunk_index", "file_name", "file_path", "file_type", "embedding_model", "text"]
+    named.orderBy("chunk_no").select(*columns).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{processed_dir}/chunks.jsonl")
+
+
+def source_rows(spark: SparkSession, index_dir: str) -> DataFrame:
+    """Each file of the index with its chunks, by path."""
+    index = Index(spark, index_dir)
+    return d.sources_report(index.table("documents"), index.table("chunks"))
+
+
+def duplicate_rows(spark: SparkSession, index_dir: str) -> DataFrame:
+    """Each duplicate of the index with the file it repeats, by path."""
+    return d.duplicate_files(Index(spark, index_dir).table("documents"))
 
 
 def sources(spark: SparkSession, index_dir: str) -> dict:
-    """What the index holds: counts, each file with its chunks, and the duplicates."""
+    """What the index holds, in counts; `source_rows` and `duplicate_rows` list it."""
     if current_version(spark, index_dir) is None:
         return {"indexed": False, "message": NO_INDEX_REPORT, "sources": []}
     index = Index(spark, index_dir)
-    meta, docs = index.metadata(), index.table("documents")
-    items = [r.asDict() for r in d.sources_report(docs, index.table("chunks")).collect()]
-    twins = [r.asDict() for r in d.duplicate_files(docs).collect()]
+    meta, counts = index.metadata(), d.ingest_counters(index.table("documents"), index.table("chunks")).first()
     return {
         "indexed": True, "index_updated_at": meta.get("indexed_at"), "embedding_model": meta.get("embedding_model"),
-        "documents": len(items), "indexed_documents": len(items) - len(twins), "duplicates": len(twins), "sources": items, "duplicate_files": twins,
+        "documents": counts["documents"], "indexed_documents": counts["indexed_documents"], "duplicates": counts["duplicates"],
     }
 
 

@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: dict[tuple, str] = {}
+from .. import session
 
-
-def _folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see; a temporary one for local sessions only."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-index-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+_tables: dict[tuple, DataFrame] = {}
 
 
 def _version(spark: SparkSession, paths: list[str]) -> tuple:
@@ -36,8 +24,13 @@ def _version(spark: SparkSession, paths: list[str]) -> tuple:
 def stored(spark: SparkSession, source: DataFrame, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table `name` made from the files that `source` reads, written by the first query that needs it."""
     key = (spark.sparkContext.applicationId, name, _version(spark, source.inputFiles()))
-    if key not in _written:
-        path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        make().write.parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+    if key not in _tables:
+        _tables[key] = session.scratch_table(make(), name)
+    return _tables[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the session's tables; the next query that needs one writes it anew."""
+    for key in [k for k in _tables if k[0] == spark.sparkContext.applicationId]:
+        del _tables[key]
+    session.release(spark)

@@ -13,8 +13,9 @@ from lodestone import cli
 from lodestone.functions import constants as c
 from lodestone.functions import questions as q
 from lodestone.operators import documents as d
-from lodestone.operators import fulltext, rerank, vectors
+from lodestone.operators import ranked, rerank, shards, vectors
 from lodestone.plans import engine, index
+from lodestone.session import scratch_table
 from lodestone.sources import files, web
 
 
@@ -33,7 +34,7 @@ def built(spark, tmp_path_factory):
 def test_build(spark, built):
     root, result = built
     assert {k: result[k] for k in ("documents", "indexed_documents", "chunks", "skipped", "duplicates")} == {"documents": 5, "indexed_documents": 4, "chunks": 4, "skipped": 2, "duplicates": 1}
-    assert result["duplicate_files"] == [{"file_path": "markdown/tides.md", "duplicate_of": "markdown/copy.md"}]
+    assert [tuple(r) for r in index.duplicate_rows(spark, str(root / "index")).collect()] == [("markdown/tides.md", "markdown/copy.md")]
     ids = {r["file_path"]: r["doc_id"] for r in index.Index(spark, str(root / "index")).table("documents").collect()}
     assert ids == {"excel/metals.xlsx": "doc_0001", "markdown/copy.md": "doc_0002", "markdown/tides.md": "doc_0003", "pdf/rivers.pdf": "doc_0004", "word/volcano.docx": "doc_0005"}
     lines = [json.loads(x) for f in sorted((root / "processed/chunks.jsonl").glob("part-*")) for x in f.read_text().splitlines()]
@@ -43,7 +44,7 @@ def test_build(spark, built):
 def test_sources_report(spark, built):
     report = index.sources(spark, str(built[0] / "index"))
     assert report["indexed"] and report["documents"] == 5 and report["duplicates"] == 1
-    assert [(s["file_path"], s["chunk_count"]) for s in report["sources"]][1:3] == [("markdown/copy.md", 1), ("markdown/tides.md", 0)]
+    assert [(s["file_path"], s["chunk_count"]) for s in index.source_rows(spark, str(built[0] / "index")).collect()][1:3] == [("markdown/copy.md", 1), ("markdown/tides.md", 0)]
     assert index.sources(spark, str(built[0] / "nothing"))["indexed"] is False
 
 
@@ -90,6 +91,15 @@ def test_duplicates_need_no_order(spark):
     assert found == {"a": None, "b": None, "c": "a"}
 
 
+def retrieval(spark, texts):
+    """The rows and the posting lists of texts, whose numbers are their chunk numbers."""
+    chunks = scratch_table(spark.createDataFrame(list(enumerate(texts)), "chunk_no long, text string").repartition(3), "chunks")
+    placed = shards.placed(chunks)
+    made = {"rows": shards.rows(placed), "vectors": shards.vectors(placed, vectors.embed(chunks, key="chunk_no")), "tokens": shards.tokens(placed), "runs": shards.runs(placed), "chunks": chunks}
+    made = {name: df if name == "chunks" else scratch_table(df, name) for name, df in made.items()}
+    return made["rows"], made
+
+
 def test_bm25_matches_sqlite(spark):
     texts = ["red fox jumps", "the red red fox", "Café user_id red", "fox red", "产生ATP和 red", "nothing here", "user id fox"]
     db = sqlite3.connect(":memory:")
@@ -97,30 +107,15 @@ def test_bm25_matches_sqlite(spark):
     for x in texts:
         grams = [run[i : i + n] for run in q._cjk_run.findall(x) for n in (2, 3, 4) for i in range(len(run) - n + 1)]
         db.execute("insert into t values (?, ?)", (x, x + "\n" + " ".join(grams)))
-    chunks = spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(texts)], "chunk_id string, text string")
-    rows = fulltext.index_rows(chunks)
+    rows, lists = retrieval(spark, texts)
     asked = [(0, "red fox"), (1, "cafe user_id"), (2, "ATP"), (3, "产生"), (4, "?!")]
-    found = fulltext.bm25_topk(spark, asked, fulltext.postings(rows), rows).collect()
+    found = ranked.bm25_topk(spark.createDataFrame(asked, "qid long, question string"), rows, lists["tokens"]).collect()
     for qid, text in asked:
         try:
-            want = {f"c{i - 1}": round(s, 6) for i, s in db.execute("select rowid, bm25(t) from t where t match ?", (q.fts_query(text),))}
+            want = {i - 1: round(s, 6) for i, s in db.execute("select rowid, bm25(t) from t where t match ?", (q.fts_query(text),))}
         except sqlite3.OperationalError:
             want = {}
-        assert {r["chunk_id"]: round(r["fts_rank"], 6) for r in found if r["qid"] == qid} == want
-
-
-def test_topk_against_plain_scores(spark):
-    texts = [f"alpha beta{i % 5} gamma{i % 3} 光合{i % 2}" for i in range(60)]
-    chunks = spark.createDataFrame([(f"c{i:02d}", x) for i, x in enumerate(texts)], "chunk_id string, text string")
-    question = "beta3 gamma2 光合"
-    terms = q.candidate_terms(question)
-    want = sorted(((-q.keyword_score(x, terms), f"c{i:02d}") for i, x in enumerate(texts)))[:15]
-    found = fulltext.keyword_topk(chunks, [(1, question)]).orderBy("pos").collect()
-    assert [(-r["term_score"], r["chunk_id"]) for r in found] == want
-    ask = q.vector(question)
-    dots = {f"c{i:02d}": sum(w * q.vector(x, digits=6).get(k, 0) for k, w in ask.items()) for i, x in enumerate(texts)}
-    found = vectors.semantic_topk([(1, question)], vectors.embed(chunks), 5).orderBy("pos").collect()
-    assert [r["chunk_id"] for r in found] == [k for k, v in sorted(dots.items(), key=lambda x: (-round(x[1], 12), x[0])) if v > 0][:25]
+        assert {r["chunk_no"]: round(r["fts_rank"], 6) for r in found if r["qid"] == qid} == want
 
 
 def test_sparse_dot_and_parse(spark):
@@ -130,12 +125,12 @@ def test_sparse_dot_and_parse(spark):
 
 
 def test_fusion_and_gates(spark):
-    rows = spark.createDataFrame([(1, "a", -1.5, 0.5, 3, 1), (1, "b", None, 0.0, 6, 2), (1, "c", -3.0, 0.5, 3, 3), (2, "d", None, 0.1, 0, 1)], "qid long, chunk_id string, fts_rank double, semantic_score double, term_score int, arrival long")
-    found = {r["chunk_id"]: r["rerank_score"] for r in rerank.fuse(rows).collect()}
+    rows = spark.createDataFrame([(1, "a", -1.5, 0.5, 3, 1), (1, "b", None, 0.0, 6, 2), (1, "c", -3.0, 0.5, 3, 3), (2, "d", None, 0.1, 0, 1)], "qid long, chunk_no string, fts_rank double, semantic_score double, term_score int, arrival long")
+    found = {r["chunk_no"]: r["rerank_score"] for r in rerank.fuse(rows).collect()}
     assert found == {"a": 0.482, "b": 0.34, "c": 0.455, "d": 0.048}
-    better = {r["chunk_id"]: r["rerank_score"] for r in rerank.fuse(rows, corrected=True).collect()}
+    better = {r["chunk_no"]: r["rerank_score"] for r in rerank.fuse(rows, corrected=True).collect()}
     assert better["c"] > better["a"]
-    assert {r["chunk_id"] for r in rerank.gate(rerank.fuse(rows)).collect()} == {"a", "c"}
+    assert {r["chunk_no"] for r in rerank.gate(rerank.fuse(rows)).collect()} == {"a", "c"}
 
 
 PAGE = '<div><a class="result__a" href="//duckduckgo.com/l/?uddg=http%3A%2F%2Fa.b">A &amp; <b>B</b></a><div class="result__snippet">one two</div><a class="result__a" href="http://lost">no snippet</a><a class="result__a" href="http://c.d">C</a><a class="result__snippet">three</a></div>'

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from lodestone.functions import constants as c
 from lodestone.functions import questions as q
 from lodestone.functions import text as t
 from lodestone.functions import udfs
+from lodestone.operators import citations
+from lodestone.plans import catalogue
 
 
 def column(spark, fn, *values):
@@ -101,17 +106,35 @@ def test_simplified(spark):
     assert column(spark, t.to_simplified, "量子通訊與網線") == ["量子通信与网线"]
 
 
-def test_citation():
-    text = "A cat sat. They ran. B dog."
-    assert q.citation(text, "cat") == "A cat sat。"
-    assert q.citation(text, "ran cat") == "A cat sat。 A cat sat。 They ran。"
-    assert q.citation(text, "zebra") == text
-    assert q.citation("P waves are fast. S waves are slow. Other.", "P waves and S waves") == "P waves are fast. S waves are slow."
+def test_citation(spark):
+    text = "A cat sat. They ran. Is it a cat? A dog."
+    long = "cat " * 200
+    cases = [(text, "cat", "A cat sat。"), (text, "ran cat", "A cat sat。 A cat sat。 They ran。"), (text, "zebra", text), ("P waves are fast. S waves are slow. Other.", "P waves and S waves", "P waves are fast. S waves are slow."), ("They cat. x", "cat", "They cat。"), ("", "cat", ""), (long, "cat", (long[:359].rstrip() + "…")), ("a &amp; cat; dog", "dog", "dog。")]
+    rows = spark.createDataFrame([(i, t, a) for i, (t, a, _) in enumerate(cases)], "i int, text string, question string").withColumn("terms", udfs.candidate_terms("question"))
+    assert [r["citation"] for r in citations.with_citation(rows).orderBy("i").collect()] == [want for *_, want in cases]
+    lists = [["a.", "", "b。", "c"], [], [""], ["甲。", "乙。", "丙", "丁"]]
+    found = citations.with_answer(spark.createDataFrame(list(enumerate(lists)), "i int, citations array<string>")).orderBy("i").collect()
+    assert [r["answer"] for r in found] == ["根据本地知识库，a；b。", c.NO_EVIDENCE, c.NO_EVIDENCE, c.ANSWER_PREFIX + "甲；乙；丙。"]
+
+
+def test_exact_embedding(spark):
+    """The registered query against hashes computed term by term."""
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r["chunk_id"]: r["text"] for r in catalogue.queries()["chunk_documents"](spark, sf_dir).collect()}
+    want = {(k, i, w) for k, x in texts.items() for i, w in plain_vector(x)}
+    assert {tuple(r) for r in catalogue.queries()["exact_embedding"](spark, sf_dir).select("chunk_id", "idx", "w").collect()} == want
+
+
+def plain_vector(text):
+    sums = [0.0] * 384
+    for term in re.findall("[a-z0-9_]{2,}", text.lower()):
+        value = int(hashlib.blake2b(term.encode(), digest_size=8).hexdigest(), 16)
+        sums[value % 384] += (1 if value & 256 else -1) * (1 + min(8, len(term)) / 8)
+    norm = sum(x * x for x in sums) ** 0.5
+    return [(i, round(x / norm, 6)) for i, x in enumerate(sums) if x and norm]
 
 
 def test_answers_and_web_query():
-    assert q.compose_answer([]) == c.NO_EVIDENCE
-    assert q.compose_answer(["甲。", "乙。", "丙", "丁"]) == c.ANSWER_PREFIX + "甲；乙；丙。"
     assert q.web_query("量子纠缠如何用于加密？") == "量子纠缠 加密" and q.web_query("plain words") == "plain words"
 
 
