@@ -32,9 +32,14 @@ from .common import BROADCAST_IDS, batch, few, materialize, new_path
 ROW_BYTES, ROWS_PER_FILE = 4 << 20, 16
 #: Bytes that are unpacked at a time.
 STEP = 16_384
+#: Bytes of a record's header at most.
+HEADER = 1 << 20
+#: Bytes of a file name or comment in a gzip member's header at most.
+NAMES = 4_096
 DATE = "2024-01-01T00:00:00Z"
 _begin = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
 _version = re.compile(rb"WARC/\d\.\d\r\n")
+_later = re.compile(rb"\r\nWARC/\d\.\d\r\n")
 
 
 @dataclass
@@ -95,8 +100,9 @@ def _parse(data: bytes, at: int) -> tuple[Record | None, int, str]:
     """The record at `at` and its end, or None and what is wrong with it."""
     if not _version.match(data, at):
         return None, at, "no version line"
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
+    later = _later.search(data, at, at + HEADER)
+    end = data.find(b"\r\n\r\n", at, later.start() + 2 if later else at + HEADER)
+    if end < 0:  # what follows belongs to a later record: no header is read twice
         return None, at, "header not ended"
     headers = {}
     for line in data[at:end].split(b"\r\n")[1:]:
@@ -107,7 +113,7 @@ def _parse(data: bytes, at: int) -> tuple[Record | None, int, str]:
     if not {"warc-type", "warc-record-id"} <= headers.keys():
         return None, at, "mandatory header missing"
     length = headers.get("content-length", "")
-    if not (length.isascii() and length.isdigit()):
+    if not (length.isascii() and length.isdigit()) or len(length.lstrip("0")) > 18:
         return None, at, "no length"
     start, stop = end + 4, end + 4 + int(length)
     if data[stop : stop + 4] != b"\r\n\r\n":
@@ -119,8 +125,25 @@ def _parse(data: bytes, at: int) -> tuple[Record | None, int, str]:
     return Record(at, headers, block), stop + 4, ""
 
 
+def _gzip_header(data: bytes, at: int) -> bool:
+    """Whether the header of a gzip member is one that ends within NAMES bytes for each name it has."""
+    if len(data) < at + 10 or data[at + 2] != 8 or data[at + 3] & 0xE0:
+        return len(data) < at + 10
+    flags, end = data[at + 3], at + 10
+    if flags & 4:
+        end += 2 + int.from_bytes(data[end : end + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            end = data.find(b"\0", end, end + NAMES) + 1
+            if not end:
+                return False
+    return True
+
+
 def _unpacked(data: bytes, at: int) -> tuple[bytes, int, str]:
     """What the gzip member at `at` gives, its end, and what is wrong with it."""
+    if not _gzip_header(data, at):
+        return b"", at, "bad gzip member"
     unpack, raw, end = zlib.decompressobj(31), [], at
     before = unpack
     try:
@@ -129,11 +152,14 @@ def _unpacked(data: bytes, at: int) -> tuple[bytes, int, str]:
             raw.append(unpack.decompress(data[end : end + STEP]))
             end += STEP
     except zlib.error:
-        try:
-            for i in range(end, min(end + STEP, len(data))):  # up to the byte that fails
-                raw.append(before.decompress(data[i : i + 1]))
-        except zlib.error:
-            pass
+        left = min(STEP, len(data) - end)
+        while left:  # up to the byte that fails, by halves
+            half, trial = (left + 1) // 2, before.copy()
+            try:
+                raw.append(trial.decompress(data[end : end + half]))
+                before, end, left = trial, end + half, left - half
+            except zlib.error:
+                left = half if half < left else 0
         return b"".join(raw), at, "bad gzip member"
     if not unpack.eof:
         return b"".join(raw), at, "gzip member not ended"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from lodestone.llm import warc
 
@@ -61,3 +62,20 @@ def test_files_are_cut_by_bytes_and_read_in_one_pass(spark, tmp_path):
     ids, gaps = {r.page_id for r in found if r.reason is None}, [r for r in found if r.reason is not None]
     assert len(ids) == 39 and len(gaps) == 1 and gaps[0].length > 0 and gaps[0].path.endswith("1.warc.gz")
     assert {r.page_id: r.payload.decode() for r in found if r.payload} == {i: h for i, _, h in pages if i in ids}
+
+
+def test_hostile_bytes_cost_no_more_than_others():
+    """Lengths of thousands of digits, repeated version lines and magic bytes, headers without end: gaps, and the records after them."""
+    dice = random.Random(2)
+    good = _records(2)
+    long = b"WARC/1.1\r\nWARC-Type: x\r\nWARC-Record-ID: <y>\r\nContent-Length: " + b"9" * 5_000 + b"\r\n\r\n"
+    for junk in (long, b"WARC/1.1\r\n" * 100_000, b"WARC/1.1\r\nA: b\r\n" * 60_000, b"WARC/1.1\r\n" + b"x" * 4_000_000, b"\x1f\x8b\x08" * 300_000, dice.randbytes(2_000_000)):
+        began = time.perf_counter()
+        data = good[0] + junk + good[1]
+        found = warc.salvage(data)
+        assert [r.headers["warc-record-id"][10:-1] for r in found.records] == ["0", "1"]
+        assert len(found.gaps) == 1 and found.gaps[0][0] == len(good[0]) and found.gaps[0][1] == len(junk)
+        assert time.perf_counter() - began < 20
+    for _ in range(200):
+        junk = b"".join(dice.choice([b"WARC/1.1\r\n", b"\r\n\r\n", b"Content-Length: 5\r\n", b"\x1f\x8b", dice.randbytes(9), good[0][:60]]) for _ in range(30))
+        assert {"0", "1"} <= set(_ids(good[0] + junk + good[1]))
