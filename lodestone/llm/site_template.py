@@ -43,13 +43,16 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("article aside body div dl fieldset footer form header html li main nav ol section table td th ul".split())
 FURNITURE_TAGS = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg canvas object embed audio video dialog menu".split())
-FURNITURE_NAMES = frozenset("ad ads advert advertisement advertisements adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal navbar navigation newsletter notice notices pagination popup promo promotion related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Whole class tokens and ids of furniture outside the main articles, and those that are furniture inside them too.
+FURNITURE_NAMES = frozenset("ad ads advert advertisement advertisements adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal navbar navigation newsletter notice notices pagination popup promo promotion related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget site-header site-footer cookie-banner ad-banner comment-list comments-area related-posts share-buttons".split())
+INSIDE_NAMES = frozenset("ad ads advert advertisement advertisements adverts sponsored ad-banner cookie-banner comments comment-list comments-area disqus".split())
+#: Elements in which an article is none of the page's main ones: comments, cards, teasers.
+ASIDES = frozenset("aside nav footer header dialog menu template".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
 
 _tag = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _stop = re.compile("[>\"']")
 _attribute = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_names = re.compile(r"[^\s_\-]+")
 _digits = re.compile("[0-9]+")
 _raw_end = {name: re.compile(f"</{name}(?![^\\s/>])", re.I) for name in RAW}
 
@@ -158,29 +161,44 @@ class Page:
             self._pop(place)
 
     def articles(self) -> set[int]:
-        """Elements that hold the main content: marked main or article, else none."""
+        """Elements that hold the main content: marked article, else main, else none.
+
+        An article inside another, or inside what is beside the main content (comments, sidebars,
+        headers, footers), isn't one of them; nor is one in a list, unless all are.
+        """
         for tags, role in (({"article"}, "article"), ({"main"}, "main")):
-            found = {i for i, t in enumerate(self.tags) if (t in tags or self.marks[i].get("role") == role) and not self._named(i)}
+            beside: list[bool] = []
+            listed: list[bool] = []
+            found: dict[int, bool] = {}
+            for i, (tag, parent) in enumerate(zip(self.tags, self.parents)):
+                marked = tag in tags or self.marks[i].get("role") == role
+                out = parent >= 0 and beside[parent] or self._named(i, FURNITURE_NAMES)
+                if marked and not out:
+                    found[i] = parent >= 0 and listed[parent]
+                beside.append(out or marked or tag in ASIDES)
+                listed.append(tag in ("li", "ul", "ol") or parent >= 0 and listed[parent])
             if found:
-                return found
+                return {i for i, in_list in found.items() if not in_list} or set(found)
         return set()
 
-    def _named(self, node: int) -> bool:
+    def _named(self, node: int, names: frozenset[str]) -> bool:
+        """Whether a class token, the id or the role of an element is one of furniture; the page as a whole is none."""
         marks = self.marks[node]
-        if not marks:
+        if not marks or self.tags[node] in ("html", "body"):
             return False
-        words = _names.findall(f"{marks.get('class', '')} {marks.get('id', '')}".lower())
-        return marks.get("role") in FURNITURE_ROLES or not FURNITURE_NAMES.isdisjoint(words)
+        words = [*marks.get("class", "").lower().split(), marks.get("id", "").lower()]
+        return marks.get("role") in FURNITURE_ROLES or not names.isdisjoint(words)
 
     def furniture(self, articles: set[int]) -> set[int]:
-        """Elements that are furniture by themselves, unless they hold an article."""
+        """Elements that are furniture by themselves; a form around a main article isn't."""
         holds = set()
         for a in articles:
             while a >= 0 and a not in holds:
                 holds.add(a)
                 a = self.parents[a]
         inside = self._inside(articles)
-        return {i for i, t in enumerate(self.tags) if i not in holds and (t in FURNITURE_TAGS or t == "header" and not inside[i] or self._named(i))}
+        names = (FURNITURE_NAMES, INSIDE_NAMES)
+        return {i for i, t in enumerate(self.tags) if i not in holds and (t in FURNITURE_TAGS or t == "header" and not inside[i] or self._named(i, names[inside[i]]))}
 
     def _inside(self, articles: set[int]) -> list[bool]:
         inside: list[bool] = []
