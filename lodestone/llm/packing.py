@@ -6,7 +6,8 @@ product of remaining capacity and demand, both as shares of the limits, among th
 hold it: bins whose free room has the example's shape are used up evenly.
 
 Packing is local to a partition: a partition has thousands of sequences and leaves no bin
-part-filled (`pack_documents`) or a bounded number of them (`pack_examples`), so bringing
+part-filled (`pack_documents`, which cuts what has no segment left at a power of two and begins
+anew with the rest) or a bounded number of them (`pack_examples`), so bringing
 partitions together would buy nothing for a shuffle of the whole corpus. Ids are
 partition number and local number, so a task that is run again gives the same rows.
 """
@@ -33,8 +34,10 @@ LIMITS = (2048, 64, 2048)
 OPEN_BINS = 32
 #: Words that a worker's cache holds before it starts anew, and texts encoded together.
 CACHE_WORDS, TEXTS = 1_500_000, 128
+#: Characters of these words, of which one without white space may have any number.
+CACHE_CHARS = 64 << 20
 #: Bits of a sequence's number for sequences and, with `ordered`, for both these and rows.
-_COUNTER, _PART = 20, 44
+_COUNTER, _PART = 19, 43
 #: Characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the
 #: others by number from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -63,6 +66,7 @@ class WordEncoder:
         self._tokenizer.no_padding()
         self._model = self._tokenizer.model
         self._cache: dict[str, bytes] = {}
+        self._chars = 0
 
     def _words(self, text: str) -> list[str]:
         if not _special(text) and is_normalized("NFC", text) and is_normalized("NFC", low := text.lower()):
@@ -85,13 +89,15 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         lists = [self._words(t) if t else [] for t in texts]
         cache = self._cache
-        if len(cache) > CACHE_WORDS:
+        if len(cache) > CACHE_WORDS or self._chars > CACHE_CHARS:
             cache.clear()
+            self._chars = 0
         new = set().union(*lists).difference(cache)
         # lower-casing could move a mark of a capital (as of a dotted I) into the next piece
         marked = [w for w in new if w[-1] in ".,!?:;" and w[-2:-1].isalpha() and w.lower() == w]
         new.difference_update(marked)
         new.update(x for w in marked for x in (w[:-1], w[-1]) if x not in cache)
+        self._chars += sum(map(len, new))
         self._learn(list(new))
         for w in marked:
             cache[w] = cache[w[:-1]] + cache[w[-1]]
@@ -143,6 +149,24 @@ def _loss(start: int, length: int) -> int:
     return length - (start == 0)
 
 
+def _demand(piece: tuple) -> np.ndarray:
+    n = len(piece[2]) // 4
+    return np.array([n, 1, _loss(piece[1], n)], dtype=np.float64)
+
+
+def _cut(held: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """Pieces cut at the largest power of two of their ids, which needs no padding."""
+    sizes = [len(p[2]) // 4 for p in held]
+    room, first = 1 << (sum(sizes).bit_length() - 1), []
+    for k, ((doc, start, ids, total), n) in enumerate(zip(held, sizes)):
+        if n >= room:
+            rest = [(doc, start + room, ids[4 * room :], total)] if n > room else []
+            return [*first, (doc, start, ids[: 4 * room], total)], rest + held[k + 1 :]
+        first.append(held[k])
+        room -= n
+    return first, []
+
+
 class DocumentPacker:
     """Packs id streams that may be cut anywhere."""
 
@@ -158,10 +182,16 @@ class DocumentPacker:
         self.next += 1
 
     def _put(self, i: int, piece: tuple) -> None:
-        n = len(piece[2]) // 4
-        self.bins.put(i, piece, np.array([n, 1, _loss(piece[1], n)], dtype=np.float64))
-        if (self.bins.free[i][:2] < 1).any():
+        self.bins.put(i, piece, _demand(piece))
+        if self.bins.free[i][0] < 1:
             self._emit(self.bins.close(i))
+        elif self.bins.free[i][1] < 1:  # no segment is left: what is over a power of two begins the bin anew
+            first, rest = _cut(self.bins.close(i))
+            self._emit(first)
+            if rest:
+                self.bins.open[i], self.bins.free[i] = True, self.bins.limits
+                for p in rest:
+                    self.bins.put(i, p, _demand(p))
 
     def add(self, doc, ids: bytes) -> None:
         total, at, most = len(ids) // 4, 0, self.limits[0]
@@ -195,7 +225,12 @@ class DocumentPacker:
             if n < len(ids) // 4:
                 pieces.append((doc, start + n, ids[4 * n :], total))
             room, left = room - n, left - n
-            if not room or len(held) == self.limits[1]:
+            if room and len(held) == self.limits[1]:
+                held, rest = _cut(held)
+                pieces += rest[::-1]
+                left += sum(len(p[2]) // 4 for p in rest)
+                room = 0
+            if not room:
                 self._emit(held)
                 held, room = [], self._room(left)
 
@@ -215,8 +250,9 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id
 
     With `ordered`, for rows whose order is that of numbered part files (as sorted rows are
     written), a sequence's number begins with its file's number and the row it was begun at, so
-    sequences are in the order of their documents. No text is a million sequences long, so numbers
-    don't meet.
+    sequences are in the order of their documents. A text, of 2 GB at most, is less than half a
+    million sequences long, and a file has 16 million rows at most, so numbers don't meet; there may
+    be a million files.
     """
     path = token_path(tokenizer)
 
