@@ -7,9 +7,9 @@ compared by its whole sets, so no link is below the threshold.
 
 A bucket's nodes are first compared with its smallest, so large groups of copies cost no pairs.
 Nodes of buckets that are then still in different components are joined by an exact prefix filter:
-two sets at the threshold share one of each one's rarest fifth of shingles, counted among these
-nodes, so documents that share a common passage and little else never meet. Of those that do, most
-are told apart by parity bits: each set has 512 bits, a shingle flips one of them, and two sets
+two sets at the threshold share one of the smaller one's rarest ninth and the larger one's rarest
+fifth of shingles, counted among these nodes, so documents that share a common passage and too
+little else for the threshold never meet, however many there are. Of those that do, most are told apart by parity bits: each set has 512 bits, a shingle flips one of them, and two sets
 differ in at least as many shingles as bits, so no link is lost and few sets move to be compared.
 """
 
@@ -109,24 +109,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     return materialize(rows.where(both >= THRESHOLD * (F.size("_a") + F.size("_b") - both)).select("u", "v"), label)
 
 
-def _rare_pairs(nodes: DataFrame, sets: DataFrame, parities: DataFrame | None = None) -> DataFrame:
-    """(u, v), u > v: pairs of `nodes` (key, n, root) of different roots that share one of both's rarest shingles.
+def _prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, n, root, s, small, large): the shingles by which `nodes` (key, n, root) can meet a larger or equal set (small), or a smaller one (large).
 
-    A set of n shingles at the threshold to another shares at least THRESHOLD * n with it, so one of
-    its n - ceil(THRESHOLD * n) + 1 first, in whatever order both are read; in the order of rarity
-    these are shared by few. Pairs that parities (key, parity) tell apart are left out.
+    Sets are read in the order of rarity. Two at the threshold share THRESHOLD / (1 + THRESHOLD) of
+    the sum of their sizes at least, so their first common shingle is one of the larger set's
+    n - ceil(THRESHOLD * n) + 1 first, and one of the smaller's n - ceil(2 * THRESHOLD * n / (1 + THRESHOLD)) + 1.
+    Sets that share a common passage and too little else are told apart by that: the passage is
+    beyond the smaller set's prefix. Shingles whose sets are all of one root bring nothing.
     """
     held = materialize(nodes.join(sets, "key").select("key", "n", "root", F.explode("found").alias("s")), "near-hard")
     counts = held.groupBy("s").agg(F.count("*").alias("df"))
     first = held.join(counts, "s").groupBy("key", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
-    prefix = F.slice("order", 1, (F.col("n") - F.ceil(THRESHOLD * F.col("n") - 1e-9) + 1).cast("int"))
-    first = first.select("key", "n", "root", prefix.alias("order"))
+    length = lambda share: (F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1).cast("int")
+    first = first.select("key", "n", "root", F.slice("order", 1, length(THRESHOLD)).alias("order"), length(2 * THRESHOLD / (1 + THRESHOLD)).alias("short"))
+    first = first.select("key", "n", "root", "short", F.posexplode("order").alias("at", "o")).where("o.df > 1")
+    first = materialize(first.select("key", "n", "root", "o.s", (F.col("at") < F.col("short")).alias("small")), "near-prefix")
+    mixed = first.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("small").alias("any")).where("a <> b and any").select("s")
+    return first.join(mixed, "s", "left_semi")
+
+
+def _meetings(first: DataFrame) -> DataFrame:
+    """The rows of _prefixes, with those of larger sets (key2, n2, root2, ...) that share a shingle."""
+    other = first.select("s", *[F.col(c).alias(f"{c}2") for c in first.columns if c not in ("s", "small")])
+    return first.where("small").join(other, "s").where("n < n2 or n = n2 and key < key2")
+
+
+def _rare_pairs(nodes: DataFrame, sets: DataFrame, parities: DataFrame | None = None) -> DataFrame:
+    """(u, v): pairs of `nodes` (key, n, root) of different roots that share a shingle of both's prefixes.
+
+    Pairs that parities (key, parity) tell apart are left out.
+    """
+    first = _prefixes(nodes, sets)
     first = first.join(parities, "key") if parities is not None else first.withColumn("parity", F.array_repeat(F.lit(0).cast("long"), PARITY_LONGS))
-    first = first.select("key", "n", "root", "parity", F.explode("order").alias("o")).where("o.df > 1").select("key", "n", "root", "parity", "o.s")
-    first = materialize(first, "near-prefix")
-    other = first.select("s", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "root", "parity")])
-    pairs = first.join(other, "s").where("key > key2 and root <> root2").where(_alike("n", "n2")).where(_near("parity", "parity2", "n", "n2"))
-    return materialize(pairs.select(F.col("key").alias("u"), F.col("key2").alias("v")).distinct(), "near-rest")
+    pairs = _meetings(first).where("root <> root2").where(_alike("n", "n2")).where(_near("parity", "parity2", "n", "n2"))
+    return materialize(pairs.select(F.greatest("key", "key2").alias("u"), F.least("key", "key2").alias("v")).distinct(), "near-rest")
 
 
 def _grouped(docs: DataFrame) -> DataFrame:

@@ -60,18 +60,33 @@ def test_odd_rows(spark):
     assert near_copies.keep_one(docs.where("false")).count() == 0
 
 
-def test_common_passages_cost_no_pairs(spark):
-    """Many texts of which half is one passage: nothing is linked, and none of their pairs is looked at."""
+@pytest.mark.parametrize(("shared", "own"), [(60, 40), (200, 30), (90, 14)])
+def test_common_passages_cost_no_pairs(spark, shared, own):
+    """Many texts of one passage and some words of their own, at a Jaccard of up to 0.79: nothing is linked, and none of their pairs is looked at."""
     dice = random.Random(3)
-    passage = [f"w{dice.randint(0, 5000)}" for _ in range(60)]
-    rows = [(i, " ".join(passage + [f"v{dice.randint(0, 10**6)}" for _ in range(40)])) for i in range(400)]
+    passage = [f"w{dice.randint(0, 10**6)}" for _ in range(shared)]
+    rows = [(i, " ".join(passage + [f"v{dice.randint(0, 10**9)}" for _ in range(own)])) for i in range(400)]
+    a, b = (set(near_copies.shingles(t).tolist()) for _, t in rows[:2])
+    assert len(a & b) / len(a | b) < 0.8
     docs = spark.createDataFrame([(i, i, 0, t) for i, t in rows], "key long, root long, x int, text string")
     sets = spark.createDataFrame([(i, near_copies.shingles(t).view("int64").tolist()) for i, t in rows], "key long, found array<long>")
     nodes = docs.join(sets, "key").selectExpr("key", "cast(size(found) as long) n", "root")
-    assert near_copies._rare_pairs(nodes, sets).count() == 0
+    assert near_copies._meetings(near_copies._prefixes(nodes, sets)).count() == 0
     assert near_copies.keep_one(docs.selectExpr("key doc_id", "text")).count() == 400
 
 
+def test_prefixes_lose_no_pair(spark):
+    """Sets of all sizes: every pair at the threshold meets by a shingle of both's prefixes."""
+    dice = random.Random(6)
+    base = [[dice.randint(1, 400) for _ in range(dice.randint(1, 60))] for _ in range(12)]
+    sets = [sorted({*(x for x in dice.choice(base) if dice.random() < 0.95), *(dice.randint(1, 400) for _ in range(dice.randint(0, 5)))} | {0}) for _ in range(250)]
+    rows = [(i, len(s), i, s) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key long, n long, root long, found array<long>")
+    pairs = {(r.u, r.v) for r in near_copies._rare_pairs(df.select("key", "n", "root"), df.select("key", "found")).collect()}
+    near = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))}
+    assert len(near) > 100 and near <= pairs
+
+
 def test_parity_bits_lose_no_link(spark):
     """Sets differ in at least as many shingles as parity bits, and the filter keeps all pairs at the threshold."""
     dice = np.random.default_rng(3)
