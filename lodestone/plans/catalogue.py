@@ -75,6 +75,14 @@ def _lists(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _stored(spark, sf_dir, f"shard-{name}", make[name])
 
 
+#: The tables that retrieval reads.
+INDEX = ("vectors", *(f"shard_{name}" for name in shards.TABLES))
+
+
+def index_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _vectors(spark, sf_dir) if name == "vectors" else _lists(spark, sf_dir, name.removeprefix("shard_"))
+
+
 def content_hash_dedup(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", "content_hash", "duplicate_of")
 
