@@ -37,7 +37,7 @@ CACHE_WORDS, TEXTS = 1_500_000, 128
 #: Characters of these words, of which one without white space may have any number.
 CACHE_CHARS = 64 << 20
 #: Bits of a sequence's number for sequences and, with `ordered`, for both these and rows.
-_COUNTER, _PART = 19, 43
+_COUNTER, _PART = 20, 44
 #: Characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the
 #: others by number from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -240,6 +240,13 @@ class DocumentPacker:
         return most if left >= most else 1 << (left.bit_length() - 1) if left else 0
 
 
+def number_bits(files: list[str]) -> tuple[int, int]:
+    """Bits of a sequence's number for sequences, and for these and rows: one less each where file numbers need it."""
+    numbers = [int(m[1]) for f in files if (m := re.match("part-([0-9]{1,6})", f.rpartition("/")[2]))]
+    less = max(numbers, default=0) >= 1 << (63 - _PART)
+    return _COUNTER - less, _PART - less
+
+
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, limits: tuple[int, int, int] = LIMITS, open_bins: int = OPEN_BINS, ordered: bool = False) -> DataFrame:
     """Pack `docs` (doc_id, text) into sequences; one row per piece.
 
@@ -251,10 +258,11 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id
     With `ordered`, for rows whose order is that of numbered part files (as sorted rows are
     written), a sequence's number begins with its file's number and the row it was begun at, so
     sequences are in the order of their documents. A text, of 2 GB at most, is less than half a
-    million sequences long, and a file has 16 million rows at most, so numbers don't meet; there may
-    be a million files.
+    million sequences long, and a file has 16 million rows at most, so numbers don't meet.
     """
     path = token_path(tokenizer)
+    docs = stable(docs) if ordered else docs
+    counter, high = number_bits(docs.inputFiles() if ordered else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = WordEncoder(path), np.array([end_id], dtype="<u4").tobytes()
@@ -266,7 +274,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id
                 for doc, ids, part, row in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), *order):
                     if part is not None and part != file:
                         packer.finish()
-                        packer.next, file = (part << _PART) + (row << _COUNTER), part
+                        packer.next, file = (part << high) + (row << counter), part
                     packer.add(doc, ids + end)
                 if len(packer.rows) >= 20_000:
                     yield batch(PIECES, list(zip(*packer.rows)))
@@ -277,7 +285,6 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id
 
     picked = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if ordered:
-        docs = stable(docs)
         at = docs.metadataColumn("_metadata")
         picked += [F.regexp_extract(at["file_name"], "^part-([0-9]{1,6})", 1).try_cast("long").alias("part"), at["row_index"].alias("row")]
     return docs.select(*picked).mapInArrow(run, PIECES_DDL)

@@ -67,4 +67,6 @@ def test_packing_pads_nothing(low, high):
 
 
 def test_numbers_of_a_million_files():
-    assert (999_999 << packing._PART) + (((1 << 24) - 1) << packing._COUNTER) < 1 << 63
+    for last in (0, 524_287, 524_288, 999_999):
+        counter, high = packing.number_bits([f"file:/x/part-{last:05d}-a.parquet", "file:/x/part-00000-a.parquet"])
+        assert (last << high) + (((1 << 24) - 1) << counter) + (1 << counter) <= 1 << 63 and counter >= 19
