@@ -1,46 +1,88 @@
 """Incremental ingest of text tables, beyond the batch index: new files become chunks as they come.
 
-Each micro-batch is deduplicated by content hash, in itself and against the hashes already stored,
-and appended to the tables of its folder under its batch number, so a batch that is run again
-replaces what it wrote.
+The hashes seen so far are keyed state of the stream, not a table that each batch joins: a batch
+looks up its own hashes only, whatever came before. Only hashes, ids and file names pass through the
+state, a row for each hash of the batch comes out; texts are then read from the batch's own files.
+A batch that is run again starts from the same state and replaces what it wrote.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..functions import text as t
 from ..functions import udfs
 from ..operators import documents as d
-from ..plans.index import exists
 
 SCHEMA = "doc_id long, text string"
+#: Files of a batch at most; a batch's file names pass through the driver.
+BATCH_FILES = 1_000
+#: State on disk, not in the executors' heaps.
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_FIRST = "content_hash string, first long, fresh boolean, files array<string>"
+
+
+def _first_seen(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A hash's first document: that of the first batch, of several in it the smallest id."""
+    least, files = None, set()
+    for frame in frames:
+        files.update(frame["file"])
+        found = frame["doc_id"].min()
+        least = int(found) if least is None else min(least, int(found))
+    fresh = not state.exists
+    if fresh:
+        state.update((least,))
+    yield pd.DataFrame({"content_hash": [key[0]], "first": [state.get[0]], "fresh": [fresh], "files": [sorted(files)]})
 
 
-def _append(out: str):
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        docs = batch.where("text is not null").select("doc_id", t.normalize_text(F.col("text")).alias("text")).where("text <> ''")
-        docs = d.mark_duplicates(docs, "doc_id", "doc_id")
-        if exists(spark, f"{out}/hashes"):
-            known = spark.read.parquet(f"{out}/hashes").where(F.col("batch") < number).select("content_hash", F.col("doc_id").alias("known"))
-            docs = docs.join(known, "content_hash", "left").withColumn("duplicate_of", F.coalesce("known", "duplicate_of")).drop("known")
-        docs = docs.persist()
-        new = docs.where("duplicate_of is null")
-        chunks = d.chunk_documents(new).withColumn("embedding", udfs.stored_vector("text"))
+def _documents(rows: DataFrame) -> DataFrame:
+    """doc_id, text and content_hash of rows that have a doc_id and some text."""
+    docs = rows.where("text is not null and doc_id is not null").withColumn("text", t.normalize_text(F.col("text"))).where("text <> ''")
+    return docs.withColumn("content_hash", t.content_hash(F.col("text")))
+
+
+def _append(out: str, schema: str | StructType):
+    def run(seen: DataFrame, number: int) -> None:
+        spark = seen.sparkSession
+        seen.write.mode("overwrite").parquet(f"{out}/hashes/batch={number}")
+        seen = spark.read.schema(_FIRST).parquet(f"{out}/hashes/batch={number}")
+        files = [r.file for r in seen.select(F.explode("files").alias("file")).distinct().collect()]  # of this batch: BATCH_FILES at most
+        if not files:
+            return
+        docs = _documents(spark.read.schema(schema).parquet(*files)).select("doc_id", "text", "content_hash")
+        docs = docs.join(seen.select("content_hash", "first", "fresh"), "content_hash")
+        own = F.col("fresh") & (F.col("doc_id") == F.col("first"))
+        docs = docs.withColumn("duplicate_of", F.when(~own, F.col("first"))).drop("first", "fresh")
         docs.write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
+        new = spark.read.parquet(f"{out}/documents/batch={number}").where("duplicate_of is null")
+        chunks = d.chunk_documents(new, normal=True).withColumn("embedding", udfs.stored_vector("text"))
         chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
-        new.select("content_hash", "doc_id").write.mode("overwrite").parquet(f"{out}/hashes/batch={number}")
-        docs.unpersist()
 
     return run
 
 
-def stream_index(spark: SparkSession, source_dir: str, out: str, schema: str | StructType = SCHEMA, once: bool = True) -> StreamingQuery:
-    """Follow Parquet files in `source_dir`; with `once`, take what is there and stop."""
-    rows = spark.readStream.schema(schema).parquet(source_dir)
-    query = rows.writeStream.foreachBatch(_append(out)).option("checkpointLocation", f"{out}/progress")
-    return (query.trigger(availableNow=True) if once else query).start()
+def stream_index(spark: SparkSession, source_dir: str, out: str, schema: str | StructType = SCHEMA, once: bool = True, batch_files: int = BATCH_FILES) -> StreamingQuery:
+    """Follow Parquet files (doc_id, text) in `source_dir`; with `once`, take what is there and stop.
+
+    A document repeats another if a batch before, or a smaller doc_id of its own batch, has the same
+    text but for case and white space. doc_ids tell documents apart; rows without one, or without
+    text, are left out.
+    """
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", batch_files).parquet(source_dir)
+    keyed = _documents(rows.select("doc_id", "text", F.col("_metadata.file_path").alias("file"))).select("content_hash", "doc_id", "file")
+    seen = keyed.groupBy("content_hash").applyInPandasWithState(_first_seen, _FIRST, "first long", "append", GroupStateTimeout.NoTimeout)
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:  # a query keeps the settings it was started with
+        query = seen.writeStream.outputMode("append").foreachBatch(_append(out, schema)).option("checkpointLocation", f"{out}/progress")
+        return (query.trigger(availableNow=True) if once else query).start()
+    finally:
+        spark.conf.set(_PROVIDER, before)
