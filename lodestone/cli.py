@@ -1,4 +1,4 @@
-"""Command line: ingest, ask, sources, rebuild; a bare question asks with the web."""
+"""Command line: ingest, update, ask, sources, rebuild; a bare question asks with the web."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from .plans import engine, index
 from .session import build_session
 
 ROOT = "knowledge_base"
-COMMANDS = ("ingest", "ask", "sources", "rebuild")
+COMMANDS = ("ingest", "update", "ask", "sources", "rebuild")
 
 
 def main(argv: list[str] | None = None, spark=None, get=engine.fetch) -> int:
@@ -29,15 +29,15 @@ def main(argv: list[str] | None = None, spark=None, get=engine.fetch) -> int:
             sub.add_argument("--limit", type=int, default=5)
             sub.add_argument("--no-web", dest="web", action="store_false")
             sub.add_argument("--web", dest="web", action="store_true", default=bare)
-        if name in ("ingest", "rebuild"):
+        if name in ("ingest", "update", "rebuild"):
             sub.add_argument("raw_dir", nargs="?", default=f"{ROOT}/raw")
             sub.add_argument("--processed", default=f"{ROOT}/processed")
         sub.add_argument("--index", "--db", dest="index", default=f"{ROOT}/index")
     args = parser.parse_args(argv)
     spark = spark or build_session()
     listed = lambda rows: [r.asDict() for r in rows(spark, args.index).toLocalIterator()]  # noqa: E731  # printed for a person, part by part
-    if args.command == "ingest":
-        result = index.build(spark, args.raw_dir, args.index, args.processed) | {"duplicate_files": listed(index.duplicate_rows)}
+    if args.command in ("ingest", "update"):
+        result = (index.build if args.command == "ingest" else index.update)(spark, args.raw_dir, args.index, args.processed) | {"duplicate_files": listed(index.duplicate_rows)}
     elif args.command == "rebuild":
         result = index.rebuild(spark, args.raw_dir, args.index, args.processed, ROOT) | {"duplicate_files": listed(index.duplicate_rows)}
     elif args.command == "sources":

@@ -14,7 +14,11 @@ from ..functions import text as t
 from ..functions import udfs
 from ..operators import documents as d
 from ..operators import citations, fulltext, ranked, rerank, shards, vectors
+from ..session import scratch_folder
+from ..sources import cascade
 from ..sources.web import result_links
+from ..streaming.ingest import DOCUMENTS as STREAMED
+from ..streaming.ingest import stream_index
 from .engine import Corpus, hybrid
 from .store import stored
 
@@ -71,7 +75,7 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lists(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of posting lists."""
     chunks = _chunks(spark, sf_dir)
-    make = {"vectors": lambda: shards.vectors(shards.placed(chunks), _vectors(spark, sf_dir)), "rows": lambda: shards.rows(shards.placed(chunks)), "tokens": lambda: shards.tokens(shards.placed(chunks)), "runs": lambda: shards.runs(shards.placed(chunks))}
+    make = {"vectors": lambda: shards.vectors(shards.placed(chunks), _vectors(spark, sf_dir)), "rows": lambda: shards.rows(shards.sizes(shards.placed(chunks))), "tokens": lambda: shards.tokens(shards.placed(chunks)), "runs": lambda: shards.runs(shards.placed(chunks))}
     return _stored(spark, sf_dir, f"shard-{name}", make[name])
 
 
@@ -238,9 +242,30 @@ def result_pages(spark, sf_dir):
     return rows.select("page_id", "r.title", "r.url", "r.snippet")
 
 
+def web_cascade(spark, sf_dir):
+    """Web answers of all questions, from recorded pages: one of four questions is known to each provider and one to none."""
+    asked = _questions(spark, sf_dir)
+    turn, number = F.pmod("qid", F.lit(4)), F.col("qid").cast("string")
+    link = F.concat(F.lit("http://known/"), number)
+    known = F.to_json(F.array(F.array(number), F.array(F.concat(F.lit("Title "), number)), F.array(F.concat(F.lit("said of "), number)), F.array(link)))
+    page = F.concat(F.lit('<a class="result__a" href="'), _redirect(link), F.lit('">Title '), number, F.lit('</a><p class="result__snippet">said of '), number, F.lit("</p>"))
+    listing = F.concat(F.lit("1. ## [Title "), number, F.lit("]("), link, F.lit(")\nsaid of "), number)
+    pages = cascade.addresses(asked).select(F.when(turn == 0, F.col("titles0")).when(turn == 1, F.col("result_page")).when(turn == 2, F.col("listing")).alias("url"), F.when(turn == 0, known).when(turn == 1, page).otherwise(listing).alias("body"))
+    found = cascade.search(asked, cascade.recorded(pages.where("url is not null")))
+    return found.select("qid", "provider", "answer", F.get("sources.url", F.lit(0)).alias("url"))
+
+
+def streamed_documents(spark, sf_dir):
+    """Documents as the stream keeps them; a table that comes as one batch has the first copies by doc_id."""
+    out = scratch_folder(spark, "stream")
+    stream_index(spark, f"{sf_dir}/documents.parque[t]", out).awaitTermination()
+    return spark.read.schema(STREAMED).parquet(f"{out}/documents").select("doc_id", "content_hash", "duplicate_of")
+
+
 _QUERIES = (
     content_hash_dedup, ingest_counters, sources_report, duplicate_files, normalize_text, chunk_documents, embedding_terms_tf, hash_embedding, exact_embedding, candidate_terms, fts_index,
     semantic_topk, keyword_topk, keyword_index_topk, bm25_topk, hybrid_rerank, evidence_gate, sentence_citations, answer_struct, split_sentences, human_text_clean, html_links_extract, url_unwrap, cjk_terms, unwrapped_links, result_pages,
+    web_cascade, streamed_documents,
 )
 
 
@@ -385,5 +410,8 @@ def oracle_sql() -> dict[str, str]:
         "unwrapped_links": "SELECT page_id, url AS redirect, url AS bing FROM pages",
         "result_pages": "SELECT page_id, 'Page ' || page_id || ' & more' AS title, url, 'Words of ' || page_id AS snippet FROM pages WHERE page_id % 3 <> 0",
         "html_links_extract": "SELECT page_id, CASE WHEN html LIKE '%result__a%' THEN 1 ELSE 0 END AS n_results FROM pages",
+        "web_cascade": """SELECT qid, provider, CASE WHEN provider IS NULL THEN '联网搜索失败：unreachable' ELSE '本地知识库没有找到足够依据，联网搜索到：said of ' || qid || '。' END AS answer, CASE WHEN provider IS NOT NULL THEN 'http://known/' || qid END AS url
+        FROM (SELECT item_id AS qid, CASE item_id % 4 WHEN 0 THEN 'encyclopedia' WHEN 1 THEN 'result page' WHEN 2 THEN 'listing' END AS provider FROM benchmark)""",
+        "streamed_documents": _with("docs", "SELECT doc_id, content_hash, duplicate_of FROM docs"),
         "url_unwrap": "SELECT page_id, url AS redirect, url AS bing FROM pages",
     }

@@ -44,11 +44,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def scratch_table(df: DataFrame, label: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again, so it is made once; see `release`."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder; see `release`."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     _written.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def scratch_table(df: DataFrame, label: str) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again, so it is made once; see `release`."""
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

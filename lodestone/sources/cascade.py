@@ -114,11 +114,20 @@ def _get(requests: DataFrame, pages: Pages) -> DataFrame:
     return requests.join(scratch_table(pages(requests), "web-pages"), "url")
 
 
+def addresses(questions: DataFrame, limit: int = c.DEFAULT_LIMIT) -> DataFrame:
+    """qid, the two hosts of the encyclopedia and the pages of all rounds, of `questions` (qid, question)."""
+    rows = questions.select("qid", _query("question", "question").alias("query"))
+    for k in (0, 1):
+        rows = rows.withColumn(f"host{k}", _strings(lambda query, _, k=k: web.hosts(query)[k])("query", "query"))
+        rows = rows.withColumn(f"titles{k}", _strings(lambda host, query: web.titles_url(host, query, limit))(f"host{k}", "query"))
+    for name, provider in (("result_page", web.RESULT_PAGE), ("listing", web.LISTING)):
+        rows = rows.withColumn(name, _strings(lambda query, _, provider=provider: web.page_url(provider, query))("query", "query"))
+    return rows.drop("query")
+
+
 def _by_titles(asked: DataFrame, turn: int, limit: int, pages: Pages) -> DataFrame:
-    """(qid, sources): the encyclopedia's `turn`-th host, with summaries where a title has no text."""
-    host = _strings(lambda query, _: web.hosts(query)[turn])
-    url = _strings(lambda host, query: web.titles_url(host, query, limit))
-    rows = asked.withColumn("host", host("query", "query")).withColumn("url", url("host", "query"))
+    """(qid, sources, error): the encyclopedia's `turn`-th host, with summaries where a title has no text."""
+    rows = asked.select("qid", F.col(f"host{turn}").alias("host"), F.col(f"titles{turn}").alias("url"))
     titles = _get(rows, pages).select("qid", "host", F.posexplode(_titles(limit)("host", "body")).alias("at", "t"))
     titles = scratch_table(titles.select("qid", "at", "t.*", F.when(F.col("t.text") == "", _summary_url("host", "t.title")).alias("summary")), "web-titles")
     wanted = titles.where("summary is not null").select(F.col("summary").alias("url")).distinct()
@@ -128,16 +137,15 @@ def _by_titles(asked: DataFrame, turn: int, limit: int, pages: Pages) -> DataFra
     return each.select("qid", F.col("s.source").cast(_SOURCES).alias("sources"), F.lit(None).cast("string").alias("error"))
 
 
-def _by_page(provider: tuple, limit: int, asked: DataFrame, pages: Pages) -> DataFrame:
+def _by_page(column: str, provider: tuple, limit: int, asked: DataFrame, pages: Pages) -> DataFrame:
     """(qid, sources, error): a provider that answers with one page."""
-    template, parse = provider
-    url = _strings(lambda query, _: web.page_url((template, parse), query))
+    parse = provider[1]
 
     @F.pandas_udf(_SOURCES)
     def links(body: pd.Series) -> pd.Series:
         return body.map(lambda b: parse(b or "")[:limit])
 
-    return _get(asked.withColumn("url", url("query", "query")), pages).select("qid", links("body").alias("sources"), "error")
+    return _get(asked.select("qid", F.col(column).alias("url")), pages).select("qid", links("body").alias("sources"), "error")
 
 
 def search(questions: DataFrame, pages: Pages, limit: int = c.DEFAULT_LIMIT) -> DataFrame:
@@ -146,12 +154,12 @@ def search(questions: DataFrame, pages: Pages, limit: int = c.DEFAULT_LIMIT) ->
     The same as `web.web_search` for each. qids are unique and not null; a null question is an
     empty one; an empty table gives no rows.
     """
-    asked = scratch_table(questions.select("qid", _query("question", "question").alias("query")), "web-questions")
+    asked = scratch_table(addresses(questions, limit), "web-questions")
     rounds: list[tuple[str, Callable[[DataFrame], DataFrame]]] = [
         ("encyclopedia", lambda rest: _by_titles(rest, 0, limit, pages)),
         ("encyclopedia, other language", lambda rest: _by_titles(rest, 1, limit, pages)),
-        ("result page", lambda rest: _by_page(web.RESULT_PAGE, limit, rest, pages)),
-        ("listing", lambda rest: _by_page(web.LISTING, limit, rest, pages)),
+        ("result page", lambda rest: _by_page("result_page", web.RESULT_PAGE, limit, rest, pages)),
+        ("listing", lambda rest: _by_page("listing", web.LISTING, limit, rest, pages)),
     ]
     rest, answered, failures = asked, [], None
     for name, ask in rounds:

@@ -22,6 +22,7 @@ from ..functions import udfs
 from ..operators import documents as d
 
 SCHEMA = "doc_id long, text string"
+DOCUMENTS = "doc_id long, text string, content_hash string, duplicate_of long"
 #: Files of a batch at most; a batch's file names pass through the driver.
 BATCH_FILES = 1_000
 #: State on disk, not in the executors' heaps.

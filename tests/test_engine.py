@@ -95,7 +95,7 @@ def retrieval(spark, texts):
     """The rows and the posting lists of texts, whose numbers are their chunk numbers."""
     chunks = scratch_table(spark.createDataFrame(list(enumerate(texts)), "chunk_no long, text string").repartition(3), "chunks")
     placed = shards.placed(chunks)
-    made = {"rows": shards.rows(placed), "vectors": shards.vectors(placed, vectors.embed(chunks, key="chunk_no")), "tokens": shards.tokens(placed), "runs": shards.runs(placed), "chunks": chunks}
+    made = {"rows": shards.rows(shards.sizes(placed)), "vectors": shards.vectors(placed, vectors.embed(chunks, key="chunk_no")), "tokens": shards.tokens(placed), "runs": shards.runs(placed), "chunks": chunks}
     made = {name: df if name == "chunks" else scratch_table(df, name) for name, df in made.items()}
     return made["rows"], made
 
