@@ -1,20 +1,17 @@
 """Incremental ingest of text tables, beyond the batch index: new files become chunks as they come.
 
-The hashes seen so far are keyed state of the stream, not a table that each batch joins: a batch
-looks up its own hashes only, whatever came before. Only hashes, ids and file names pass through the
-state, a row for each hash of the batch comes out; texts are then read from the batch's own files.
+The hashes seen so far are the state of a streaming aggregate, not a table that each batch joins: a
+batch looks up its own hashes only, whatever came before. It keeps each hash's first document, by the
+time of the batch and by doc_id, and combines before it shuffles, so a hash of many rows is a few
+small ones. A row for each hash and file of the batch comes out; texts are then read from its files.
 A batch that is run again starts from the same state and replaces what it wrote.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..functions import text as t
@@ -28,20 +25,7 @@ BATCH_FILES = 1_000
 #: State on disk, not in the executors' heaps.
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_FIRST = "content_hash string, first long, fresh boolean, files array<string>"
-
-
-def _first_seen(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A hash's first document: that of the first batch, of several in it the smallest id."""
-    least, files = None, set()
-    for frame in frames:
-        files.update(frame["file"])
-        found = frame["doc_id"].min()
-        least = int(found) if least is None else min(least, int(found))
-    fresh = not state.exists
-    if fresh:
-        state.update((least,))
-    yield pd.DataFrame({"content_hash": [key[0]], "first": [state.get[0]], "fresh": [fresh], "files": [sorted(files)]})
+_SEEN = "is_file boolean, key string, first struct<at: timestamp, doc_id: bigint>, last timestamp"
 
 
 def _documents(rows: DataFrame) -> DataFrame:
@@ -54,14 +38,14 @@ def _append(out: str, schema: str | StructType):
     def run(seen: DataFrame, number: int) -> None:
         spark = seen.sparkSession
         seen.write.mode("overwrite").parquet(f"{out}/hashes/batch={number}")
-        seen = spark.read.schema(_FIRST).parquet(f"{out}/hashes/batch={number}")
-        files = [r.file for r in seen.select(F.explode("files").alias("file")).distinct().collect()]  # of this batch: BATCH_FILES at most
+        seen = spark.read.schema(_SEEN).parquet(f"{out}/hashes/batch={number}")
+        files = [r.key for r in seen.where("is_file").select("key").collect()]  # of this batch: BATCH_FILES at most
         if not files:
             return
         docs = _documents(spark.read.schema(schema).parquet(*files)).select("doc_id", "text", "content_hash")
-        docs = docs.join(seen.select("content_hash", "first", "fresh"), "content_hash")
+        hashes = seen.where("not is_file").select(F.col("key").alias("content_hash"), F.col("first.doc_id").alias("first"), (F.col("first.at") == F.col("last")).alias("fresh"))
         own = F.col("fresh") & (F.col("doc_id") == F.col("first"))
-        docs = docs.withColumn("duplicate_of", F.when(~own, F.col("first"))).drop("first", "fresh")
+        docs = docs.join(hashes, "content_hash").withColumn("duplicate_of", F.when(~own, F.col("first"))).drop("first", "fresh")
         docs.write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
         new = spark.read.parquet(f"{out}/documents/batch={number}").where("duplicate_of is null")
         chunks = d.chunk_documents(new, normal=True).withColumn("embedding", udfs.stored_vector("text"))
@@ -78,12 +62,14 @@ def stream_index(spark: SparkSession, source_dir: str, out: str, schema: str | S
     text, are left out.
     """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", batch_files).parquet(source_dir)
-    keyed = _documents(rows.select("doc_id", "text", F.col("_metadata.file_path").alias("file"))).select("content_hash", "doc_id", "file")
-    seen = keyed.groupBy("content_hash").applyInPandasWithState(_first_seen, _FIRST, "first long", "append", GroupStateTimeout.NoTimeout)
+    docs = _documents(rows.select("doc_id", "text", F.col("_metadata.file_path").alias("file"))).withColumn("at", F.current_timestamp())  # a batch's own, also when it is run again
+    what = F.array(F.struct(F.lit(False).alias("is_file"), F.col("content_hash").alias("key")), F.struct(F.lit(True).alias("is_file"), F.col("file").alias("key")))
+    keyed = docs.select("at", "doc_id", F.explode(what).alias("k")).select("at", "doc_id", "k.*")
+    seen = keyed.groupBy("is_file", "key").agg(F.min(F.struct("at", "doc_id")).alias("first"), F.max("at").alias("last"))
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, _ROCKSDB)
     try:  # a query keeps the settings it was started with
-        query = seen.writeStream.outputMode("append").foreachBatch(_append(out, schema)).option("checkpointLocation", f"{out}/progress")
+        query = seen.writeStream.outputMode("update").foreachBatch(_append(out, schema)).option("checkpointLocation", f"{out}/progress")
         return (query.trigger(availableNow=True) if once else query).start()
     finally:
         spark.conf.set(_PROVIDER, before)
