@@ -200,7 +200,7 @@ def _write_lists(numbers: DataFrame, same: DataFrame | None, chunks: DataFrame,
     segment = f"s-{uuid.uuid4().hex}"
     if not segments or not rest.isEmpty():
         placed = shards.placed(rest)
-        for name, table in {"vectors": shards.vectors(placed, rest.select("chunk_no", "embedding")), "tokens": shards.tokens(placed), "runs": shards.runs(placed)}.items():
+        for name, table in {"vectors": shards.vectors(placed), "tokens": shards.tokens(placed), "runs": shards.runs(placed)}.items():
             table.write.parquet(f"{index_dir}/segments/{segment}/{name}")
         segments.append((segment, True))
         new = shards.sizes(placed).withColumn("doc_no", F.shiftright("chunk_no", shards.CHUNK_BITS)).join(numbers, "doc_no")
