@@ -56,3 +56,25 @@ def test_native_vectors_and_their_lists(spark, placed):
     found = {(r["shard"], r["dim"]): r for r in shards.vectors(made).collect()}
     assert {k: list(zip(unfolded(r, "steps"), r["weights"])) for k, r in found.items()} == cells
     assert all((r["high"], r["low"]) == (max(r["weights"]), min(r["weights"])) for r in found.values())
+
+
+def test_token_and_run_lists(spark, placed):
+    assert "Generate" not in plan(shards.tokens(placed)) and "Generate" not in plan(shards.runs(placed))
+    runs = F.array_distinct(F.concat(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)), F.regexp_extract_all("text", F.lit(f"(?=({t.CJK}{{2}}))"), F.lit(1))))
+    tokens, held, sizes = defaultdict(list), defaultdict(list), {}
+    for r in placed.select("shard", "place", t.index_tokens(t.searchable_text(F.col("text"))).alias("tokens"), F.size(t.index_tokens(F.col("text"))).alias("n"), runs.alias("runs")).orderBy("place").collect():
+        sizes[r["shard"], r["place"]] = (r["n"], r["n"] and r["n"] + len(r["tokens"]))
+        for pos, x in enumerate(r["tokens"] or []):
+            tokens[r["shard"], x].append((r["place"], pos))
+        for x in r["runs"] or []:
+            held[r["shard"], x].append(r["place"])
+
+    def positions(row) -> list:
+        out, places = [], unfolded(row, "steps")
+        for i, gap in enumerate(row["gaps"]):
+            out.append((places[i], gap + (out[-1][1] if i and places[i] == places[i - 1] else 0)))
+        return out
+
+    assert {(r["shard"], r["token"]): positions(r) for r in shards.tokens(placed).collect()} == tokens
+    assert {(r["shard"], r["run"]): unfolded(r, "steps") for r in shards.runs(placed).collect()} == held
+    assert {(r["shard"], r["place"]): (r["n_text"], r["n_tokens"]) for r in shards.sizes(placed).collect()} == sizes
