@@ -18,7 +18,7 @@ every length. A document is rejected if its excess is above that quantile.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,8 +33,9 @@ ORDER = 5
 #: Bytes of text of a block, about (a longer text is a block of its own), and partitions at most
 #: that blocks are dealt to.
 BLOCK_BYTES, MOST_PARTITIONS = 32 << 20, 50_000
-#: Bytes whose n-grams are counted together.
-CHUNK = 2 << 20
+#: Bytes whose n-grams are counted together, and those whose n-grams are looked up together: each takes up to
+#: some sixty bytes of a worker's memory. N-grams that are gathered before they are merged.
+CHUNK, LOOKUP, GATHERED = 1 << 20, 256 << 10, 1 << 20
 #: Of ten trusted documents so many train; the others set thresholds.
 TRAIN_TENTHS = 8
 #: Share of a language's held-out trusted documents that its threshold lets pass. Languages with
@@ -63,8 +64,8 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
     return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Runs of about CHUNK bytes of pieces, and the text that each is of.
+def _chunks(texts: Iterable[bytes], most: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Runs of about `most` bytes of pieces, and the text that each is of.
 
     A piece begins with the ORDER - 1 bytes before it, NULs at the start of a text; long texts are
     in several.
@@ -74,11 +75,11 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     pieces: list[bytes] = []
     for i, text in enumerate(texts):
         whole = b"\0" * pad + text
-        for at in range(0, len(text), CHUNK):
+        for at in range(0, len(text), most):
             owners.append(i)
-            pieces.append(whole[at : at + CHUNK + pad])
+            pieces.append(whole[at : at + most + pad])
             size += len(pieces[-1])
-            if size >= CHUNK:
+            if size >= most:
                 yield np.array(owners), pieces
                 owners, pieces, size = [], [], 0
     if pieces:
@@ -95,7 +96,8 @@ def gram_counts(texts: DataFrame) -> DataFrame:
         for b in batches:
             marks = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for mark in (True, False):
-                for _, some in _chunks([(t or "").encode() for t in b.column(0).filter(pa.array(marks == mark)).to_pylist()]):
+                texts = b.column(0).filter(pa.array(marks == mark))
+                for _, some in _chunks(((t.as_py() or "").encode() for t in texts), CHUNK):
                     grams, n = np.unique(_keys(some)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n * mark)], names=["gram", "n"])
 
@@ -172,25 +174,28 @@ def _blocks(docs: DataFrame) -> DataFrame:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=5)
-        number, held, texts, size = TaskContext.get().partitionId() << 32, [[] for _ in _OWN], [], 0
+        number, held, sizes, stream, parts = TaskContext.get().partitionId() << 32, [[] for _ in _OWN], [], squeeze.compressobj(), []
 
         def done() -> pa.RecordBatch:
-            nonlocal number, held, texts, size
-            columns = [[number], *([c] for c in held), [[len(t) for t in texts]], [squeeze.compress(b"".join(texts))]]
-            number, held, texts, size = number + 1, [[] for _ in _OWN], [], 0
+            nonlocal number, held, sizes, stream, parts
+            columns = [[number], *([c] for c in held), [sizes], [b"".join([*parts, stream.flush()])]]
+            number, held, sizes, stream, parts = number + 1, [[] for _ in _OWN], [], squeeze.compressobj(), []
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
 
+        size = 0
         for b in batches:
             own = [b.column(i).to_pylist() for i in range(len(_OWN))]
             for i, text in enumerate(b.column(len(_OWN))):
                 raw = (text.as_py() or "").encode()
-                if texts and size + len(raw) > BLOCK_BYTES:
+                if sizes and size + len(raw) > BLOCK_BYTES:
                     yield done()
+                    size = 0
                 for c, values in zip(held, own):
                     c.append(values[i])
-                texts.append(raw)
+                sizes.append(len(raw))
+                parts.append(stream.compress(raw))  # a block's texts are never held as a whole
                 size += len(raw)
-        if texts:
+        if sizes:
             yield done()
 
     ddl = "block long, doc_id array<long>, " + ", ".join(f"{c} array<long>" for c in ROW_KEY) + ", lang array<string>, sizes array<long>, texts binary"
@@ -199,23 +204,31 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return packed.repartition(parts, "block").sortWithinPartitions("block")
 
 
-def _texts(blob: bytes, sizes) -> list[bytes]:
+def _texts(blob: bytes, sizes) -> list[memoryview]:
     import zstandard
 
     total = int(sum(sizes))
-    raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(total, 1))
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(total, 1)))
     ends = np.cumsum(sizes).tolist()
     return [raw[e - n : e] for e, n in zip(ends, sizes)]
 
 
+def _distinct_of(texts: list) -> np.ndarray:
+    """The different n-grams of `texts`."""
+    held, more = np.zeros(0, dtype=np.int64), []
+    for _, some in _chunks(texts, LOOKUP):
+        more.append(_distinct(_keys(some)[0]))
+        if sum(map(len, more)) > GATHERED:
+            held, more = _distinct(np.concatenate((held, *more))), []
+    return _distinct(np.concatenate((held, *more)))
+
+
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, gram): the different n-grams of each block."""
     for b in batches:
         at = b.schema.get_field_index("sizes")
         for i in range(b.num_rows):
-            held = np.zeros(0, dtype=np.int64)
-            for _, some in _chunks(_texts(b.column(at + 1)[i].as_py(), b.column(at)[i].as_py())):
-                held = _distinct(np.concatenate((held, _distinct(_keys(some)[0]))))
+            held = _distinct_of(_texts(b.column(at + 1)[i].as_py(), b.column(at)[i].as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), b.column(0)[i].as_py(), dtype=np.int64)), pa.array(held)], names=["block", "gram"])
 
 
@@ -226,7 +239,7 @@ def _score(_, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     out = []
     for row in docs.itertuples(index=False):
         bits = np.zeros(len(row.sizes))
-        for owners, some in _chunks(_texts(row.texts, row.sizes)):
+        for owners, some in _chunks(_texts(row.texts, row.sizes), LOOKUP):
             keys, piece = _keys(some)
             if len(keys):
                 bits += np.bincount(owners[piece], weights=logs[grams.get_indexer(keys)], minlength=len(bits))
