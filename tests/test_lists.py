@@ -78,3 +78,13 @@ def test_token_and_run_lists(spark, placed):
     assert {(r["shard"], r["token"]): positions(r) for r in shards.tokens(placed).collect()} == tokens
     assert {(r["shard"], r["run"]): unfolded(r, "steps") for r in shards.runs(placed).collect()} == held
     assert {(r["shard"], r["place"]): (r["n_text"], r["n_tokens"]) for r in shards.sizes(placed).collect()} == sizes
+
+
+def test_texts_of_ascii_alone_take_short_ways_to_the_same(spark):
+    texts = ["  a \t b\r\n\r\n\r\n\r\nc\x1c", "A_b9-C\x1fd", "\tx", "", "a  b", "É a\u0085b  ", " ab　", "été X"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").orderBy("i")
+    space, x = r"[\s\x1c-\x1f]", F.col("x")
+    folded = F.lower(F.regexp_replace(F.translate(x, *t._folds()), r"\p{M}+", ""))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "\r\n|\r", "\n"), "[ \t]+", " "), "\n{3,}", "\n\n")
+    want = df.select(F.regexp_replace(plain, rf"(?U)^{space}+|{space}+\z", ""), F.sha2(F.lower(F.regexp_replace(x, rf"(?U){space}+", "")), 256), F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))).collect()
+    assert [tuple(r) for r in df.select(t.normalize_text(x), t.content_hash(x), t.index_tokens(x)).collect()] == [tuple(r) for r in want]
