@@ -8,18 +8,22 @@ compared by its whole sets, so no link is below the threshold.
 A bucket's nodes are first compared with its smallest, so large groups of copies cost no pairs.
 Nodes of buckets that are then still in different components are joined by an exact prefix filter:
 two sets at the threshold share one of the smaller one's rarest ninth and the larger one's rarest
-fifth of shingles, counted among these nodes, so documents that share a common passage and too
-little else for the threshold never meet, however many there are. Of those that do, most are told apart by parity bits: each set has 512 bits, a shingle flips one of them, and two sets
+fifth of shingles (a ninth too, if it is no larger), counted among these nodes, so documents that
+share a common passage and too little else for the threshold never meet, however many there are.
+Where a shingle brings many together, they are near copies of something that they share: all are
+first compared with those few that are nearest to it, and sets that this links don't meet any more.
+Of those that do, most are told apart by parity bits: each set has 512 bits, a shingle flips one of them, and two sets
 differ in at least as many shingles as bits, so no link is lost and few sets move to be compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash_bk
@@ -31,6 +35,9 @@ BANDS, VALUES, SEED = 30, 5, 42
 STEP = 2_048
 #: Longs of a set's parity bits.
 PARITY_LONGS = 8
+#: Sizes of a class differ by this factor at most. Sets of each group that all its others are compared with, round by round, and the
+#: pairs for each row of the groups beyond which that is done.
+CLASS, LEADS, CROSSING = 1.04, (1, 4, 16), 4
 
 _dice = np.random.default_rng(SEED)
 _MULTIPLY = _dice.integers(0, 1 << 31, BANDS * VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -110,9 +117,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
 
 
 def _prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, n, root, s, small, large): the shingles by which `nodes` (key, n, root) can meet a larger or equal set (small), or a smaller one (large).
+    """(key, n, root, s, at, small): the shingles by which `nodes` (key, n, root) can meet a larger or equal set (small), or a smaller one.
 
-    Sets are read in the order of rarity. Two at the threshold share THRESHOLD / (1 + THRESHOLD) of
+    Sets are read in the order of rarity; a shingle is number `at`. Two at the threshold share THRESHOLD / (1 + THRESHOLD) of
     the sum of their sizes at least, so their first common shingle is one of the larger set's
     n - ceil(THRESHOLD * n) + 1 first, and one of the smaller's n - ceil(2 * THRESHOLD * n / (1 + THRESHOLD)) + 1.
     Sets that share a common passage and too little else are told apart by that: the passage is
@@ -124,15 +131,86 @@ def _prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     length = lambda share: (F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1).cast("int")
     first = first.select("key", "n", "root", F.slice("order", 1, length(THRESHOLD)).alias("order"), length(2 * THRESHOLD / (1 + THRESHOLD)).alias("short"))
     first = first.select("key", "n", "root", "short", F.posexplode("order").alias("at", "o")).where("o.df > 1")
-    first = materialize(first.select("key", "n", "root", "o.s", (F.col("at") < F.col("short")).alias("small")), "near-prefix")
-    mixed = first.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("small").alias("any")).where("a <> b and any").select("s")
-    return first.join(mixed, "s", "left_semi")
+    first = materialize(first.select("key", "n", "root", "o.s", "at", (F.col("at") < F.col("short")).alias("small")), "near-prefix")
+    return _mixed(first, "s")
+
+
+def _mixed(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows of groups that hold several roots and a row that can meet a larger set."""
+    mixed = rows.groupBy(*by).agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("small").alias("any")).where("a <> b and any").select(*by)
+    return rows.join(mixed, list(by), "left_semi")
+
+
+def _class(n: object) -> object:
+    """A size's class; those of one class differ by the factor CLASS at most."""
+    return F.floor(F.log(n) / math.log(CLASS) + 1e-9)
+
+
+def _reach(n: object, m: object) -> object:
+    """The last place at which a set of m shingles can hold its first that is common with a set of n."""
+    return m - F.ceil(THRESHOLD / (1 + THRESHOLD) * (n + m) - 1e-9)
+
+
+def _groups(first: DataFrame) -> DataFrame:
+    """The rows of _prefixes (small: may be the smaller set) for each class of sizes that the smaller set can have there.
+
+    Two sets at the threshold share what _reach says of their sizes, so their first common shingle
+    is early in both: a set of about the smaller one's size meets it by a ninth of its shingles, not
+    by a fifth. So what a hot shingle brings together are sets that lie near one another but for
+    sizes, most of them of one root. _mixed leaves groups of several.
+    """
+    n = F.col("n")
+    rows = first.select("*", F.explode(F.sequence(_class(F.ceil(THRESHOLD * n - 1e-9)), _class(n))).alias("size"))
+    rows = rows.where(F.col("at") <= _reach(F.greatest(F.pow(F.lit(CLASS), F.col("size")) * (1 - 1e-6), THRESHOLD * n), n))
+    return _mixed(rows.withColumn("small", F.col("small") & (F.col("size") == _class(n))), "s", "size")
+
+
+def _crossing(groups: DataFrame) -> tuple[int, int]:
+    """The rows of _groups, and their pairs of a small one and one of another root."""
+    rows, small = F.col("rows"), F.col("small")
+    held = groups.groupBy("s", "size", "root").agg(F.count("*").alias("rows"), F.sum(small.cast("double")).alias("small"))
+    held = held.groupBy("s", "size").agg(F.sum(rows).alias("rows"), F.sum(small).alias("small"), F.sum(rows * small).alias("own"))
+    found = held.agg(F.sum(rows), F.sum(rows * small - F.col("own"))).first()
+    return found[0] or 0, found[1] or 0
 
 
 def _meetings(first: DataFrame) -> DataFrame:
-    """The rows of _prefixes, with those of larger sets (key2, n2, root2, ...) that share a shingle."""
-    other = first.select("s", *[F.col(c).alias(f"{c}2") for c in first.columns if c not in ("s", "small")])
-    return first.where("small").join(other, "s").where("n < n2 or n = n2 and key < key2")
+    """The rows of _prefixes, with those of larger sets of another root (key2, n2, root2, ...) that share a shingle where both can.
+
+    Roots meet before their sets, so sets of one root cost no pairs.
+    """
+    return _crossed(_groups(first))
+
+
+def _crossed(groups: DataFrame) -> DataFrame:
+    """_meetings of the rows of _groups."""
+    small = groups.where("small")
+    other = groups.select("s", "size", *[F.col(c).alias(f"{c}2") for c in groups.columns if c not in ("s", "size", "small")])
+    roots = small.select("s", "size", "root").distinct().join(other.select("s", "size", "root2").distinct(), ["s", "size"]).where("root <> root2")
+    rows = roots.join(small, ["s", "size", "root"]).join(other, ["s", "size", "root2"]).where("n < n2 or n = n2 and key < key2")
+    n, m = F.col("n"), F.col("n2")
+    return rows.where(_alike("n", "n2")).where((F.col("at") <= _reach(m, n)) & (F.col("at2") <= _reach(n, m)))
+
+
+def _led(groups: DataFrame, leads: int) -> DataFrame:
+    """The rows of _groups, with `leads` sets of another root (key2, n2, root2, parity2) of their group: those with the fewest rarer shingles.
+
+    These are the nearest to what the group has in common, so they are near the most of its sets.
+    """
+    place = F.row_number().over(Window.partitionBy("s", "size").orderBy("at", "key"))
+    least = groups.withColumn("place", place).where(F.col("place") <= leads)
+    least = least.select("s", "size", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "root", "parity")])
+    return groups.join(least, ["s", "size"]).where("root <> root2").where(_alike("n", "n2"))
+
+
+def _told(pairs: DataFrame, label: str) -> DataFrame:
+    """(u, v): the distinct pairs of keys that parity bits don't tell apart."""
+    pairs = pairs.where(_near("parity", "parity2", "n", "n2"))
+    return materialize(pairs.select(F.greatest("key", "key2").alias("u"), F.least("key", "key2").alias("v")).distinct(), label)
+
+
+def _with_parity(first: DataFrame, parities: DataFrame | None) -> DataFrame:
+    return first.join(parities, "key") if parities is not None else first.withColumn("parity", F.array_repeat(F.lit(0).cast("long"), PARITY_LONGS))
 
 
 def _rare_pairs(nodes: DataFrame, sets: DataFrame, parities: DataFrame | None = None) -> DataFrame:
@@ -140,10 +218,39 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, parities: DataFrame | None =
 
     Pairs that parities (key, parity) tell apart are left out.
     """
-    first = _prefixes(nodes, sets)
-    first = first.join(parities, "key") if parities is not None else first.withColumn("parity", F.array_repeat(F.lit(0).cast("long"), PARITY_LONGS))
-    pairs = _meetings(first).where("root <> root2").where(_alike("n", "n2")).where(_near("parity", "parity2", "n", "n2"))
-    return materialize(pairs.select(F.greatest("key", "key2").alias("u"), F.least("key", "key2").alias("v")).distinct(), "near-rest")
+    return _told(_meetings(_with_parity(_prefixes(nodes, sets), parities)), "near-rest")
+
+
+def _rest(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that join what _rare_pairs of `nodes` would, and cost no pairs of sets that a few links join.
+
+    While groups hold many more pairs than rows, their sets are first compared
+    with a few of each group, and roots that are then linked become one. The pairs left are compared
+    one and all.
+    """
+    first, found, parities = _prefixes(nodes, sets), [], sets.select("key", "parity")
+    for leads in LEADS:
+        groups = materialize(_with_parity(_groups(first), parities), "near-groups")
+        rows, pairs = _crossing(groups)
+        if pairs <= CROSSING * rows:
+            break
+        found.append(_verified(_told(_led(groups, leads), "near-led"), sets, "near-leads"))
+        first = _merged(first, found[-1])
+    else:
+        groups = materialize(_with_parity(_groups(first), parities), "near-groups")
+    rest = _verified(_told(_crossed(groups), "near-rest"), sets, "near-more")
+    for links in found:
+        rest = rest.unionByName(links)
+    return rest
+
+
+def _merged(first: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of _prefixes with one root for roots that `links` (u, v) join."""
+    roots = first.select("key", "root").distinct()
+    ends = links.join(roots.withColumnRenamed("key", "u").withColumnRenamed("root", "a"), "u").join(roots.withColumnRenamed("key", "v").withColumnRenamed("root", "b"), "v")
+    edges = materialize(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "near-edges")
+    named = simhash_bk.components(edges, "near-cc").select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return first.join(named, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -173,7 +280,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     named = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
     split = named.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
     hard = materialize(named.join(split, "bucket", "left_semi").select("key", "n", "root").distinct(), "near-split")
-    links = links.unionByName(_verified(_rare_pairs(hard, sets, sets.select("key", "parity")), sets, "near-more"))
+    links = links.unionByName(_rest(hard, sets))
 
     roots = simhash_bk.components(links, "near-cc")
     return rows.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", *ROW_KEY, F.coalesce("root", "key").alias("component"))

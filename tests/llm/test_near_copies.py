@@ -104,3 +104,53 @@ def test_parity_bits_lose_no_link(spark):
     found = kept.select("near", near_copies._near("a", "b", "n", "m").alias("passed")).collect()
     assert all(r.passed for r in found if r.near) and any(r.near for r in found)
     assert any(not r.passed for r in found)
+
+
+def _edited(dice, base, edits):
+    """The base with so many words replaced, far enough apart for each to change five shingles."""
+    words = list(base)
+    for k in range(edits):
+        words[5 + dice.randrange(len(base) // edits // 5 - 1) * 5 + k * (len(base) // edits)] = f"x{dice.randint(0, 10**9)}"
+    return " ".join(words)
+
+
+def _star(spark, dice, edits):
+    """Sets (key, n, root, found, parity) of a text, number 0, and of others with so many words replaced."""
+    base = [f"w{dice.randint(0, 10**6)}" for _ in range(100)]
+    texts = [" ".join(base)] + [_edited(dice, base, e) for e in edits]
+    found = [near_copies.shingles(t) for t in texts]
+    rows = [(i, len(s), i, s.view("int64").tolist(), near_copies._parity(s).tolist()) for i, s in enumerate(found)]
+    sets = spark.createDataFrame(rows, "key long, n long, root long, found array<long>, parity array<long>")
+    return [set(s.tolist()) for s in found], sets.select("key", "n", "root"), sets.select("key", "found", "parity")
+
+
+def test_linked_copies_cost_no_pairs(spark):
+    """150 linked copies of one text (Jaccard to it 0.81) and 150 others of it (0.73): neither those of one root nor those too far for their sizes meet."""
+    _, nodes, sets = _star(spark, random.Random(9), [2] * 150 + [3] * 150)
+    nodes = nodes.selectExpr("key", "n", "if(key <= 150, 0L, key) root")
+    assert near_copies._meetings(near_copies._prefixes(nodes, sets)).count() <= 300
+
+
+def test_leads_join_copies_before_pairs_do(spark, monkeypatch):
+    """Copies of one text, none of them linked yet: the links are those of brute force, and few pairs meet for them."""
+    dice, met, crossed = random.Random(4), [], near_copies._crossed
+    found, nodes, sets = _star(spark, dice, [dice.randint(1, 4) for _ in range(250)])
+
+    def counted(groups):
+        rows = crossed(groups)
+        met.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(near_copies, "_crossed", counted)
+    links = [(r.u, r.v) for r in near_copies._rest(nodes, sets).collect()]
+    near = [(i, j) for i, a in enumerate(found) for j, b in enumerate(found[:i]) if len(a & b) >= 0.8 * len(a | b)]
+    assert set(links) <= set(near) and len(near) > 1000 and sum(met) <= 4 * len(found)
+
+    def classes(pairs):
+        top = list(range(len(found)))
+        for a, b in pairs:
+            x, y = top[a], top[b]
+            top = [min(x, y) if t in (x, y) else t for t in top]
+        return top
+
+    assert classes(links) == classes(near)
